@@ -373,10 +373,12 @@ def _delivered(t: Inputs) -> DataFrame:
     return t.wh.table("orders", *columns).filter(F.col("order_status") == P.delivered)
 
 
+def _facts(t: Inputs, *keys: str) -> DataFrame:
+    return t.wh.facts(*keys).filter(F.col("order_status") == P.delivered)
+
+
 def _seller_groups(t: Inputs, *measures: str, reviews: bool = False) -> DataFrame:
-    items = t.wh.table("order_items", "order_id", "seller_id", "price", "freight_value")
-    scores = t.wh.table("order_reviews", "order_id", "review_score") if reviews else None
-    groups = order_groups(items, _delivered(t), scores, ["seller_id"])
+    groups = order_groups(_facts(t, "seller_id"), ["seller_id"], reviews)
     return group_measures(groups, ["seller_id"], measures)
 
 
@@ -618,10 +620,9 @@ def _(t: Inputs) -> DataFrame:
         FROM oi WHERE order_status = 'delivered' GROUP BY customer_state""",
 )
 def _(t: Inputs) -> DataFrame:
-    items = t.wh.table("order_items", "order_id", "customer_state")
-    orders = _delivered(t).select("order_id", "is_late")
-    groups = order_groups(items, orders, None, ["customer_state"])
-    states = group_measures(groups, ["customer_state"], ["late_orders"])
+    keys = ["customer_state"]
+    groups = order_groups(_facts(t, *keys), keys, reviews=False)
+    states = group_measures(groups, keys, ["late_orders"])
     share = half_up(Totals(states, ("late_orders",)).share("late_orders"), 2)
     return states.select("customer_state", "late_orders", share.alias("share_pct"))
 

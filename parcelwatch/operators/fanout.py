@@ -13,9 +13,10 @@ An order that is in the table twice counts twice in the sums and once in the dis
 counts, as it would in the literal join.
 
 Scale: items are combined on the map side before their first shuffle, so an order or seller
-that holds a large part of the rows does not travel row by row. After the join there is one
-row per order and group, so distinct orders are a plain count and need no Expand. The last
-grouping combines on the map side too: a hot seller or state is never one task's work.
+that holds a large part of the rows does not travel row by row. All factors meet on the
+order, and the grouping by order needs no further shuffle. It leaves one row per order and
+group, so distinct orders are a plain count without Expand. The last grouping combines on
+the map side too: a hot seller or state is never one task's work.
 """
 
 from __future__ import annotations
@@ -28,27 +29,28 @@ from pyspark.sql import functions as F
 from parcelwatch.functions.numbers import cents, tenths
 
 STAGES = ("seller_processing_days", "carrier_delivery_days", "total_delivery_days")
+ITEM_KEYS = ("seller_id", "seller_state", "seller_city", "customer_state")
 
 
 def item_facts(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items of one order within one group: how many, price and freight in cents."""
-    money = [c for c in ("price", "freight_value") if c in items.columns]
     return items.groupBy("order_id", *keys).agg(
         F.count(F.lit(1)).alias("n_items"),
-        *[F.sum(cents(c)).alias(f"{c}_cents") for c in money],
+        F.sum(cents("price")).alias("price"),
+        F.sum(cents("freight_value")).alias("freight"),
     )
 
 
 def order_facts(orders: DataFrame) -> DataFrame:
-    """One row per order id: copies, late copies, stage sums in tenths of a day."""
-    stages = [c for c in STAGES if c in orders.columns]
-    return orders.groupBy("order_id").agg(
+    """One row per order (and status): copies, late copies, stages in tenths of a day."""
+    processed = F.col("seller_processing_days") >= 0
+    return orders.groupBy("order_id", "order_status", processed.alias("processed")).agg(
         F.count(F.lit(1)).alias("n_copies"),
         F.sum("is_late").alias("late_copies"),
         F.max("is_late").alias("late"),
-        *[F.sum(tenths(c)).alias(f"{c}_tenths") for c in stages],
-        *[F.max(tenths(c)).alias(f"{c}_once") for c in stages],
-        *[F.count(c).alias(f"{c}_n") for c in stages],
+        *[F.sum(tenths(c)).alias(f"{c}_sum") for c in STAGES],
+        *[F.max(tenths(c)).alias(f"{c}_once") for c in STAGES],
+        *[F.count(c).alias(f"{c}_count") for c in STAGES],
     )
 
 
@@ -58,65 +60,83 @@ def review_facts(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_reviews"),
         F.count(score).alias("n_scores"),
-        F.sum(score).alias("score_sum"),
+        F.sum(score).alias("scored"),
         F.count_if(score == 1).alias("n_one_star"),
     )
 
 
+def delivery_facts(
+    items: DataFrame, orders: DataFrame, reviews: DataFrame, keys: Sequence[str] = ITEM_KEYS
+) -> DataFrame:
+    """The three factors side by side, one row per order and item group.
+
+    Every report over orders and items can be computed from it; published once per refresh,
+    it saves them the joins.
+    """
+    return (
+        item_facts(items, keys)
+        .join(order_facts(orders), "order_id")
+        .join(review_facts(reviews), "order_id", "left")
+    )
+
+
 def order_groups(
-    items: DataFrame,
-    orders: DataFrame,
-    reviews: DataFrame | None,
-    keys: Sequence[str],
-    per_order: bool = False,
+    facts: DataFrame, keys: Sequence[str], reviews: bool = True, per_order: bool = False
 ) -> DataFrame:
     """One row per order and group with measures that only need to be summed.
 
+    `reviews` multiplies the rows by the order's reviews, as a join with them would.
     `per_order` counts each order once per group and each item once, instead of once per
     joined row.
     """
-    context = order_facts(orders)
-    if reviews is not None:
-        context = context.join(review_facts(reviews), "order_id", "left")
-    joined = item_facts(items, keys).join(context, "order_id")
-
-    one = F.lit(1).cast("bigint")
-    n_reviews = F.coalesce("n_reviews", one) if reviews is not None else one
-    items_once = one if per_order else F.col("n_items")
-    copies = one if per_order else F.col("n_copies")
-    late = F.col("late") if per_order else F.col("late_copies")
-    fan = one if per_order else n_reviews  # joined rows per item and copy
-
-    columns: dict[str, Column] = {
-        "orders": one,
-        "late_orders": F.col("late"),
-        "rows": items_once * copies * fan,
-        "late_rows": items_once * late * fan,
+    columns = _once(facts) if per_order else _weighted(facts, reviews)
+    late = F.max("late").alias("late_orders")
+    return facts.groupBy("order_id", *keys).agg(late, *[v.alias(k) for k, v in columns.items()])
+
+
+def _weighted(facts: DataFrame, reviews: bool) -> dict[str, Column]:
+    n_items, copies, late = F.col("n_items"), F.col("n_copies"), F.col("late_copies")
+    fan = F.coalesce("n_reviews", F.lit(1)) if reviews else F.lit(1)
+    columns = {
+        "rows": F.sum(n_items * copies * fan),
+        "late_rows": F.sum(n_items * late * fan),
+        "price_cents": F.sum(F.col("price") * copies * fan),
+        "freight_cents": F.sum(F.col("freight") * copies * fan),
+        "late_freight_cents": F.sum(F.coalesce("freight", F.lit(0)) * late * fan),
+        "score_sum": F.sum(n_items * copies * F.col("scored")),
+        "scores": F.sum(n_items * copies * F.col("n_scores")),
+        "one_star": F.sum(n_items * copies * F.col("n_one_star")),
+    }
+    for stage in STAGES:
+        columns[f"{stage}_tenths"] = F.sum(n_items * F.col(f"{stage}_sum") * fan)
+        columns[f"{stage}_n"] = F.sum(n_items * F.col(f"{stage}_count") * fan)
+    return columns
+
+
+def _once(facts: DataFrame) -> dict[str, Column]:
+    columns = {
+        "rows": F.max(F.lit(1)),
+        "late_rows": F.max("late"),
+        "price_cents": F.sum("price"),
+        "freight_cents": F.sum("freight"),
+        "late_freight_cents": F.sum(F.coalesce("freight", F.lit(0)) * F.col("late")),
+        "score_sum": F.max("scored"),
+        "scores": F.max("n_scores"),
+        "one_star": F.max("n_one_star"),
     }
-    for stage in (c for c in STAGES if c in orders.columns):
-        total = F.col(f"{stage}_once") if per_order else F.col(f"{stage}_tenths")
-        seen = F.least(F.col(f"{stage}_n"), one) if per_order else F.col(f"{stage}_n")
-        columns[f"{stage}_tenths"] = items_once * total * fan
-        columns[f"{stage}_n"] = items_once * seen * fan
-    if "price" in items.columns:
-        columns["price_cents"] = F.col("price_cents") * copies * fan
-    if "freight_value" in items.columns:
-        columns["freight_cents"] = F.col("freight_value_cents") * copies * fan
-        columns["late_freight_cents"] = F.coalesce(
-            F.col("freight_value_cents") * late * fan, F.lit(0)
-        )
-    if reviews is not None:
-        columns["score_sum"] = items_once * copies * F.col("score_sum")
-        columns["scores"] = items_once * copies * F.col("n_scores")
-        columns["one_star"] = items_once * copies * F.col("n_one_star")
-    return joined.select("order_id", *keys, *[v.alias(k) for k, v in columns.items()])
+    for stage in STAGES:
+        columns[f"{stage}_tenths"] = F.max(f"{stage}_once")
+        columns[f"{stage}_n"] = F.max(F.least(f"{stage}_count", F.lit(1)))
+    return columns
 
 
 def group_measures(groups: DataFrame, keys: Sequence[str], measures: Iterable[str]) -> DataFrame:
-    """Sums of the named measures per group; absent scores count as no scores."""
-    zero = F.lit(0).cast("bigint")
+    """Sums of the named measures per group; `orders` counts the distinct orders."""
     summed = {m: F.sum(m) for m in measures}
-    for name in ("scores", "one_star"):
+    if "orders" in summed:
+        summed["orders"] = F.count("order_id")
+    for name in ("scores", "one_star"):  # no review at all is a count of zero
         if name in summed:
-            summed[name] = F.coalesce(summed[name], zero)
-    return groups.groupBy(*keys).agg(*[v.alias(k) for k, v in summed.items()])
+            summed[name] = F.coalesce(summed[name], F.lit(0))
+    columns = [v.cast("bigint").alias(k) for k, v in summed.items()]
+    return groups.groupBy(*keys).agg(*columns)

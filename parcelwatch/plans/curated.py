@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelwatch.operators.dedup import one_per_key
 from parcelwatch.operators.enrich import enrich_items, enrich_orders, enrich_reviews
+from parcelwatch.operators.fanout import ITEM_KEYS, STAGES, delivery_facts
 from parcelwatch.operators.nulls import fill_missing
 from parcelwatch.params import Params
-from parcelwatch.schemas import SORT_KEYS, TABLES, curated_columns
+from parcelwatch.schemas import (
+    SORT_KEYS,
+    TABLES,
+    curated_columns,
+    curated_schema,
+    raw_schema,
+)
 from parcelwatch.sources import storage
 from parcelwatch.sources.tables import read_table, table_path, write_table
 
 Raw = Mapping[str, DataFrame]
 
+# Published beside the eleven tables: the join most reports start from.
+FACTS = "delivery_facts"
+
 
 def curate(
     raw: Raw, table: str, params: Params = Params(), columns: Sequence[str] | None = None
@@ -49,46 +59,74 @@ def curate(
 class Warehouse:
     """Curated tables by name, whatever they come from."""
 
-    def __init__(self, load: Callable[[str, Sequence[str] | None], DataFrame]):
-        self._load = load
+    def __init__(
+        self,
+        load: Callable[[str, Sequence[str] | None], DataFrame],
+        load_facts: Callable[[], DataFrame] | None = None,
+    ):
+        self._load, self._load_facts = load, load_facts
 
     def table(self, name: str, *columns: str) -> DataFrame:
         return self._load(name, columns or None)
 
+    def facts(self, *keys: str) -> DataFrame:
+        """Delivery facts that can be grouped by `keys`: read if published, else joined."""
+        if self._load_facts:
+            return self._load_facts()
+        return delivery_facts(
+            self.table("order_items", "order_id", *keys, "price", "freight_value"),
+            self.table("orders", "order_id", "order_status", "is_late", *STAGES),
+            self.table("order_reviews", "order_id", "review_score"),
+            keys,
+        )
+
+    def without_facts(self) -> Warehouse:
+        """The same tables; the facts are joined from them."""
+        return Warehouse(self._load)
+
     @classmethod
     def computed(cls, raw: Raw, params: Params = Params()) -> Warehouse:
         return cls(lambda name, columns: curate(raw, name, params, columns))
 
     @classmethod
     def published(cls, spark: SparkSession, root: str) -> Warehouse:
-        return cls(lambda name, columns: read_table(spark, root, name, columns))
+        def load(name: str, columns: Sequence[str] | None) -> DataFrame:
+            return read_table(spark, root, name, columns, curated_schema(name))
+
+        facts = storage.exists(spark, table_path(root, FACTS))
+        return cls(load, (lambda: read_table(spark, root, FACTS)) if facts else None)
 
 
 def lake_tables(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
-    return {table: read_table(spark, lake, table) for table in TABLES}
+    return {t: read_table(spark, lake, t, schema=raw_schema(t)) for t in TABLES}
 
 
-def refresh(spark: SparkSession, raw: Raw, root: str, params: Params = Params()) -> list[str]:
+def refresh(
+    spark: SparkSession, raw: Raw, root: str, params: Params = Params(), facts: bool = True
+) -> list[str]:
     """Publish all curated tables. Running it again gives the same tables.
 
     Orders are enriched once: reviews take their context from the published orders. The
-    other tables do not depend on each other and are written side by side.
+    other tables do not depend on each other and are written side by side. With `facts` the
+    join of items, orders and reviews is published too, for the reports that share it.
     """
+    published = Warehouse.published(spark, root).without_facts()
 
     def publish(table: str, df: DataFrame) -> str:
         return write_table(df, root, table, SORT_KEYS[table])
 
     publish("orders", curate(raw, "orders", params))
-    reviews = fill_missing(
-        "order_reviews",
-        enrich_reviews(raw["order_reviews"], read_table(spark, root, "orders"), params),
-        params,
-    )
+    reviews = enrich_reviews(raw["order_reviews"], published.table("orders"), params)
     frames = {t: curate(raw, t, params) for t in TABLES if t not in ("orders", "order_reviews")}
-    frames["order_reviews"] = reviews
+    frames["order_reviews"] = fill_missing("order_reviews", reviews, params)
     with ThreadPoolExecutor(max_workers=4) as pool:
         list(pool.map(lambda item: publish(*item), frames.items()))
-    return [table_path(root, table) for table in TABLES]
+    paths = [table_path(root, table) for table in TABLES]
+    if facts:
+        paths.append(write_table(published.facts(*ITEM_KEYS), root, FACTS))
+    else:  # facts of an earlier refresh would be out of date
+        storage.delete(spark, table_path(root, FACTS))
+    return paths
 
 
 def clean_lake(spark: SparkSession, lake: str, root: str) -> dict[str, str]:

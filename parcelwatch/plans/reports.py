@@ -249,17 +249,10 @@ def _component_rows(
 
 
 def late_rate_by_state(wh: Warehouse, params: Params = Params()) -> DataFrame:
-    groups = order_groups(
-        wh.table("order_items", "order_id", "customer_state"),
-        _delivered(wh, params, TOTAL),
-        None,
-        ["customer_state"],
-    )
-    states = group_measures(
-        groups,
-        ["customer_state"],
-        ["orders", "late_orders", "rows", "late_rows", *stage_columns(TOTAL)],
-    )
+    keys = ["customer_state"]
+    groups = order_groups(_delivered(wh, params, *keys), keys, reviews=False)
+    measures = ["orders", "late_orders", "rows", "late_rows", *stage_columns(TOTAL)]
+    states = group_measures(groups, keys, measures)
     totals = _totals(states, TOTAL)
     return states.select(
         "customer_state",
@@ -285,30 +278,18 @@ def _gap(totals: Totals, stage: str, params: Params) -> Column:
     return mean_days(stage) - overall
 
 
-def _delivered(wh: Warehouse, params: Params, *stages: str) -> DataFrame:
-    orders = wh.table("orders", "order_id", "order_status", "is_late", *stages)
-    return orders.filter(F.col("order_status") == params.delivered)
-
-
-def _scores(wh: Warehouse) -> DataFrame:
-    return wh.table("order_reviews", "order_id", "review_score")
+def _delivered(wh: Warehouse, params: Params, *keys: str) -> DataFrame:
+    return wh.facts(*keys).filter(F.col("order_status") == params.delivered)
 
 
 def stages_by_state(
     wh: Warehouse, params: Params = Params(), per_order: bool = False
 ) -> DataFrame:
-    groups = order_groups(
-        wh.table("order_items", "order_id", "customer_state"),
-        _delivered(wh, params, PROCESSING, CARRIER, TOTAL),
-        _scores(wh),
-        ["customer_state"],
-        per_order,
-    )
+    keys = ["customer_state"]
+    groups = order_groups(_delivered(wh, params, *keys), keys, per_order=per_order)
     measures = ["orders", "rows", "late_rows", "score_sum", "scores"]
     return (
-        group_measures(
-            groups, ["customer_state"], measures + stage_columns(PROCESSING, CARRIER, TOTAL)
-        )
+        group_measures(groups, keys, measures + stage_columns(PROCESSING, CARRIER, TOTAL))
         .select(
             "customer_state",
             F.col("orders").alias("total_orders"),
@@ -324,18 +305,11 @@ def stages_by_state(
 
 def route_comparison(wh: Warehouse, params: Params = Params()) -> DataFrame:
     route = bands.route(F.col("seller_state"), F.col("customer_state"), params)
-    items = wh.table("order_items", "order_id", "seller_state", "customer_state")
-    groups = order_groups(
-        items.select("order_id", route.alias("rute_pengiriman")),
-        _delivered(wh, params, PROCESSING, CARRIER),
-        _scores(wh),
-        ["rute_pengiriman"],
-    )
+    facts = _delivered(wh, params, "seller_state", "customer_state")
+    groups = order_groups(facts.withColumn("rute_pengiriman", route), ["rute_pengiriman"])
     measures = ["orders", "late_orders", "score_sum", "scores"]
     return (
-        group_measures(
-            groups, ["rute_pengiriman"], measures + stage_columns(PROCESSING, CARRIER)
-        )
+        group_measures(groups, ["rute_pengiriman"], measures + stage_columns(PROCESSING, CARRIER))
         .select(
             "rute_pengiriman",
             F.col("orders").alias("total_orders"),
@@ -353,13 +327,8 @@ def route_comparison(wh: Warehouse, params: Params = Params()) -> DataFrame:
 
 def problem_sellers(wh: Warehouse, params: Params = Params()) -> DataFrame:
     keys = ["seller_id", "seller_state", "seller_city"]
-    orders = wh.table("orders", "order_id", "order_status", "is_late", PROCESSING)
-    groups = order_groups(
-        wh.table("order_items", "order_id", *keys),
-        orders.filter(F.col("order_status").isin(*params.moving) & (F.col(PROCESSING) >= 0)),
-        _scores(wh),
-        keys,
-    )
+    moving = F.col("order_status").isin(*params.moving) & F.col("processed")
+    groups = order_groups(wh.facts(*keys).filter(moving), keys)
     measures = ["orders", "late_orders", "late_rows", "score_sum", "scores"]
     sellers = group_measures(groups, keys, measures + stage_columns(PROCESSING)).filter(
         F.col("orders") >= params.min_orders
@@ -385,13 +354,7 @@ def problem_sellers(wh: Warehouse, params: Params = Params()) -> DataFrame:
 def _seller_losses(wh: Warehouse, params: Params, per_order: bool) -> DataFrame:
     """Measures of each seller's delivered orders, for the two loss lists."""
     keys = ["seller_id", "seller_state"]
-    groups = order_groups(
-        wh.table("order_items", "order_id", *keys, "price", "freight_value"),
-        _delivered(wh, params, PROCESSING),
-        _scores(wh),
-        keys,
-        per_order,
-    )
+    groups = order_groups(_delivered(wh, params, *keys), keys, per_order=per_order)
     measures = ["orders", "late_orders", "rows", "late_rows", *stage_columns(PROCESSING)]
     money = ["price_cents", "freight_cents", "late_freight_cents"]
     reviews = ["score_sum", "scores", "one_star"]
@@ -423,14 +386,10 @@ def freight_loss(wh: Warehouse, params: Params = Params(), per_order: bool = Fal
 
 
 def freight_loss_bands(wh: Warehouse, params: Params = Params()) -> DataFrame:
-    groups = order_groups(
-        wh.table("order_items", "order_id", "seller_id", "freight_value"),
-        _delivered(wh, params, PROCESSING),
-        None,
-        ["seller_id"],
-    )
+    keys = ["seller_id"]
+    groups = order_groups(_delivered(wh, params, *keys), keys, reviews=False)
     measures = ["orders", "late_freight_cents", *stage_columns(PROCESSING)]
-    sellers = group_measures(groups, ["seller_id"], measures).filter(
+    sellers = group_measures(groups, keys, measures).filter(
         (mean_days(PROCESSING) > params.slow_days) & (F.col("orders") >= params.min_orders)
     )
     band = bands.freight_loss(amount(F.col("late_freight_cents")), params)
@@ -448,15 +407,11 @@ def sla_distribution(
     wh: Warehouse, params: Params = Params(), per_order: bool = False
 ) -> DataFrame:
     """Seller rates are rounded before they are averaged over the band, as published."""
-    groups = order_groups(
-        wh.table("order_items", "order_id", "seller_id"),
-        _delivered(wh, params, PROCESSING).filter(F.col(PROCESSING) >= 0),
-        _scores(wh),
-        ["seller_id"],
-        per_order,
-    )
+    keys = ["seller_id"]
+    processed = _delivered(wh, params, *keys).filter("processed")
+    groups = order_groups(processed, keys, per_order=per_order)
     measures = ["orders", "rows", "late_rows", "score_sum", "scores", *stage_columns(PROCESSING)]
-    sellers = group_measures(groups, ["seller_id"], measures).filter(
+    sellers = group_measures(groups, keys, measures).filter(
         F.col("orders") >= params.min_orders_sla
     )
     category = bands.sla(mean_days(PROCESSING), params, bands.SLA_RANGES)

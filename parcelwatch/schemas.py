@@ -96,19 +96,33 @@ RAW = {
 
 TABLES = tuple(RAW)
 
+# Columns the enrichments add, with types.
+DELIVERY = {
+    "approval_time_hours": "double",
+    "seller_processing_days": "double",
+    "carrier_delivery_days": "double",
+    "total_delivery_days": "double",
+    "estimated_days": "double",
+    "delay_days": "double",
+    "is_late": "int",
+    "order_month": "string",
+    "order_year": "int",
+}
+COMPLAINT = {"is_delivery_complaint": "int", "comment_has_delay_keyword": "int"}
+LOOKUPS = {
+    "category": "string",
+    "seller_state": "string",
+    "seller_city": "string",
+    "customer_id": "string",
+    "customer_state": "string",
+    "customer_city": "string",
+    "order_status": "string",
+    "is_same_state": "int",
+    "order_purchase_timestamp": "string",
+}
+
 # Curated columns in their published order, where they differ from the raw ones.
-ORDERS = (
-    *RAW["orders"],
-    "approval_time_hours",
-    "seller_processing_days",
-    "carrier_delivery_days",
-    "total_delivery_days",
-    "estimated_days",
-    "delay_days",
-    "is_late",
-    "order_month",
-    "order_year",
-)
+ORDERS = (*RAW["orders"], *DELIVERY)
 ORDER_ITEMS = (
     "order_id",
     "order_item_id",
@@ -160,3 +174,12 @@ SORT_KEYS = {
 def curated_columns(table: str) -> tuple[str, ...]:
     enriched = {"orders": ORDERS, "order_items": ORDER_ITEMS, "order_reviews": ORDER_REVIEWS}
     return enriched.get(table, tuple(RAW[table]))
+
+
+def raw_schema(table: str) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in RAW[table].items())
+
+
+def curated_schema(table: str) -> str:
+    types = {**DELIVERY, **COMPLAINT, **LOOKUPS, **RAW[table]}
+    return ", ".join(f"{name} {types[name]}" for name in curated_columns(table))

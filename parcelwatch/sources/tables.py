@@ -18,11 +18,17 @@ def table_path(root: str, table: str) -> str:
 
 
 def read_table(
-    spark: SparkSession, root: str, table: str, columns: Sequence[str] | None = None
+    spark: SparkSession,
+    root: str,
+    table: str,
+    columns: Sequence[str] | None = None,
+    schema: str | None = None,
 ) -> DataFrame:
+    """The table, or some of its columns. With a `schema` no file is opened to infer one."""
     path = table_path(root, table)
     _undo_broken_swap(spark, path)
-    df = spark.read.parquet(path)
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.parquet(path)
     return df.select(*columns) if columns else df
 
 

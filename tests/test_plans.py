@@ -12,7 +12,7 @@ from helpers import final_plan, planned
 from pyspark.sql import functions as F
 
 from parcelwatch.operators.enrich import enrich_items
-from parcelwatch.operators.fanout import group_measures, order_groups
+from parcelwatch.operators.fanout import STAGES, delivery_facts, group_measures, order_groups
 from parcelwatch.params import Params
 from parcelwatch.plans import reports
 from parcelwatch.plans.curated import Warehouse, refresh
@@ -32,8 +32,9 @@ FACT_REPORTS = (
 
 @pytest.fixture(scope="module")
 def wh(spark, inputs, tmp_path_factory):
+    """Published tables without the shared facts: reports make the joins themselves."""
     root = str(tmp_path_factory.mktemp("warehouse"))
-    refresh(spark, inputs.raw, root)
+    refresh(spark, inputs.raw, root, facts=False)
     return Warehouse.published(spark, root)
 
 
@@ -198,8 +199,10 @@ def test_hot_seller_and_order_are_split_over_tasks(spark, skewed):
 
 def test_hot_order_and_seller_travel_combined(spark, skewed):
     items, orders, *_ = hot_market(spark)
-    orders = orders.select("order_id", F.lit(1).alias("is_late"))
-    groups = order_groups(items, orders, None, ["seller_id"])
+    days = [F.lit(1.0).alias(stage) for stage in STAGES]
+    orders = orders.select("order_id", "order_status", F.lit(1).alias("is_late"), *days)
+    reviews = spark.createDataFrame([], "order_id string, review_score int")
+    groups = order_groups(delivery_facts(items, orders, reviews, ["seller_id"]), ["seller_id"])
     # no more rows per order than it has sellers, however many items it has
     hot = groups.filter("order_id = 'hot order'")
     assert hot.count() == 1000

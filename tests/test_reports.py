@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parcelwatch.operators.fanout import group_measures, order_groups
+from parcelwatch.operators.fanout import delivery_facts, group_measures, order_groups
 from parcelwatch.params import Params
 from parcelwatch.plans import reports
 from parcelwatch.plans.curated import Warehouse
@@ -92,15 +92,18 @@ review_rows = st.lists(st.tuples(ids, st.sampled_from([1, 2, 5, None])), max_siz
 @given(orders=order_rows, items=item_rows, reviews=review_rows)
 def test_weighted_join_equals_the_literal_join(spark, orders, items, reviews):
     """Also for repeated order ids, missing scores and missing durations."""
-    od = spark.createDataFrame(orders, "order_id string, is_late int, d double").withColumnRenamed(
-        "d", "seller_processing_days"
+    od = spark.createDataFrame(
+        [(o, "delivered", late, d, 1.0, 1.0) for o, late, d in orders],
+        "order_id string, order_status string, is_late int, seller_processing_days double, "
+        "carrier_delivery_days double, total_delivery_days double",
     )
     money = [(o, s, p / 100, f / 100) for o, s, p, f in items]
     it = spark.createDataFrame(
         money, "order_id string, seller_id string, price double, freight_value double"
     )
     rv = spark.createDataFrame(reviews, "order_id string, review_score int")
-    sums = group_measures(order_groups(it, od, rv, ["seller_id"]), ["seller_id"], MEASURES)
+    facts = delivery_facts(it, od, rv, ["seller_id"])
+    sums = group_measures(order_groups(facts, ["seller_id"]), ["seller_id"], MEASURES)
     got = {r[0]: tuple(v or 0 for v in r[1:]) for r in sums.collect()}
     assert got == literal(orders, items, reviews)
 

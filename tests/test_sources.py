@@ -5,10 +5,11 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
-from helpers import item, order, raw_table, raw_tables, review, rows
+from helpers import final_plan, item, order, raw_table, raw_tables, review, rows
 
-from parcelwatch.plans.curated import Warehouse, clean_lake, lake_tables, refresh
+from parcelwatch.plans.curated import FACTS, Warehouse, clean_lake, lake_tables, refresh
 from parcelwatch.plans.ingest import ingest, loaded_share
+from parcelwatch.plans.reports import PER_ORDER, REPORTS
 from parcelwatch.schemas import RAW, SORT_KEYS, TABLES, curated_columns
 from parcelwatch.sources import storage
 from parcelwatch.sources.csv_files import read_csv
@@ -183,7 +184,7 @@ def test_refresh_equals_the_computed_tables_and_can_be_repeated(spark, lake, tmp
     root = str(tmp_path / "warehouse")
     raw = lake_tables(spark, lake)
     paths = refresh(spark, raw, root)
-    assert len(paths) == 11
+    assert len(paths) == 12
     wh = Warehouse.published(spark, root)
     first = contents(wh)
     assert first == contents(Warehouse.computed(raw))
@@ -202,3 +203,19 @@ def test_lake_is_cleaned_only_after_publishing(spark, lake, tmp_path):
     assert set(clean_lake(spark, lake, root).values()) == {"deleted"}
     assert set(clean_lake(spark, lake, root).values()) == {"absent"}
     assert Warehouse.published(spark, root).table("orders").count() == 2
+
+
+def test_reports_are_the_same_with_and_without_published_facts(spark, inputs, tmp_path):
+    root = str(tmp_path / "warehouse")
+    refresh(spark, inputs.raw, root)
+    wh = Warehouse.published(spark, root)
+    joined = wh.without_facts()
+    for name, report in REPORTS.items():
+        assert rows(report(wh)) == rows(report(joined)), name
+    for name in PER_ORDER:
+        assert rows(REPORTS[name](wh, per_order=True)) == rows(
+            REPORTS[name](joined, per_order=True)
+        ), name
+    assert "Join" not in final_plan(REPORTS["sla_distribution"](wh))
+    refresh(spark, inputs.raw, root, facts=False)
+    assert not storage.exists(spark, f"{root}/{FACTS}")
