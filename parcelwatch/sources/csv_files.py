@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwatch.functions.texts import normalise_columns
 from parcelwatch.schemas import RAW
+from parcelwatch.sources import storage
+from parcelwatch.sources.records import read_records
 
 # Cells that mean "missing", the defaults of a widely used CSV reader.
 MISSING = (
@@ -33,21 +35,50 @@ MISSING = (
     "null",
 )
 
-# Tables whose cells hold line breaks. Such a file is read by one task, so large inputs
-# should come as a folder of files; all other tables are split inside a file.
+# Tables whose cells hold line breaks.
 FREE_TEXT = ("order_reviews",)
 
+# Above this size a file with line breaks in its cells is not left to one task.
+SPLIT_ABOVE = 256 * 1024 * 1024
 
-def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read one raw table; columns outside the schema are kept as text."""
-    reader = spark.read.options(header=True, quote='"', escape='"', mode="FAILFAST")
-    df = normalise_columns(reader.option("multiLine", table in FREE_TEXT).csv(path))
+OPTIONS = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+
+
+def read_csv(
+    spark: SparkSession, path: str, table: str, split_above: int = SPLIT_ABOVE
+) -> DataFrame:
+    """Read one raw table; columns outside the schema are kept as text.
+
+    `path` is a file or a folder of files. Files without line breaks in their cells are
+    always split inside the file.
+    """
+    free_text = table in FREE_TEXT
+    reader = spark.read.options(header=True, multiLine=free_text, **OPTIONS)
+    cells = reader.csv(path)
+    if free_text and storage.largest_file(spark, path) > split_above:
+        cells = _read_split(spark, path, cells)
+    if free_text:  # breaks inside a cell arrive as LF, whichever way the file was read
+        breaks = F.lit("\r\n"), F.lit("\n")
+        cells = cells.select(*[F.replace(_quoted(c), *breaks).alias(c) for c in cells.columns])
+    df = normalise_columns(cells)
     missing = [c for c in RAW[table] if c not in df.columns]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
     return df.select(*[_typed(name, RAW[table]) for name in df.columns])
 
 
-def _typed(name: str, types: Mapping[str, str]):
+def _read_split(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The rows of `like`, parsed record by record."""
+    schema = ", ".join(f"{_quoted(name)} string" for name in like.columns)
+    cells = F.from_csv("text", schema, OPTIONS)
+    records = read_records(spark, path).filter(~F.col("header") & (F.col("text") != ""))
+    return records.select(cells.alias("cells")).select("cells.*")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _typed(name: str, types: Mapping[str, str]) -> Column:
     cell = F.when(~F.col(name).isin(*MISSING), F.col(name))
     return cell.cast(types.get(name, "string")).alias(name)

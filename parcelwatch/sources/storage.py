@@ -30,3 +30,9 @@ def modified(spark: SparkSession, path: str) -> int:
     """Modification time in milliseconds."""
     fs, where = _open(spark, path)
     return fs.getFileStatus(where).getModificationTime()
+
+
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Size in bytes of the largest file at or directly under `path`."""
+    fs, where = _open(spark, path)
+    return max((status.getLen() for status in fs.listStatus(where)), default=0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from pathlib import Path
 
 import pytest
@@ -59,6 +60,49 @@ def test_review_text_with_breaks_quotes_and_commas(spark, tmp_path):
     ]
 
 
+@pytest.fixture
+def long_reviews(tmp_path):
+    """Two files of reviews whose texts hold breaks, quotes and commas."""
+    folder = tmp_path / "order_reviews.csv"
+    folder.mkdir()
+    texts = [
+        "ok",
+        'linha um\nlinha "dois", fim',
+        "\n\nvazio\n",
+        "",
+        '"',
+        "a,b",
+        "x\r\ny",
+        "word " * 300 + "\n" + "tarde\n" * 200,
+    ]
+    for name in ("a", "b"):
+        with open(folder / f"{name}.csv", "w", newline="") as f:
+            writer = csv.writer(f, lineterminator="\r\n" if name == "b" else "\n")
+            writer.writerow(RAW["order_reviews"])
+            for n in range(200):
+                text = texts[n % len(texts)]
+                writer.writerow([f"{name}{n}", f"o{n}", 1 + n % 5, f"t{n}", text, "d", "t"])
+    return str(folder)
+
+
+@pytest.mark.parametrize("block", ["1KB", "3000", "50KB", "128MB"])
+def test_long_files_are_split_inside_records(spark, long_reviews, conf, block):
+    whole = sorted(map(repr, rows(read_csv(spark, long_reviews, "order_reviews"))))
+    assert len(whole) == 400
+    assert "\\r" not in "".join(whole)
+    conf(spark__sql__files__maxPartitionBytes=block, spark__sql__files__openCostInBytes="0")
+    split = read_csv(spark, long_reviews, "order_reviews", split_above=0)
+    assert sorted(map(repr, rows(split))) == whole
+    lines = spark.read.text(long_reviews, lineSep="\n")
+    assert block == "128MB" or lines.rdd.getNumPartitions() > 2
+
+
+def test_a_quoted_value_without_end_is_refused(spark, tmp_path):
+    path = write(tmp_path / "r.csv", header("order_reviews") + 'r1,a,5,t,"no end,d,t\n')
+    with pytest.raises(Exception, match="no end"):
+        read_csv(spark, path, "order_reviews", split_above=0).collect()
+
+
 def test_unreadable_number_stops_the_run(spark, tmp_path):
     text = header("order_payments") + "a,one,card,1,2.5\n"
     df = read_csv(spark, write(tmp_path / "p.csv", text), "order_payments")
