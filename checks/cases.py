@@ -37,8 +37,8 @@ from parcelwatch.operators.enrich import (
     enrich_items,
     enrich_orders,
     enrich_reviews,
-    labelled_products,
     order_context,
+    with_category,
 )
 from parcelwatch.operators.fanout import group_measures, order_groups
 from parcelwatch.operators.shares import Totals
@@ -202,7 +202,8 @@ def _(t: Inputs) -> DataFrame:
          ON t.product_category_name = p.product_category_name""",
 )
 def _(t: Inputs) -> DataFrame:
-    return labelled_products(t.raw["products"], t.raw["category_translation"])
+    products = t.raw["products"].select("product_id", "product_category_name")
+    return with_category(products, t.raw["category_translation"])
 
 
 def _items(t: Inputs, *columns: str) -> DataFrame:

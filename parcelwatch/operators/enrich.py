@@ -41,17 +41,15 @@ def order_context(
     return context
 
 
-def labelled_products(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """The category of each product, translated where a translation exists."""
+def with_category(df: DataFrame, translation: DataFrame) -> DataFrame:
+    """Replace the product category name by its label, translated where possible."""
+    label = texts.category_label(
+        F.col("product_category_name_english"), F.col("product_category_name")
+    )
     return (
-        products.select("product_id", "product_category_name")
-        .join(translation, "product_category_name", "left")
-        .select(
-            "product_id",
-            texts.category_label(
-                F.col("product_category_name_english"), F.col("product_category_name")
-            ).alias("category"),
-        )
+        df.join(translation, "product_category_name", "left")
+        .withColumn("category", label)
+        .drop("product_category_name", "product_category_name_english")
     )
 
 
@@ -66,9 +64,9 @@ def enrich_items(
 ) -> DataFrame:
     """Items with the places of seller and customer, the category and the route flag.
 
-    Customers are joined to orders and translations to products first: the item table, the
-    largest one, is then shuffled for three keys instead of five. Only the joins that the
-    wanted `columns` need are made.
+    Customers are joined to orders first, so the item table, the largest one, is not
+    shuffled by customer. The other lookups are plain scans, whose size Spark knows: a small
+    one is broadcast from the start. Only the joins that the wanted `columns` need are made.
     """
     wanted = set(columns)
     needed = set(wanted)
@@ -88,8 +86,8 @@ def enrich_items(
     if seller_place:
         df = df.join(sellers.select("seller_id", *seller_place), "seller_id", "left")
     if "category" in needed:
-        df = df.join(labelled_products(products, translation), "product_id", "left")
-        df = df.withColumn("category", F.coalesce("category", F.lit("unknown")))
+        names = products.select("product_id", "product_category_name")
+        df = with_category(df.join(names, "product_id", "left"), translation)
     if "is_same_state" in wanted:
         same = F.col("seller_state") == F.col("customer_state")
         df = df.withColumn("is_same_state", F.coalesce(same, F.lit(False)).cast("int"))
