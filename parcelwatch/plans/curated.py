@@ -112,15 +112,22 @@ def refresh(
     """
     published = Warehouse.published(spark, root).without_facts()
 
-    def publish(table: str, df: DataFrame) -> str:
-        return write_table(df, root, table, SORT_KEYS[table])
+    def publish(table: str) -> None:
+        if table == "order_reviews":
+            orders = published.table("orders")
+            df = enrich_reviews(raw[table], orders, params)
+            df = fill_missing(table, df, params)
+        else:
+            df = curate(raw, table, params)
+        write_table(df, root, table, SORT_KEYS[table])
 
-    publish("orders", curate(raw, "orders", params))
-    reviews = enrich_reviews(raw["order_reviews"], published.table("orders"), params)
-    frames = {t: curate(raw, t, params) for t in TABLES if t not in ("orders", "order_reviews")}
-    frames["order_reviews"] = fill_missing("order_reviews", reviews, params)
     with ThreadPoolExecutor(max_workers=4) as pool:
-        list(pool.map(lambda item: publish(*item), frames.items()))
+        first = pool.submit(publish, "orders")
+        others = [pool.submit(publish, t) for t in TABLES if t not in ("orders", "order_reviews")]
+        first.result()
+        others.append(pool.submit(publish, "order_reviews"))
+        for done in others:
+            done.result()
     paths = [table_path(root, table) for table in TABLES]
     if facts:
         paths.append(write_table(published.facts(*ITEM_KEYS), root, FACTS))
