@@ -154,6 +154,7 @@ def clean_lake(spark: SparkSession, lake: str, root: str) -> dict[str, str]:
 
 
 def _is_published(spark: SparkSession, source: str, marker: str) -> bool:
-    return storage.exists(spark, marker) and storage.modified(spark, marker) >= storage.modified(
-        spark, f"{source}/_SUCCESS"
-    )
+    loaded = f"{source}/_SUCCESS"
+    if not (storage.exists(spark, marker) and storage.exists(spark, loaded)):
+        return False
+    return storage.modified(spark, marker) >= storage.modified(spark, loaded)
