@@ -137,12 +137,16 @@ class RawTables(Mapping):
 
     def _build_timed_orders(self) -> DataFrame:
         o = F.col("o_orderkey")
-        customers = self._located("customer", "c_nationkey").select(
-            F.col("c_custkey").alias("o_custkey"), F.col("state").alias("customer_state")
+        # plain scans one after the other: Spark knows their sizes and broadcasts small ones
+        customers = self._read("customer").select(
+            F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("customer_nation")
         )
-        sellers = self._located("supplier", "s_nationkey").select(
-            F.col("s_suppkey").alias("sk"), F.col("state").alias("main_seller_state")
+        sellers = self._read("supplier").select(
+            F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("seller_nation")
         )
+        states = self._nation_states()
+        from_state = states.toDF("seller_nation", "main_seller_state")
+        to_state = states.toDF("customer_nation", "customer_state")
         phase = o % 20
         status = (
             F.when(phase < 17, "delivered")
@@ -164,7 +168,9 @@ class RawTables(Mapping):
             self._read("orders")
             .withColumn("sk", self._main_seller(o))
             .join(customers, "o_custkey", "left")
+            .join(to_state, "customer_nation", "left")
             .join(sellers, "sk", "left")
+            .join(from_state, "seller_nation", "left")
             .select(
                 o,
                 "o_custkey",
