@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwatch.llm.common import bounded_sample, prepare, written
-from parcelwatch.llm.quality_rules import measures
+from parcelwatch.llm.quality_rules import measure
 
 PER_CLASS = 2000
 STEPS, L2 = 60, 1.0
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = bounded_sample(known, "quality", PER_CLASS, F.col("doc_id"))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    some = texts.join(F.broadcast(sample), "doc_id").select("quality", F.explode(F.array(measures(F.col("text")))).alias("m"))
+    some = measure(texts.join(F.broadcast(sample), "doc_id"), "text", "m")
     rows = some.select("quality", F.array(*(f.cast("double") for f in features(F.col("m")))).alias("x")).collect()
     if not rows:
         return None
@@ -196,8 +196,9 @@ def classify(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{host_col}`").alias("own_host"),
         F.col(f"`{path_col}`").alias("own_path"),
-        F.explode(F.array(measures(F.col(f"`{text_col}`")))).alias("m"),
+        F.col(f"`{text_col}`").alias("text"),
     )
+    measured = measure(measured, "text", "m")
     # small rows from here on: texts are measured once and left behind
     known = written(measured.select("doc_id", "own_host", "own_path", evidence(F.col("m"), model).alias("evidence")), "evidence")
     found = known.join(sites, "doc_id", "left")

@@ -1,6 +1,6 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
-`measures` describes a whole text by lengths, symbols, repeated lines and words, stop words and
+`measure` describes a whole text by lengths, symbols, repeated lines and words, stop words and
 letters; `RULES` says which values are acceptable; `judge` turns both into columns. No user
 function runs and nothing is shuffled: repeated word windows are found by sorting hashes inside
 the row, and only windows whose hashes meet are compared as text, so counts are exact.
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from parcelwatch.llm.common import let, words_of
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\f\r"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -57,7 +56,7 @@ RULES = (
 
 
 def _count(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    return F.regexp_count(text, F.lit(characters)).cast("long")
 
 
 def _repeated_positions(words: Column) -> Column:
@@ -101,8 +100,8 @@ def _repeated_positions(words: Column) -> Column:
         return F.transform(kept, lambda x: x["at"])
 
     none = F.array().cast("array<int>")
-    met = let(F.array_sort(keys(words)), meeting)
-    exact = let(F.array_sort(F.transform(met, lambda k: window(words, k))), repeated)
+    met = let(F.sort_array(keys(words)), meeting)
+    exact = let(F.sort_array(F.transform(met, lambda k: window(words, k))), repeated)
     return F.when(F.size(words) < WINDOW + 1, none).otherwise(exact)
 
 
@@ -113,38 +112,57 @@ def _repeat_words(words: Column) -> Column:
     return F.size(F.array_distinct(covered)).cast("long")
 
 
-def measures(text: Column) -> Column:
-    """A struct of counts of a whole text; all zero for null."""
+def _nested(text: Column) -> Column:
+    """All counts of a text, nested so that no array of words or lines is made twice."""
     text = F.coalesce(text, F.lit(""))
-    stops = F.array(*(F.lit(w) for w in sorted(set(" ".join(STOP_WORDS.values()).split()))))
-    written = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
-    solid = F.translate(text, BLANKS, "")
-    capitals = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}", ""))
+    stops = sorted(set(" ".join(STOP_WORDS.values()).split()))
+    written = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+    def of_solid(solid: Column) -> Column:
+        """Of the words without the white space between them."""
+        return F.struct(
+            F.length(solid).cast("long").alias("word_chars"),
+            _count(solid, SYMBOLS).alias("n_symbols"),
+            _count(solid, r"\p{Lu}").alias("n_capitals"),
+            _count(solid, r"\P{L}").alias("n_other"),
+        )
 
     def of_words(ws: Column) -> Column:
-        plain = F.transform(ws, F.lower)
+        # membership in a literal list is a look-up in a set
+        stopped = F.filter(ws, lambda w: F.lower(w).isin(*stops))
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
             _repeat_words(ws).alias("n_repeat_words"),
-            F.size(F.filter(plain, lambda w: F.array_contains(stops, w))).cast("long").alias("n_stop_words"),
+            F.size(stopped).cast("long").alias("n_stop_words"),
+            let(F.array_join(ws, ""), of_solid).alias("solid"),
         )
 
     def of_lines(lines: Column) -> Column:
         n = F.size(lines).cast("long")
         return F.struct(n.alias("n_lines"), (n - F.size(F.array_distinct(lines))).alias("n_dup_lines"))
 
-    by_word, by_line = let(words_of(text), of_words), let(written, of_lines)
-    return F.struct(
-        by_word["n_words"].alias("n_words"),
-        F.length(solid).cast("long").alias("word_chars"),
-        _count(text, SYMBOLS).alias("n_symbols"),
-        by_line["n_lines"].alias("n_lines"),
-        by_line["n_dup_lines"].alias("n_dup_lines"),
-        by_word["n_repeat_words"].alias("n_repeat_words"),
-        by_word["n_stop_words"].alias("n_stop_words"),
-        capitals.cast("long").alias("n_capitals"),
-        letters.cast("long").alias("n_letters"),
+    return F.struct(let(words_of(text), of_words).alias("words"), let(written, of_lines).alias("lines"))
+
+
+def measure(docs: DataFrame, text_col: str = "text", into: str = "measures") -> DataFrame:
+    """`docs` with a struct of counts of each whole text in column `into`; all zero for null."""
+    # explode keeps the counts a column of its own: later expressions read it, not recompute it
+    counted = docs.drop(into).select("*", F.explode(F.array(_nested(F.col(f"`{text_col}`")))).alias(into))
+    words, lines = F.col(into)["words"], F.col(into)["lines"]
+    solid = words["solid"]
+    return counted.withColumn(
+        into,
+        F.struct(
+            words["n_words"].alias("n_words"),
+            solid["word_chars"].alias("word_chars"),
+            solid["n_symbols"].alias("n_symbols"),
+            lines["n_lines"].alias("n_lines"),
+            lines["n_dup_lines"].alias("n_dup_lines"),
+            words["n_repeat_words"].alias("n_repeat_words"),
+            words["n_stop_words"].alias("n_stop_words"),
+            solid["n_capitals"].alias("n_capitals"),
+            (solid["word_chars"] - solid["n_other"]).alias("n_letters"),
+        ),
     )
 
 
@@ -171,8 +189,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     The new columns replace columns of the same names.
     """
     name = "measures"
-    # explode keeps the measures a column of its own: later expressions read it, not recompute it
-    counted = docs.drop(name).select("*", F.explode(F.array(measures(F.col(f"`{text_col}`")))).alias(name))
+    counted = measure(docs, text_col, name)
     m = F.col(name)
     failed, broken = base_failed(m), verdict(m, rules)
     return counted.withColumns({"base_failed": failed, "broken": broken, "kept": ~failed & (F.size(broken) == 0)})
