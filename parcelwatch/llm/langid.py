@@ -142,26 +142,25 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     """A model of the languages in `docs`; rows without a language or a letter teach nothing."""
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    df, n = document_frequencies(rows.select("text"))
-    idf = np.log((1 + n) / (1 + df)) + 1
+    df, texts = document_frequencies(rows.select("text"))
+    idf = np.log((1 + texts) / (1 + df)) + 1
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             grams = [gram_counts(t) for t in part["text"]]
-            yield pd.DataFrame(
-                {"lang": part["lang"], "key": part["key"], "at": [g[0] for g in grams], "n": [g[1] for g in grams]}
-            )
+            at, n = ([g[i].astype(np.int32).tobytes() for g in grams] for i in (0, 1))
+            yield pd.DataFrame({"lang": part["lang"], "key": part["key"], "at": at, "n": n})
 
     key = F.xxhash64("text")
     sample = bounded_sample(rows, "lang", PER_LANGUAGE, key).withColumn("key", key)
-    schema = "lang string, key long, at array<long>, n array<long>"
+    schema = "lang string, key long, at binary, n binary"  # arrays as bytes: small on the driver
     found = sorted(sample.mapInPandas(vectors, schema).collect(), key=lambda r: (r.key, r.lang))
     languages = tuple(sorted({r.lang for r in found}))
     examples, left_out = [], []
     for r in found:
-        at = np.array(r.at, np.int64)
+        at, n = (np.frombuffer(b, np.int32).astype(np.int64) for b in (r.at, r.n))
         part = left_out if r.key % 5 == 0 else examples
-        part.append((at, vector(at, np.array(r.n, np.int64), idf), languages.index(r.lang)))
+        part.append((at, vector(at, n, idf), languages.index(r.lang)))
     if not examples:
         examples, left_out = left_out, []
     weights, bias = ftrl(examples, len(languages))
