@@ -164,7 +164,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
     if not examples:
         examples, left_out = left_out, []
     weights, bias = ftrl(examples, len(languages))
-    logits = np.array([x @ weights[at] + bias for at, x, _ in left_out]).reshape(-1, len(languages))
+    logits = np.array([x @ weights[at] + bias for at, x, _ in left_out]).reshape(len(left_out), len(languages))
     t = temperature(logits, np.array([y for _, _, y in left_out], np.int64))
     return Model(languages, idf.astype(np.float32), weights.astype(np.float32), bias, t)
 

@@ -89,13 +89,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH t AS (
         SELECT doc_id, coalesce(text, '') AS text,
-               list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS ws
+               list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
         FROM documents),
     n AS (
         SELECT *, len(ws) AS n_words,
                regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS solid,
                list_filter(string_split(text, chr(10)),
-                           l -> regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls,
+                           lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls,
                CASE WHEN len(ws) < 3 THEN [] ELSE
                    [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] END AS wins
         FROM t),
@@ -109,7 +109,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                length(solid) AS word_chars,
                length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
-               len(list_filter(ws, x -> list_contains(
+               len(list_filter(ws, lambda x: list_contains(
                    {sorted(set(" ".join(quality_rules.STOP_WORDS.values()).split()))}, lower(x)))) AS n_stop_words,
                length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS n_capitals,
                length(text) - length(regexp_replace(text, '\\p{{L}}', '', 'g')) AS n_letters
