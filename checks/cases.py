@@ -44,10 +44,11 @@ from parcelwatch.operators.fanout import group_measures, order_groups
 from parcelwatch.operators.shares import Totals
 from parcelwatch.params import Params
 from parcelwatch.plans import reports
-from parcelwatch.plans.curated import Warehouse
+from parcelwatch.plans.curated import Warehouse, clean_lake, lake_tables, refresh
+from parcelwatch.plans.ingest import ingest
 from parcelwatch.schemas import ORDER_ITEMS, ORDER_REVIEWS, ORDERS, TABLES
 from parcelwatch.session import configure, shared_dir
-from parcelwatch.sources.tables import read_table, write_table
+from parcelwatch.sources.tables import current, read_table, write_table
 
 
 @dataclass(frozen=True)
@@ -865,3 +866,98 @@ for _name in reports.REPORTS:
     _register_report(_name, _name)
 for _name in reports.PER_ORDER:
     _register_report(_name, f"{_name}_per_order", per_order=True)
+
+
+# --- the path users take: refresh, publish, read back -----------------------------------------
+
+
+@lru_cache(maxsize=8)
+def _published(spark: SparkSession, sf_dir: str) -> Warehouse:
+    root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    refresh(spark, inputs(spark, sf_dir).raw, root)
+    return Warehouse.published(spark, root)
+
+
+def published(t: Inputs) -> Warehouse:
+    """The warehouse of a refresh into the shared folder, made once for each input."""
+    return _published(t.spark, t.sf_dir)
+
+
+def _register_published(name: str, sql_name: str, **options) -> None:
+    @case(f"published_{sql_name}", REPORT_SQL[sql_name])
+    def _(t: Inputs) -> DataFrame:
+        return reports.REPORTS[name](published(t), **options)
+
+
+for _name in reports.REPORTS:
+    _register_published(_name, _name)
+for _name in reports.PER_ORDER:
+    _register_published(_name, f"{_name}_per_order", per_order=True)
+
+
+@case(
+    "op_tables_by_name",
+    """SELECT order_status, count(*) AS n FROM c_orders
+       GROUP BY order_status HAVING count(*) > 10""",
+)
+def _(t: Inputs) -> DataFrame:
+    published(t).register(t.spark, "market_")
+    return t.spark.sql(
+        "SELECT order_status, count(*) AS n FROM market_orders"
+        " GROUP BY order_status HAVING count(*) > 10"
+    )
+
+
+def _csv_lake(t: Inputs) -> tuple[str, DataFrame]:
+    """The raw tables written as CSV with line breaks in a cell, and ingested again."""
+    root = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    for table in TABLES:
+        df = t.raw[table]
+        if table == "order_reviews":
+            broken = F.concat(F.lit('a "b",\n'), F.col("review_comment_message"))
+            df = df.withColumn("review_comment_message", broken)
+        df.write.csv(f"{root}/in/{table}.csv", header=True, escape='"')
+    return f"{root}/lake", ingest(t.spark, f"{root}/in", f"{root}/lake")
+
+
+@case(
+    "op_csv_source",
+    """SELECT review_id::VARCHAR AS review_id, order_id::VARCHAR AS order_id, review_score,
+              'a "b",' || chr(10) || review_comment_message AS review_comment_message
+       FROM raw_reviews""",
+)
+def _(t: Inputs) -> DataFrame:
+    lake, _ = _csv_lake(t)
+    reviews = read_table(t.spark, lake, "order_reviews")
+    return reviews.select("review_id", "order_id", "review_score", "review_comment_message")
+
+
+@case(
+    "op_ingest_report",
+    "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS \"table\", 'loaded' AS status, count(*) AS \"rows\" FROM {cte}"
+        for name, cte in RAW_NAMES.items()
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    return _csv_lake(t)[1]
+
+
+@case(
+    "op_clean_lake",
+    "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS \"table\", '{'kept' if name == 'sellers' else 'gone'}' AS lake,"
+        f" count(*) AS \"rows\" FROM {cte}"
+        for name, cte in CURATED_NAMES.items()
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    """Refresh from a lake, load sellers anew, clean up: only the new load is left."""
+    lake = f"{shared_dir(t.spark)}/lake-{uuid.uuid4().hex}"
+    for table in TABLES:
+        write_table(t.raw[table], lake, table)
+    report = refresh(t.spark, lake_tables(t.spark, lake), f"{lake}-warehouse")
+    write_table(t.raw["sellers"], lake, "sellers")
+    clean_lake(t.spark, lake, f"{lake}-warehouse")
+    left = [(n, "gone" if current(t.spark, f"{lake}/{n}") is None else "kept") for n in TABLES]
+    return report.join(t.spark.createDataFrame(left, "table string, lake string"), "table")

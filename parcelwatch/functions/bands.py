@@ -53,7 +53,8 @@ def p90_status(p90: Column, params: Params) -> Column:
 
 def route(seller_state: Column, customer_state: Column, params: Params) -> Column:
     from_hub, to_hub = seller_state == params.hub_state, customer_state == params.hub_state
-    return first_match([from_hub & to_hub, from_hub & ~to_hub, ~from_hub & to_hub], ROUTE_NAMES)
+    names = [name.replace("SP", params.hub_state) for name in ROUTE_NAMES]
+    return first_match([from_hub & to_hub, from_hub & ~to_hub, ~from_hub & to_hub], names)
 
 
 def sla(days: Column, params: Params, names: Sequence[str] = SLA_NAMES) -> Column:

@@ -44,7 +44,8 @@ def item_facts(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 def order_facts(orders: DataFrame) -> DataFrame:
     """One row per order (and status): copies, late copies, stages in tenths of a day."""
     processed = F.col("seller_processing_days") >= 0
-    return orders.groupBy("order_id", "order_status", processed.alias("processed")).agg(
+    # orders are near-unique: one shuffle by the order serves the grouping and the joins
+    return orders.repartition("order_id").groupBy("order_id", "order_status", processed.alias("processed")).agg(
         F.count(F.lit(1)).alias("n_copies"),
         F.sum("is_late").alias("late_copies"),
         F.max("is_late").alias("late"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 # Words that mark a complaint about waiting, in Portuguese and English.
 DELAY_KEYWORDS = (
@@ -30,6 +30,16 @@ SCORE_LABELS = {
 }
 
 
+# The parameters that act when tables are computed; all others act in the reports.
+TABLE_FIELDS = (
+    "impute_missing",
+    "delivered",
+    "complaint_max_score",
+    "delay_keywords",
+    "whole_words",
+)
+
+
 @dataclass(frozen=True)
 class Params:
     # null policy: True replaces missing values before they are averaged
@@ -74,3 +84,16 @@ class Params:
 
     # gap to the national average: False averages the group averages
     weighted_gap: bool = False
+
+    def of_tables(self) -> dict:
+        """The parameters the curated tables depend on, as plain values."""
+        found = asdict(self)
+        return {
+            name: list(found[name]) if isinstance(found[name], tuple) else found[name]
+            for name in TABLE_FIELDS
+        }
+
+    @classmethod
+    def from_tables(cls, values: dict) -> Params:
+        plain = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
+        return cls(**plain)

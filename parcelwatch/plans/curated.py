@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,7 +12,7 @@ from parcelwatch.operators.dedup import one_per_key
 from parcelwatch.operators.enrich import enrich_items, enrich_orders, enrich_reviews
 from parcelwatch.operators.fanout import ITEM_KEYS, STAGES, delivery_facts
 from parcelwatch.operators.nulls import fill_missing
-from parcelwatch.params import Params
+from parcelwatch.params import TABLE_FIELDS, Params
 from parcelwatch.schemas import (
     SORT_KEYS,
     TABLES,
@@ -20,12 +21,21 @@ from parcelwatch.schemas import (
     raw_schema,
 )
 from parcelwatch.sources import storage
-from parcelwatch.sources.tables import read_table, table_path, write_table
+from parcelwatch.sources.tables import (
+    current,
+    new_version,
+    publish,
+    read_files,
+    table_path,
+    write_files,
+)
 
 Raw = Mapping[str, DataFrame]
 
 # Published beside the eleven tables: the join most reports start from.
 FACTS = "delivery_facts"
+# Beside the tables of a version: what it was made of.
+MANIFEST = "_manifest.json"
 
 
 def curate(
@@ -57,21 +67,22 @@ def curate(
 
 
 class Warehouse:
-    """Curated tables by name, whatever they come from."""
+    """Curated tables by name, whatever they come from, and the parameters they were made with."""
 
     def __init__(
         self,
         load: Callable[[str, Sequence[str] | None], DataFrame],
         load_facts: Callable[[], DataFrame] | None = None,
+        params: Params = Params(),
     ):
-        self._load, self._load_facts = load, load_facts
+        self._load, self._load_facts, self.params = load, load_facts, params
 
     def table(self, name: str, *columns: str) -> DataFrame:
         return self._load(name, columns or None)
 
     def facts(self, *keys: str) -> DataFrame:
-        """Delivery facts that can be grouped by `keys`: read if published, else joined."""
-        if self._load_facts:
+        """Delivery facts that can be grouped by `keys`: read if published so, else joined."""
+        if self._load_facts and set(keys) <= set(ITEM_KEYS):
             return self._load_facts()
         return delivery_facts(
             self.table("order_items", "order_id", *keys, "price", "freight_value"),
@@ -82,79 +93,138 @@ class Warehouse:
 
     def without_facts(self) -> Warehouse:
         """The same tables; the facts are joined from them."""
-        return Warehouse(self._load)
+        return Warehouse(self._load, None, self.params)
+
+    def agreed(self, params: Params | None) -> Params:
+        """Report parameters that fit the tables; none given: those of the tables.
+
+        Table parameters cannot act on finished tables, so another value is refused.
+        """
+        if params is None:
+            return self.params
+        odd = [f for f in TABLE_FIELDS if getattr(params, f) != getattr(self.params, f)]
+        if odd:
+            raise ValueError(f"the tables were made with other values of {', '.join(odd)}")
+        return params
+
+    def register(self, spark: SparkSession, prefix: str = "") -> list[str]:
+        """Name the tables for SQL: a temporary view for each, of the version read here."""
+        views = [f"{prefix}{table}" for table in TABLES]
+        for table, view in zip(TABLES, views, strict=True):
+            self.table(table).createOrReplaceTempView(view)
+        if self._load_facts:
+            views.append(f"{prefix}{FACTS}")
+            self._load_facts().createOrReplaceTempView(views[-1])
+        return views
 
     @classmethod
     def computed(cls, raw: Raw, params: Params = Params()) -> Warehouse:
-        return cls(lambda name, columns: curate(raw, name, params, columns))
+        return cls(lambda name, columns: curate(raw, name, params, columns), None, params)
 
     @classmethod
     def published(cls, spark: SparkSession, root: str) -> Warehouse:
+        """The current version, resolved once: tables, facts and parameters belong together."""
+        version = current(spark, root)
+        if version is None:
+            raise FileNotFoundError(f"{root}: nothing published")
+        return cls._of_version(spark, f"{root}/{version}", manifest(spark, root, version))
+
+    @classmethod
+    def _of_version(cls, spark: SparkSession, path: str, made: dict) -> Warehouse:
         def load(name: str, columns: Sequence[str] | None) -> DataFrame:
-            return read_table(spark, root, name, columns, curated_schema(name))
+            return read_files(spark, table_path(path, name), columns, curated_schema(name))
+
+        facts = (lambda: read_files(spark, table_path(path, FACTS))) if made["facts"] else None
+        return cls(load, facts, Params.from_tables(made["params"]))
+
+
+class LakeTables(dict):
+    """Raw tables by name, and the lake version each of them was read from."""
 
-        facts = storage.exists(spark, table_path(root, FACTS))
-        return cls(load, (lambda: read_table(spark, root, FACTS)) if facts else None)
+    def __init__(self, tables: Raw, versions: Mapping[str, str]):
+        super().__init__(tables)
+        self.versions = dict(versions)
 
 
-def lake_tables(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
-    return {t: read_table(spark, lake, t, schema=raw_schema(t)) for t in TABLES}
+def lake_tables(spark: SparkSession, lake: str) -> LakeTables:
+    versions = {t: current(spark, table_path(lake, t)) for t in TABLES}
+    absent = [t for t, version in versions.items() if version is None]
+    if absent:
+        raise FileNotFoundError(f"{lake}: nothing loaded for {', '.join(absent)}")
+    tables = {
+        t: read_files(spark, f"{table_path(lake, t)}/{versions[t]}", schema=raw_schema(t))
+        for t in TABLES
+    }
+    return LakeTables(tables, versions)
+
+
+def manifest(spark: SparkSession, root: str, version: str) -> dict:
+    """What a published version is made of: table rows, facts, parameters, lake versions."""
+    return json.loads(storage.read_text(spark, f"{root}/{version}/{MANIFEST}"))
 
 
 def refresh(
     spark: SparkSession, raw: Raw, root: str, params: Params = Params(), facts: bool = True
-) -> list[str]:
-    """Publish all curated tables. Running it again gives the same tables.
+) -> DataFrame:
+    """Publish all curated tables as one version; returns a row per table with its rows.
 
-    Orders are enriched once: reviews take their context from the published orders. The
-    other tables do not depend on each other and are written side by side. With `facts` the
-    join of items, orders and reviews is published too, for the reports that share it.
+    Orders are enriched once: reviews take their context from the written orders. The other
+    tables do not depend on each other and are written side by side. With `facts` the join of
+    items, orders and reviews is written too, for the reports that share it. Readers see the
+    new version when all of it is written; a failure leaves the old one.
     """
-    published = Warehouse.published(spark, root).without_facts()
+    version = new_version()
+    path = f"{root.rstrip('/')}/{version}"
+    made = {"facts": facts, "params": params.of_tables(), "rows": {}}
+    made["lake"] = dict(getattr(raw, "versions", {}))
+    fresh = Warehouse._of_version(spark, path, made | {"facts": False})
 
-    def publish(table: str) -> None:
+    def curated(table: str) -> None:
         if table == "order_reviews":
-            orders = published.table("orders")
-            df = enrich_reviews(raw[table], orders, params)
+            df = enrich_reviews(raw[table], fresh.table("orders"), params)
             df = fill_missing(table, df, params)
         else:
             df = curate(raw, table, params)
-        write_table(df, root, table, SORT_KEYS[table])
+        write_files(df, table_path(path, table), SORT_KEYS[table])
 
     with ThreadPoolExecutor(max_workers=4) as pool:
-        first = pool.submit(publish, "orders")
-        others = [pool.submit(publish, t) for t in TABLES if t not in ("orders", "order_reviews")]
+        first = pool.submit(curated, "orders")
+        others = [pool.submit(curated, t) for t in TABLES if t not in ("orders", "order_reviews")]
         first.result()
-        others.append(pool.submit(publish, "order_reviews"))
+        others.append(pool.submit(curated, "order_reviews"))
         for done in others:
             done.result()
-    paths = [table_path(root, table) for table in TABLES]
     if facts:
-        paths.append(write_table(published.facts(*ITEM_KEYS), root, FACTS))
-    else:  # facts of an earlier refresh would be out of date
-        storage.delete(spark, table_path(root, FACTS))
-    return paths
+        write_files(fresh.facts(*ITEM_KEYS), table_path(path, FACTS))
+    # row counts come from the files' footers: no second pass over the tables
+    made["rows"] = {t: fresh.table(t).count() for t in TABLES}
+    storage.write_text(spark, f"{path}/{MANIFEST}", json.dumps(made))
+    publish(spark, root.rstrip("/"), version)
+    return spark.createDataFrame(list(made["rows"].items()), "table string, rows bigint")
 
 
 def clean_lake(spark: SparkSession, lake: str, root: str) -> dict[str, str]:
-    """Delete lake tables whose published copy is newer; a failed delete is only reported."""
+    """Delete the lake versions that the published warehouse was made from, all or nothing.
+
+    Nothing is deleted unless one version of the warehouse holds all tables and the facts. A
+    version that an ingest brought meanwhile is not in its manifest and stays. A delete that
+    fails is only reported.
+    """
+    version = current(spark, root.rstrip("/"))
+    made = manifest(spark, root.rstrip("/"), version) if version else {"lake": {}, "facts": False}
+    whole = made["facts"] and set(made["lake"]) == set(TABLES)
     outcome = {}
     for table in TABLES:
-        source, marker = table_path(lake, table), f"{table_path(root, table)}/_SUCCESS"
-        if not storage.exists(spark, source):
-            outcome[table] = "absent"
-        elif not _is_published(spark, source, marker):
-            outcome[table] = "kept: not published yet"
+        path = table_path(lake, table)
+        now, used = current(spark, path), made["lake"].get(table)
+        if not whole:
+            outcome[table] = "absent" if now is None else "kept: not published yet"
+        elif not storage.exists(spark, f"{path}/{used}"):
+            outcome[table] = "absent" if now is None else "kept: newer than the warehouse"
         else:
             try:
-                outcome[table] = "deleted" if storage.delete(spark, source) else "not deleted"
+                done = storage.delete(spark, f"{path}/{used}")
+                outcome[table] = "deleted" if done else "not deleted"
             except Exception as error:  # a full lake must not fail a finished refresh
                 outcome[table] = f"not deleted: {type(error).__name__}"
     return outcome
-
-
-def _is_published(spark: SparkSession, source: str, marker: str) -> bool:
-    loaded = f"{source}/_SUCCESS"
-    if not (storage.exists(spark, marker) and storage.exists(spark, loaded)):
-        return False
-    return storage.modified(spark, marker) >= storage.modified(spark, loaded)

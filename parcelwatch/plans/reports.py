@@ -8,6 +8,7 @@ and item once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,16 @@ CARRIER = "carrier_delivery_days"
 TOTAL = "total_delivery_days"
 
 
+def agreed(report: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The report with parameters that fit its tables: those of the tables if none are given."""
+
+    @wraps(report)
+    def run(wh: Warehouse, params: Params | None = None, **options) -> DataFrame:
+        return report(wh, wh.agreed(params), **options)
+
+    return run
+
+
 # --- measures ---------------------------------------------------------------------------
 
 
@@ -66,7 +77,8 @@ def sum_and_count(*columns: str) -> list[Column]:
 # --- reviews ----------------------------------------------------------------------------
 
 
-def score_distribution(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def score_distribution(wh: Warehouse, params: Params | None = None) -> DataFrame:
     counts = (
         wh.table("order_reviews", "review_score")
         .groupBy("review_score")
@@ -81,7 +93,8 @@ def score_distribution(wh: Warehouse, params: Params = Params()) -> DataFrame:
     ).orderBy("review_score")
 
 
-def delay_vs_score(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def delay_vs_score(wh: Warehouse, params: Params | None = None) -> DataFrame:
     reviews = wh.table(
         "order_reviews", "review_score", "order_status", "delay_days", TOTAL, "is_late"
     )
@@ -108,7 +121,8 @@ def delay_vs_score(wh: Warehouse, params: Params = Params()) -> DataFrame:
     )
 
 
-def one_star_causes(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def one_star_causes(wh: Warehouse, params: Params | None = None) -> DataFrame:
     flags = ("is_late", "is_delivery_complaint", "comment_has_delay_keyword")
     return (
         wh.table("order_reviews", "review_score", *flags)
@@ -122,7 +136,8 @@ def one_star_causes(wh: Warehouse, params: Params = Params()) -> DataFrame:
 # --- orders -----------------------------------------------------------------------------
 
 
-def stage_contribution_monthly(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def stage_contribution_monthly(wh: Warehouse, params: Params | None = None) -> DataFrame:
     orders = wh.table("orders", "order_status", "order_month", PROCESSING, CARRIER, TOTAL)
     return (
         orders.filter(_delivered_in_known_month(params))
@@ -141,7 +156,8 @@ def stage_contribution_monthly(wh: Warehouse, params: Params = Params()) -> Data
     )
 
 
-def late_rate_monthly(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def late_rate_monthly(wh: Warehouse, params: Params | None = None) -> DataFrame:
     orders = wh.table("orders", "order_id", "order_status", "order_month", "is_late")
     once = (
         orders.filter(_delivered_in_known_month(params))
@@ -171,7 +187,8 @@ def _delivered_in_known_month(params: Params) -> Column:
 COMPONENTS = {PROCESSING: "Seller Processing Time", CARRIER: "Carrier Transit Time"}
 
 
-def stage_statistics(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def stage_statistics(wh: Warehouse, params: Params | None = None) -> DataFrame:
     """Both stages from one scan.
 
     Exact quantiles come from a histogram: durations are whole tenths of a day, so the number
@@ -190,8 +207,9 @@ def stage_statistics(wh: Warehouse, params: Params = Params()) -> DataFrame:
     )
 
 
+@agreed
 def approximate_stage_statistics(
-    wh: Warehouse, params: Params = Params(), accuracy: int = 10000
+    wh: Warehouse, params: Params | None = None, accuracy: int = 10000
 ) -> DataFrame:
     """As `stage_statistics`, with quantile sketches: they return an observed value."""
     return _component_rows(
@@ -248,7 +266,8 @@ def _component_rows(
 # --- places -----------------------------------------------------------------------------
 
 
-def late_rate_by_state(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def late_rate_by_state(wh: Warehouse, params: Params | None = None) -> DataFrame:
     keys = ["customer_state"]
     groups = order_groups(_delivered(wh, params, *keys), keys, reviews=False)
     measures = ["orders", "late_orders", "rows", "late_rows", *stage_columns(TOTAL)]
@@ -282,8 +301,9 @@ def _delivered(wh: Warehouse, params: Params, *keys: str) -> DataFrame:
     return wh.facts(*keys).filter(F.col("order_status") == params.delivered)
 
 
+@agreed
 def stages_by_state(
-    wh: Warehouse, params: Params = Params(), per_order: bool = False
+    wh: Warehouse, params: Params | None = None, per_order: bool = False
 ) -> DataFrame:
     keys = ["customer_state"]
     groups = order_groups(_delivered(wh, params, *keys), keys, per_order=per_order)
@@ -303,7 +323,8 @@ def stages_by_state(
     )
 
 
-def route_comparison(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def route_comparison(wh: Warehouse, params: Params | None = None) -> DataFrame:
     route = bands.route(F.col("seller_state"), F.col("customer_state"), params)
     facts = _delivered(wh, params, "seller_state", "customer_state")
     groups = order_groups(facts.withColumn("rute_pengiriman", route), ["rute_pengiriman"])
@@ -325,7 +346,8 @@ def route_comparison(wh: Warehouse, params: Params = Params()) -> DataFrame:
 # --- sellers ----------------------------------------------------------------------------
 
 
-def problem_sellers(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def problem_sellers(wh: Warehouse, params: Params | None = None) -> DataFrame:
     keys = ["seller_id", "seller_state", "seller_city"]
     moving = F.col("order_status").isin(*params.moving) & F.col("processed")
     groups = order_groups(wh.facts(*keys).filter(moving), keys)
@@ -363,7 +385,8 @@ def _seller_losses(wh: Warehouse, params: Params, per_order: bool) -> DataFrame:
     )
 
 
-def freight_loss(wh: Warehouse, params: Params = Params(), per_order: bool = False) -> DataFrame:
+@agreed
+def freight_loss(wh: Warehouse, params: Params | None = None, per_order: bool = False) -> DataFrame:
     return (
         _seller_losses(wh, params, per_order)
         .filter(late_order_pct() > params.late_pct)
@@ -385,7 +408,8 @@ def freight_loss(wh: Warehouse, params: Params = Params(), per_order: bool = Fal
     )
 
 
-def freight_loss_bands(wh: Warehouse, params: Params = Params()) -> DataFrame:
+@agreed
+def freight_loss_bands(wh: Warehouse, params: Params | None = None) -> DataFrame:
     keys = ["seller_id"]
     groups = order_groups(_delivered(wh, params, *keys), keys, reviews=False)
     measures = ["orders", "late_freight_cents", *stage_columns(PROCESSING)]
@@ -403,8 +427,9 @@ def freight_loss_bands(wh: Warehouse, params: Params = Params()) -> DataFrame:
     )
 
 
+@agreed
 def sla_distribution(
-    wh: Warehouse, params: Params = Params(), per_order: bool = False
+    wh: Warehouse, params: Params | None = None, per_order: bool = False
 ) -> DataFrame:
     """Seller rates are rounded before they are averaged over the band, as published."""
     keys = ["seller_id"]
@@ -440,8 +465,9 @@ def sla_distribution(
     ).orderBy(rank)
 
 
+@agreed
 def intervention_priority(
-    wh: Warehouse, params: Params = Params(), per_order: bool = False
+    wh: Warehouse, params: Params | None = None, per_order: bool = False
 ) -> DataFrame:
     days, late_pct = mean_days(PROCESSING), late_row_pct()
     return (

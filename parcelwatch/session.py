@@ -38,8 +38,8 @@ def build_session(app_name: str = "parcelwatch", **settings: str) -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
-    Where it is unset, a local session gets a temporary folder; a cluster is refused,
-    because a machine-local folder would be lost with its executor.
+    Where it is unset, a local session gets one temporary folder for its life; a cluster is
+    refused, because a machine-local folder would be lost with its executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwatch.functions.texts import normalise_columns
+from parcelwatch.functions.texts import normal_name, normalise_columns
 from parcelwatch.schemas import RAW
 from parcelwatch.sources import storage
 from parcelwatch.sources.records import read_records
@@ -35,46 +37,42 @@ MISSING = (
     "null",
 )
 
-# Tables whose cells hold line breaks.
-FREE_TEXT = ("order_reviews",)
-
-# Above this size a file with line breaks in its cells is not left to one task.
-SPLIT_ABOVE = 256 * 1024 * 1024
-
 OPTIONS = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
-def read_csv(
-    spark: SparkSession, path: str, table: str, split_above: int = SPLIT_ABOVE
-) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read one raw table; columns outside the schema are kept as text.
 
-    `path` is a file or a folder of files. Files without line breaks in their cells are
-    always split inside the file.
+    `path` is a file or a folder of files, each with a header of its own: columns are bound by
+    name, whatever their order in a file. Any cell may hold line breaks, and any file is read by
+    many tasks (see `records`). A column that only some files have is missing in the others.
     """
-    free_text = table in FREE_TEXT
-    reader = spark.read.options(header=True, multiLine=free_text, **OPTIONS)
-    cells = reader.csv(path)
-    if free_text and storage.largest_file(spark, path) > split_above:
-        cells = _read_split(spark, path, cells)
-    if free_text:  # breaks inside a cell arrive as LF, whichever way the file was read
-        breaks = F.lit("\r\n"), F.lit("\n")
-        cells = cells.select(*[F.replace(_quoted(c), *breaks).alias(c) for c in cells.columns])
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in storage.data_files(spark, path):
+        header = tuple(next(csv.reader([storage.first_line(spark, file)]), ()))
+        by_header.setdefault(header, []).append(file)
+    for header, files in by_header.items():
+        known = {normal_name(name) for name in header}
+        missing = [c for c in RAW[table] if c not in known]
+        if missing:
+            raise ValueError(f"{files[0]}: no column {', '.join(missing)}")
+    if not by_header:
+        raise ValueError(f"{path}: no files")
+    parts = [_read_files(spark, files, header, table) for header, files in by_header.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_files(spark: SparkSession, files: list[str], header: tuple[str, ...], table: str) -> DataFrame:
+    """The rows of files that share a header."""
+    schema = ", ".join(f"{_quoted(name)} string" for name in header)
+    records = read_records(spark, files).filter(~F.col("header"))
+    # breaks inside a cell arrive as LF
+    text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    cells = records.select(F.from_csv(text, schema, OPTIONS).alias("cells")).select("cells.*")
     df = normalise_columns(cells)
-    missing = [c for c in RAW[table] if c not in df.columns]
-    if missing:
-        raise ValueError(f"{path}: no column {', '.join(missing)}")
     return df.select(*[_typed(name, RAW[table]) for name in df.columns])
 
 
-def _read_split(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The rows of `like`, parsed record by record."""
-    schema = ", ".join(f"{_quoted(name)} string" for name in like.columns)
-    cells = F.from_csv("text", schema, OPTIONS)
-    records = read_records(spark, path).filter(~F.col("header") & (F.col("text") != ""))
-    return records.select(cells.alias("cells")).select("cells.*")
-
-
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -1,73 +1,116 @@
-"""CSV records that contain line breaks, read by many tasks.
+"""CSV records, read by many tasks whatever the size of a file.
 
-Spark reads a file with such records in one task. For a large file this module reads lines,
-which any task can do from the middle of a file, and puts the records back together: a line
-starts a record when an even number of quotes comes before it in its file.
+A cell that starts with a quote may hold line breaks, so a line can end inside a cell. Lines are
+read from the middle of files by any task, and each says by itself where it would end: the state
+after it if it starts outside a quoted cell, and if it starts inside one. Lines whose two answers
+agree fix the state, the others keep or flip it. Chained by running counts within a block (at most
+`spark.sql.files.maxPartitionBytes`), and by one row per block across a file, that gives the
+state before every line; a line that starts outside a cell starts a record. Quotes inside an
+unquoted cell are plain text.
 
-The lines of one block (at most `spark.sql.files.maxPartitionBytes`) are numbered and
-counted together; only two counts per block travel to the other blocks of the file.
+Files in which no line ends inside a cell need none of this: every line is a record.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = ("file", "block")
 
+# Possessive repeats: a line is looked at once, however long.
+_INSIDE = '(?:[^"]++|"")*+'
+_CELL = f'(?:"{_INSIDE}"[^,]*+|[^",][^,]*+|)'
+_OPENS = f'^(?:{_CELL},)*+"{_INSIDE}$'
+_STAYS = f"^{_INSIDE}$"
+_REOPENS = f'^{_INSIDE}"[^,]*+,(?:{_CELL},)*+"{_INSIDE}$'
+
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: its `text`, and whether it is the first of its file (`header`).
+def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row per record that is not empty: its `text`, and whether it heads its file.
 
-    A file with an odd number of quotes has a record without end and is refused.
+    A file that ends inside a quoted cell is refused.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    raw = F.regexp_replace("value", r"\r$", "")
     lines = (
-        spark.read.text(path, lineSep="\n")
+        spark.read.text(list(paths), lineSep="\n")
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             "value",
-            quotes.alias("quotes"),
+            raw.rlike(_OPENS).alias("opens"),
         )
         .withColumn("line", F.monotonically_increasing_id())
     )
-    lines = lines.join(_quotes_before(lines), list(BLOCK))
+    if lines.filter("opens").isEmpty():
+        first = lines.filter("block = 0").groupBy("file").agg(F.min("line").alias("first"))
+        heads = lines.join(first, ["file"], "left")
+        return _records(heads.select("value", (F.col("line") == F.col("first")).alias("header")))
+    return _joined(lines.withColumn("stays", raw.rlike(_STAYS) | raw.rlike(_REOPENS)))
 
-    so_far = Window.partitionBy(*BLOCK).orderBy("line")
-    before = F.col("quotes_before") + F.sum("quotes").over(so_far) - F.col("quotes")
-    lines = lines.withColumn("starts", (before % 2 == 0).cast("int"))
+
+def _records(found: DataFrame) -> DataFrame:
+    text = F.regexp_replace("value", r"\r$", "")
+    return found.select(text.alias("text"), F.coalesce("header", F.lit(False)).alias("header")).filter(
+        "text != ''"
+    )
+
+
+def _joined(lines: DataFrame) -> DataFrame:
+    """Records of lines that may end inside a cell."""
+    so_far = Window.partitionBy(*BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    flips = F.sum((F.col("opens") & ~F.col("stays")).cast("int")).over(so_far)
+    lines = lines.withColumn("flips", flips)
+    fixed = F.when(F.col("opens") == F.col("stays"), F.struct("opens", "flips"))
+    lines = lines.withColumn("fixed", F.last(fixed, ignorenulls=True).over(so_far))
+    lines = lines.join(_inside_before(lines), list(BLOCK))
+    after = _state(F.col("fixed"), F.col("flips"), F.col("inside"))
+    order = Window.partitionBy(*BLOCK).orderBy("line")
+    before = F.coalesce(F.lag(after).over(order), F.col("inside"))
+    lines = lines.withColumn("starts", (~before).cast("int"))
     lines = lines.withColumn("record", F.sum("starts").over(so_far))
     lines = lines.join(_open_record(lines), list(BLOCK), "left")
 
     continued = F.col("record") == 0  # the record began in an earlier block
     pieces = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    return (
-        lines.groupBy(
-            "file",
-            F.when(continued, F.col("open.block")).otherwise(F.col("block")).alias("start"),
-            F.when(continued, F.col("open.record")).otherwise(F.col("record")).alias("number"),
-        )
-        .agg(F.array_join(pieces.getField("value"), "\n").alias("text"))
-        .select(
-            F.regexp_replace("text", r"\r$", "").alias("text"),
-            ((F.col("start") == 0) & (F.col("number") == 1)).alias("header"),
-        )
-    )
+    found = lines.groupBy(
+        "file",
+        F.when(continued, F.col("open.block")).otherwise(F.col("block")).alias("start"),
+        F.when(continued, F.col("open.record")).otherwise(F.col("record")).alias("number"),
+    ).agg(F.array_join(pieces.getField("value"), "\n").alias("value"))
+    header = (F.col("start") == 0) & (F.col("number") == 1)
+    return _records(found.select("value", header.alias("header")))
 
 
-def _quotes_before(lines: DataFrame) -> DataFrame:
-    """Per block, the quotes in the earlier blocks of its file."""
-    file = Window.partitionBy("file")
-    earlier = file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy(*BLOCK).agg(F.sum("quotes").alias("quotes"))
-    complete = F.sum("quotes").over(file) % 2 == 0
+def _state(fixed: Column, flips: Column, start: Column) -> Column:
+    """Whether a line ends inside a cell: from the last line that fixed it, or from the start."""
+    known = fixed["opens"] != ((flips - fixed["flips"]) % 2 == 1)
+    return F.when(fixed.isNotNull(), known).otherwise(start != (flips % 2 == 1))
+
+
+def _inside_before(lines: DataFrame) -> DataFrame:
+    """Per block, whether it starts inside a cell; refuses files that end in one."""
+    last = F.max_by(F.struct("fixed", "flips"), "line").alias("last")
+    blocks = lines.groupBy(*BLOCK).agg(last)
+    # a block either fixes the state or keeps or flips it, like a line
+    fixes = F.col("last.fixed").isNotNull()
+    ends = _state(F.col("last.fixed"), F.col("last.flips"), F.lit(False))
+    flipped = (~fixes & (F.col("last.flips") % 2 == 1)).cast("int")
+    file = Window.partitionBy("file").orderBy("block")
+    upto = file.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("flips", F.sum(flipped).over(upto))
+    fixed = F.when(fixes, F.struct(ends.alias("opens"), "flips"))
+    blocks = blocks.withColumn("fixed", F.last(fixed, ignorenulls=True).over(upto))
+    after = _state(F.col("fixed"), F.col("flips"), F.lit(False))
+    blocks = blocks.withColumn("after", after)
+    whole = Window.partitionBy("file").orderBy("block").rowsBetween(0, Window.unboundedFollowing)
     refused = F.raise_error(F.concat(F.lit("a quoted value has no end: "), "file"))
-    before = F.coalesce(F.sum("quotes").over(earlier), F.lit(0))
-    return blocks.select(
-        *BLOCK, F.when(complete, before).otherwise(refused.cast("bigint")).alias("quotes_before")
-    )
+    inside = F.coalesce(F.lag("after").over(file), F.lit(False))
+    ended = F.last("after").over(whole)
+    return blocks.select(*BLOCK, F.when(~ended, inside).otherwise(refused.cast("boolean")).alias("inside"))
 
 
 def _open_record(lines: DataFrame) -> DataFrame:

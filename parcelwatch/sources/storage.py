@@ -20,19 +20,46 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(where, True)
 
 
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, where = _open(spark, source)
-    if not fs.rename(where, _open(spark, target)[1]):
-        raise OSError(f"cannot rename {source} to {target}")
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly under `path`; none if it is absent."""
+    fs, where = _open(spark, path)
+    if not fs.exists(where):
+        return []
+    return [n for n in (s.getPath().getName() for s in fs.listStatus(where)) if n[0] != "."]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _open(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str = "") -> None:
+    """A new file with `text`; an empty one appears in one step on any file system."""
+    fs, where = _open(spark, path)
+    stream = fs.create(where, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
-def modified(spark: SparkSession, path: str) -> int:
-    """Modification time in milliseconds."""
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """`path` itself, or the files directly under it that are not hidden or empty."""
     fs, where = _open(spark, path)
-    return fs.getFileStatus(where).getModificationTime()
+    found = [s for s in fs.listStatus(where) if s.isFile() and s.getLen()]
+    return sorted(
+        s.getPath().toString() for s in found if s.getPath().getName()[0] not in "._" or s.getPath() == where
+    )
 
 
-def largest_file(spark: SparkSession, path: str) -> int:
-    """Size in bytes of the largest file at or directly under `path`."""
+def first_line(spark: SparkSession, path: str) -> str:
     fs, where = _open(spark, path)
-    return max((status.getLen() for status in fs.listStatus(where)), default=0)
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(where), "UTF-8"))
+    try:
+        return (reader.readLine() or "").removeprefix("\ufeff")
+    finally:
+        reader.close()

@@ -1,22 +1,74 @@
-"""Parquet tables with a full refresh that never leaves a half-written table.
+"""Versioned Parquet tables: written aside, published by an empty marker file.
 
-A refresh writes to a staging folder and swaps it in when the write has succeeded. A failed
-write leaves the old table as it was; a swap that was cut short is undone on the next use.
+A write goes to a version folder of its own and becomes current when a marker that names it
+appears among the table's markers; the latest marker counts. Nothing is renamed or overwritten
+and readers change nothing: a reader looks the version up once and keeps reading it, a failed
+write leaves the old version current, and of two writers the one that publishes last wins as a
+whole. Old versions stay until they are expired.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelwatch.sources import storage
 
+MARKERS = "_published"
+
 
 def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
+def new_version() -> str:
+    """A folder name no other write has; names sort by time."""
+    return f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The published version under `path`; none if nothing is published or it was deleted."""
+    latest = max(storage.names(spark, f"{path}/{MARKERS}"), default=None)
+    if latest is None:
+        return None
+    version = latest.partition("_")[2]
+    return version if storage.exists(spark, f"{path}/{version}") else None
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    storage.write_text(spark, f"{path}/{MARKERS}/{time.time_ns():020d}_{version}")
+
+
+def expire(spark: SparkSession, path: str, keep: Collection[str] = (), spare: int = 1) -> list[str]:
+    """Delete versions older than the current one, but for `keep` and the `spare` newest of them.
+
+    Versions newer than the current one may still be being written and stay.
+    """
+    now = current(spark, path)
+    if now is None:
+        return []
+    old = sorted(v for v in storage.names(spark, path) if v.startswith("v") and v < now)
+    gone = [v for v in old[: len(old) - spare if spare else None] if v not in keep]
+    for marker in storage.names(spark, f"{path}/{MARKERS}"):
+        if marker.partition("_")[2] in gone:
+            storage.delete(spark, f"{path}/{MARKERS}/{marker}")
+    for version in gone:
+        storage.delete(spark, f"{path}/{version}")
+    return gone
+
+
+def read_files(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: str | None = None
+) -> DataFrame:
+    """The files of a version, or some of their columns. A `schema` saves inferring one."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.parquet(path)
+    return df.select(*columns) if columns else df
+
+
 def read_table(
     spark: SparkSession,
     root: str,
@@ -24,52 +76,39 @@ def read_table(
     columns: Sequence[str] | None = None,
     schema: str | None = None,
 ) -> DataFrame:
-    """The table, or some of its columns. With a `schema` no file is opened to infer one."""
+    """The current version of the table, or some of its columns."""
     path = table_path(root, table)
-    _undo_broken_swap(spark, path)
-    reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.parquet(path)
-    return df.select(*columns) if columns else df
+    version = current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path}: nothing published")
+    return read_files(spark, f"{path}/{version}", columns, schema)
 
 
-def write_table(
-    df: DataFrame,
-    root: str,
-    table: str,
-    sort_key: Sequence[str] = (),
-    partition_by: Sequence[str] = (),
-) -> str:
-    """Replace the table by the rows of `df`, sorted by `sort_key` inside each file.
+def write_files(
+    df: DataFrame, path: str, sort_key: Sequence[str] = (), partition_by: Sequence[str] = ()
+) -> None:
+    """The rows of `df` as Parquet files under `path`, ordered by the whole sort key.
 
-    Rows are brought together by the leading key with a rebalance: adaptive execution cuts
-    a hot key into several files and joins small partitions, so no task writes a large part
-    of the table. Parquet statistics of the sorted row groups let readers skip by key.
+    Ranges over the whole key hardly overlap, so statistics skip whole files, and a hot leading
+    key is cut into several files by the rest of the key.
     """
-    spark = df.sparkSession
-    path = table_path(root, table)
-    staging = f"{path}__staging"
-    _undo_broken_swap(spark, path)
     if sort_key:
-        df = df.hint("rebalance", sort_key[0]).sortWithinPartitions(*sort_key)
-    writer = df.write.mode("overwrite")
+        df = df.repartitionByRange(*sort_key).sortWithinPartitions(*sort_key)
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(staging)
-    _swap_in(spark, staging, path)
-    return path
-
+    writer.parquet(path)
 
-def _swap_in(spark: SparkSession, staging: str, path: str) -> None:
-    previous = f"{path}__previous"
-    if storage.exists(spark, path):
-        storage.delete(spark, previous)
-        storage.rename(spark, path, previous)
-    storage.rename(spark, staging, path)
-    storage.delete(spark, previous)
-    spark.catalog.refreshByPath(path)
 
-
-def _undo_broken_swap(spark: SparkSession, path: str) -> None:
-    previous = f"{path}__previous"
-    if not storage.exists(spark, path) and storage.exists(spark, previous):
-        storage.rename(spark, previous, path)
+def write_table(
+    df: DataFrame,
+    root: str,
+    table: str,
+    sort_key: Sequence[str] = (),
+    partition_by: Sequence[str] = (),
+) -> str:
+    """Publish the rows of `df` as the new version of the table; returns its folder."""
+    spark, path, version = df.sparkSession, table_path(root, table), new_version()
+    write_files(df, f"{path}/{version}", sort_key, partition_by)
+    publish(spark, path, version)
+    return f"{path}/{version}"

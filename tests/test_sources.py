@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import final_plan, item, order, raw_table, raw_tables, review, rows
 
-from parcelwatch.plans.curated import FACTS, Warehouse, clean_lake, lake_tables, refresh
+from parcelwatch import job
+from parcelwatch.operators.fanout import ITEM_KEYS
+from parcelwatch.params import Params
+from parcelwatch.plans.curated import LakeTables, Warehouse, clean_lake, lake_tables, refresh
 from parcelwatch.plans.ingest import ingest, loaded_share
 from parcelwatch.plans.reports import PER_ORDER, REPORTS
 from parcelwatch.schemas import RAW, SORT_KEYS, TABLES, curated_columns
 from parcelwatch.sources import storage
 from parcelwatch.sources.csv_files import read_csv
-from parcelwatch.sources.tables import read_table, write_table
+from parcelwatch.sources.tables import (
+    expire,
+    new_version,
+    read_table,
+    write_files,
+    write_table,
+)
 
 
 def write(path: Path, text: str) -> str:
@@ -91,7 +102,7 @@ def test_long_files_are_split_inside_records(spark, long_reviews, conf, block):
     assert len(whole) == 400
     assert "\\r" not in "".join(whole)
     conf(spark__sql__files__maxPartitionBytes=block, spark__sql__files__openCostInBytes="0")
-    split = read_csv(spark, long_reviews, "order_reviews", split_above=0)
+    split = read_csv(spark, long_reviews, "order_reviews")
     assert sorted(map(repr, rows(split))) == whole
     lines = spark.read.text(long_reviews, lineSep="\n")
     assert block == "128MB" or lines.rdd.getNumPartitions() > 2
@@ -100,7 +111,38 @@ def test_long_files_are_split_inside_records(spark, long_reviews, conf, block):
 def test_a_quoted_value_without_end_is_refused(spark, tmp_path):
     path = write(tmp_path / "r.csv", header("order_reviews") + 'r1,a,5,t,"no end,d,t\n')
     with pytest.raises(Exception, match="no end"):
-        read_csv(spark, path, "order_reviews", split_above=0).collect()
+        read_csv(spark, path, "order_reviews").collect()
+
+
+@pytest.mark.parametrize("block", ["1KB", "3000", "128MB"])
+def test_odd_files_read_as_the_whole_file_reader_does(spark, tmp_path, conf, block):
+    conf(spark__sql__files__maxPartitionBytes=block, spark__sql__files__openCostInBytes="0")
+    cells = ['5" tv', 'ok"', '"a ""b"" c"', '"x\ny"', '"1\n\n2, 3"', "", "plain", '"q"', '"end ""\nnext"']
+    for end in ("\n", "\r\n"):
+        lines = [f"s{n},{n},{cells[n * 7 % len(cells)]},{cells[n % len(cells)]}" for n in range(300)]
+        lines[50:50] = ["", ""]  # blank lines are no rows
+        text = header("sellers").strip() + end + end.join(lines) + end
+        path = tmp_path / f"{block}{len(end)}.csv"
+        path.write_text(text, newline="")
+        got = read_csv(spark, str(path), "sellers")
+        missing = lambda v: None if v in ("", None) else str(v)
+        want = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(path))
+        assert sorted(repr(tuple(map(missing, r))) for r in rows(got)) == sorted(
+            repr(tuple(map(missing, r))) for r in rows(want)
+        )
+        assert got.count() == 300
+
+
+def test_each_file_is_bound_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "sellers.csv"
+    folder.mkdir()
+    write(folder / "a.csv", header("sellers") + "s1,1,x,SP\n")
+    write(folder / "b.csv", "seller_state,seller_city,extra,seller_id,seller_zip_code_prefix\nRJ,y,e,s2,2\n")
+    got = {r.seller_id: (r.seller_state, r.seller_city, r.extra) for r in read_csv(spark, str(folder), "sellers").collect()}
+    assert got == {"s1": ("SP", "x", None), "s2": ("RJ", "y", "e")}
+    write(folder / "c.csv", "seller_id\ns3\n")
+    with pytest.raises(ValueError, match="c.csv: no column"):
+        read_csv(spark, str(folder), "sellers")
 
 
 def test_unreadable_number_stops_the_run(spark, tmp_path):
@@ -164,11 +206,27 @@ def test_failed_write_keeps_the_old_table(spark, tmp_path):
     assert read_table(spark, root, "sellers").first()["seller_id"] == "old"
 
 
-def test_interrupted_swap_is_undone(spark, tmp_path):
+def test_readers_keep_their_version_and_change_nothing(spark, tmp_path):
     root = str(tmp_path)
-    path = write_table(raw_table(spark, "sellers", [{"seller_id": "old"}]), root, "sellers")
-    storage.rename(spark, path, f"{path}__previous")  # stopped between the two renames
-    assert read_table(spark, root, "sellers").first()["seller_id"] == "old"
+    write_table(raw_table(spark, "sellers", [{"seller_id": "old"}]), root, "sellers")
+    before = read_table(spark, root, "sellers")
+    files = sorted(str(p) for p in tmp_path.rglob("*"))
+    before.collect()
+    assert sorted(str(p) for p in tmp_path.rglob("*")) == files
+    write_table(raw_table(spark, "sellers", [{"seller_id": "new"}]), root, "sellers")
+    assert before.first()["seller_id"] == "old"
+    assert read_table(spark, root, "sellers").first()["seller_id"] == "new"
+
+
+def test_old_versions_expire_but_not_unfinished_ones(spark, tmp_path):
+    root = str(tmp_path)
+    paths = [write_table(spark.range(n).toDF("id"), root, "t") for n in range(1, 5)]
+    later = f"{root}/t/{new_version()}"
+    write_files(spark.range(9).toDF("id"), later)  # a write that has not published yet
+    gone = expire(spark, f"{root}/t", spare=1)
+    assert [f"{root}/t/{v}" for v in gone] == paths[:2]
+    assert storage.exists(spark, later)
+    assert read_table(spark, root, "t").count() == 4
 
 
 def test_table_can_be_replaced_by_a_query_on_itself(spark, tmp_path):
@@ -179,7 +237,11 @@ def test_table_can_be_replaced_by_a_query_on_itself(spark, tmp_path):
 
 
 def test_files_are_sorted_and_hot_keys_are_split(spark, tmp_path, conf):
-    conf(spark__sql__adaptive__advisoryPartitionSizeInBytes="16KB")
+    conf(
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="16KB",
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="16KB",
+        spark__sql__shuffle__partitions="24",
+    )
     # one key holds a third of the rows
     key = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id % 50 END AS k"
     df = spark.range(0, 60000, numPartitions=8).selectExpr(key, "id", "uuid() AS x")
@@ -187,6 +249,10 @@ def test_files_are_sorted_and_hot_keys_are_split(spark, tmp_path, conf):
     back = read_table(spark, str(tmp_path), "t")
     assert back.count() == 60000
     per_file = back.selectExpr("input_file_name() AS f", "k", "id")
+    spans = per_file.groupBy("f").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    spans = sorted((r.low, r.high) for r in spans.collect())
+    # files follow each other: only the ends of neighbours may be equal
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
     hot = per_file.filter("k = 'hot'").groupBy("f").count().collect()
     assert len(hot) > 3
     assert max(r["count"] for r in hot) < 20000 / 2
@@ -227,8 +293,9 @@ def contents(wh):
 def test_refresh_equals_the_computed_tables_and_can_be_repeated(spark, lake, tmp_path):
     root = str(tmp_path / "warehouse")
     raw = lake_tables(spark, lake)
-    paths = refresh(spark, raw, root)
-    assert len(paths) == 12
+    report = dict(rows(refresh(spark, raw, root)))
+    assert set(report) == set(TABLES)
+    assert report["order_items"] == 2
     wh = Warehouse.published(spark, root)
     first = contents(wh)
     assert first == contents(Warehouse.computed(raw))
@@ -265,4 +332,84 @@ def test_reports_are_the_same_with_and_without_published_facts(spark, inputs, tm
         assert "Join" not in plan
         assert plan.count("FileScan") == 1  # totals reuse the shuffle of the groups
     refresh(spark, inputs.raw, root, facts=False)
-    assert not storage.exists(spark, f"{root}/{FACTS}")
+    late = Warehouse.published(spark, root)
+    assert "Join" in final_plan(REPORTS["problem_sellers"](late))
+    assert wh.facts("category").columns[:2] == ["order_id", "category"]  # joined afresh
+
+
+def fewer_orders(spark, lake):
+    raw = lake_tables(spark, lake)
+    some = LakeTables(raw, raw.versions)
+    some["orders"] = raw["orders"].filter("order_id = 'a'")
+    return some
+
+
+def test_a_failed_refresh_leaves_one_consistent_version(spark, lake, tmp_path):
+    root = str(tmp_path / "warehouse")
+    refresh(spark, lake_tables(spark, lake), root)
+    before = contents(Warehouse.published(spark, root))
+    broken = fewer_orders(spark, lake)
+    broken["order_items"] = broken["order_items"].withColumn("price", F.raise_error(F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        refresh(spark, broken, root)
+    wh = Warehouse.published(spark, root)
+    assert contents(wh) == before
+    assert rows(wh.facts(*ITEM_KEYS).agg(F.count_distinct("order_id"))) == [(2,)]
+
+
+def test_two_refreshes_at_once_publish_one_of_them_whole(spark, lake, tmp_path):
+    root = str(tmp_path / "warehouse")
+    refresh(spark, lake_tables(spark, lake), root)
+    reader = Warehouse.published(spark, root)
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(refresh, spark, raw, root) for raw in (fewer_orders(spark, lake), lake_tables(spark, lake))]
+        for run in runs:
+            run.result()
+    assert reader.table("orders").count() == 2  # its version is still there
+    wh = Warehouse.published(spark, root)
+    orders = wh.table("orders").count()
+    assert wh.facts(*ITEM_KEYS).select("order_id").distinct().count() == orders
+
+
+def test_clean_up_is_all_or_nothing_and_spares_newer_loads(spark, lake, tmp_path):
+    root = str(tmp_path / "warehouse")
+    raw = lake_tables(spark, lake)
+    refresh(spark, raw, root, facts=False)
+    assert set(clean_lake(spark, lake, root).values()) == {"kept: not published yet"}
+    refresh(spark, raw, root)
+    write_table(raw_table(spark, "sellers", [{"seller_id": "s7"}]), lake, "sellers")
+    outcome = clean_lake(spark, lake, root)
+    assert set(outcome.values()) == {"deleted"}
+    assert read_table(spark, lake, "sellers").first()["seller_id"] == "s7"
+    assert clean_lake(spark, lake, root)["sellers"] == "kept: newer than the warehouse"
+
+
+def test_table_parameters_act_or_are_refused(spark, lake, tmp_path):
+    root = str(tmp_path / "warehouse")
+    made = Params(impute_missing=False, delay_keywords=("tarde",))
+    refresh(spark, lake_tables(spark, lake), root, made)
+    wh = Warehouse.published(spark, root)
+    assert wh.params == made
+    assert REPORTS["delay_vs_score"](wh).count() >= 0
+    with pytest.raises(ValueError, match="impute_missing, delay_keywords"):
+        REPORTS["delay_vs_score"](wh, Params())
+
+
+def test_tables_have_names(spark, lake, tmp_path):
+    root = str(tmp_path / "warehouse")
+    refresh(spark, lake_tables(spark, lake), root)
+    views = Warehouse.published(spark, root).register(spark, "market_")
+    assert len(views) == 12
+    assert spark.sql("SELECT count(*) FROM market_orders").first()[0] == 2
+
+
+def test_the_job_runs_its_stages_in_order(spark, inputs, tmp_path):
+    source, lake, root = (str(tmp_path / n) for n in ("source", "lake", "warehouse"))
+    for table, df in inputs.raw.items():
+        df.write.csv(f"{source}/{table}.csv", header=True, escape='"')
+    cleaned = job.main([source, lake, root])
+    assert set(cleaned.values()) == {"deleted"}
+    wh = Warehouse.published(spark, root)
+    assert wh.table("orders").count() == inputs.raw["orders"].count()
+    with pytest.raises(FileNotFoundError, match="nothing loaded"):
+        lake_tables(spark, lake)
