@@ -154,6 +154,17 @@ def test_records_survive_a_round_trip(spark, tmp_path):
     assert warc.derive(warc.responses(pages.filter("false"))).count() == 0
 
 
+def test_visible_text_agrees_with_the_parser(spark):
+    from parcelwatch.llm import html_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    odd = ["", "a<b", "<p title='x>y'>t<br>u</p><!-- c -->", "<script>if (a<b) {}</script>z", "<TITLE>q</TITLE>&eacute;"]
+    for html in [r.html for r in pages] + odd:
+        if html != "a<b":
+            assert "\n".join(warc.plain_lines(html)) == html_text.visible_text(html)
+    assert warc.plain_lines("a<!-- never closed <p>b") == ["a"]
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 
@@ -299,6 +310,18 @@ def test_stages_keep_their_promises(spark):
             assert docs.count() > 0.7 * before.count()
 
 
+def test_no_machine_local_state():
+    """What the corpus operators may not use, as executors can be lost at any time."""
+    import ast
+    from pathlib import Path
+
+    banned = {"localCheckpoint", "crossJoin", "rdd", "cache", "persist", "mkdtemp"}
+    files = [*Path(common.__file__).parent.glob("*.py"), Path(corpus_pipeline.__file__)]
+    for path in files:
+        for node in ast.walk(ast.parse(path.read_text())):
+            assert not (isinstance(node, ast.Attribute) and node.attr in banned), path
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
