@@ -14,6 +14,11 @@ size and every pair of chunks is compared by its own task, so no task holds an u
 A comparison returns the spanning stars of what it found, never all pairs; the components of
 those links are the groups.
 
+A likeness with a `similarity` is a Jaccard similarity of sets of shingles, which fingerprints
+only estimate. Its fingerprints find the candidates; the members of each group of candidates are
+then compared once more with their whole sets of shingles, dealt to tasks in chunks as above, and
+only links that hold exactly make the groups.
+
 Defined cases: a null or empty text has fingerprint zero and links like any other; a text
 shorter than a shingle is one shingle; repeated rows are rows of their own; null ids are kept
 and count as larger than all ids; an empty table gives an empty table; columns other than the
@@ -49,26 +54,31 @@ class Likeness:
     blocks: int = 5  # exact keys; 0: sampled keys
     tables: int = 0
     key_bits: int = 0
+    similarity: float = 0.0  # of the sets of shingles, checked exactly; 0: fingerprints decide
 
 
 #: 64 bits of XXH64 over three words; all pairs within three bits.
 CLOSE = Likeness()
-#: Five-word shingles with a Jaccard similarity of 0.8 or more, estimated. Texts at 0.8 differ in
-#: 39 of 256 bits on average (standard deviation 6), at 0.6 in 59, unrelated ones in 128. The
-#: radius is set for recall: texts somewhat below 0.8 may be linked too.
-SIMILAR = Likeness(shingle=5, bits=256, radius=52, blocks=0, tables=32, key_bits=12)
+#: Five-word shingles with a Jaccard similarity of 0.8 or more. Candidates at 0.8 differ in 39 of
+#: 256 bits on average (standard deviation 6; 48 for texts of a few shingles).
+SIMILAR = Likeness(shingle=5, bits=256, radius=60, blocks=0, tables=48, key_bits=12, similarity=0.8)
 
 
-def digests(text: str | None, shingle: int, bits: int) -> np.ndarray:
-    """Hash bytes, most significant first, of every run of `shingle` words, repeats included."""
+def shingles(text: str | None, size: int) -> list[bytes]:
+    """Every run of `size` words, repeats included; of fewer words the whole sequence."""
     words = (text or "").encode().lower().split()
-    runs = [words] if 0 < len(words) < shingle else zip(*(words[i:] for i in range(shingle)), strict=False)
-    join = b" ".join
+    runs = [words] if 0 < len(words) < size else zip(*(words[i:] for i in range(size)), strict=False)
+    return list(map(b" ".join, runs))
+
+
+def digests(text: str | None, shingle: int, bits: int) -> np.ndarray:
+    """Hash bytes, most significant first, of the shingles; wide ones of distinct shingles only."""
+    runs = shingles(text, shingle)
     if bits == 64:
-        found = [xxhash.xxh64_digest(join(run), SEED) for run in runs]
+        found = [xxhash.xxh64_digest(run, SEED) for run in runs]
     else:
         seeds = range(SEED, SEED + bits // 128)
-        found = [xxhash.xxh128_digest(text, s) for text in map(join, runs) for s in seeds]
+        found = [xxhash.xxh128_digest(run, s) for run in dict.fromkeys(runs) for s in seeds]
     return np.frombuffer(b"".join(found), np.uint8).reshape(-1, bits // 8)
 
 
@@ -255,6 +265,103 @@ def link(classes: DataFrame, like: Likeness) -> DataFrame:
     return dealt.mapInArrow(_linker(like.radius), "u binary, v binary").distinct()
 
 
+# --- exact similarity -----------------------------------------------------------------------
+
+TILE_TEXTS, TILE_SHINGLES = 512, 1 << 22  # of a chunk
+
+
+def shingle_set(text: Column, size: int) -> Column:
+    """The distinct shingles of a text, as sorted 64-bit hashes."""
+
+    @F.pandas_udf("binary")
+    def compute(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> bytes:
+            return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(t, size)], np.uint64)).tobytes()
+
+        return texts.map(one)
+
+    return compute(text)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def similar(prints: list[bytes], sets: list[bytes], like: Likeness) -> list[tuple[int, int]]:
+    """Pairs of near fingerprints and similar sets, enough to connect all such pairs."""
+    parent = list(range(len(prints)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    whole = [np.frombuffer(s, np.uint64) for s in sets]
+    size = [len(s) for s in whole]
+    octets = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+    out = []
+    for row, start, bits in near(octets, np.zeros(len(prints), np.int64), like.radius):
+        for k in _positions(bits):
+            other = start + k
+            if other <= row or min(size[row], size[other]) < like.similarity * max(size[row], size[other]) - 1e-6:
+                continue
+            a, b = root(row), root(other)
+            if a != b and jaccard(whole[row], whole[other]) >= like.similarity:
+                parent[b] = a
+                out.append((row, other))
+    return out
+
+
+def _checker(like: Likeness):
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+        tile, rows = None, []
+        for batch in batches:
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != tile and rows:
+                    yield rows
+                    rows = []
+                tile = t
+                rows.append(row)
+        if rows:
+            yield rows
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in tiles(batches):
+            prints, sets = zip(*rows, strict=True)
+            pairs = similar(prints, sets, like)
+            if pairs:
+                sides = [pa.array([prints[i] for i in side]) for side in zip(*pairs, strict=True)]
+                yield pa.RecordBatch.from_arrays(sides, ["u", "v"])
+
+    return check
+
+
+def confirm(members: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """Links (u, v) between fingerprints whose texts are similar, out of groups of candidates.
+
+    `members`: fp and root, the group; `texts`: fp and text, a row a fingerprint. Groups are cut
+    into chunks of a bounded number of texts and shingles; every pair of chunks is a task's.
+    """
+    sets = members.join(texts, "fp").select("root", "fp", shingle_set(F.col("text"), like.shingle).alias("shingles"))
+    sets = written(sets, "shingles")
+    chunks = F.greatest(
+        F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES))
+    )
+    sizes = sets.groupBy("root").agg(chunks.cast("long").alias("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    tile = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
+    dealt = (
+        sets.join(sizes, "root")
+        .withColumn("part", F.pmod(F.xxhash64("fp"), F.greatest("parts", F.lit(1))))
+        .select("root", "fp", "shingles", "part", other)
+        .select(tile.alias("tile"), "fp", "shingles")
+    )
+    dealt = dealt.repartition("tile").sortWithinPartitions("tile", "fp")
+    return dealt.mapInArrow(_checker(like), "u binary, v binary").distinct()
+
+
 # --- groups ---------------------------------------------------------------------------------
 
 
@@ -269,9 +376,16 @@ def group(docs: DataFrame, like: Likeness = CLOSE, id_col: str = "doc_id", text_
         docs.select(identity.alias("doc_id"), *row_keys(identity, text), fingerprint_column(text, like).alias("fp")),
         "fingerprints",
     )
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    first = F.min(F.struct("row_key", "row_check")).alias("row")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), first), "classes")
     found = components(link(classes, like))
-    members = found.union(found.select("root", "root").distinct()).toDF("fp", "root")
+    if like.similarity:
+        one = classes.join(_with_roots(found), "fp").select("fp", "root", "row.*")
+        one = written(one, "candidates")
+        texts = docs.select(*row_keys(identity, text), text.alias("text")).join(one, ["row_key", "row_check"])
+        texts = texts.dropDuplicates(["fp"]).select("fp", "text")
+        found = components(confirm(one.select("fp", "root"), texts, like))
+    members = _with_roots(found)
     lowest = members.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = members.join(lowest, "root").select("fp", "component_id")
     smallest = F.least("component_id", "rep").alias("component_id")
@@ -279,6 +393,10 @@ def group(docs: DataFrame, like: Likeness = CLOSE, id_col: str = "doc_id", text_
     return prints.join(whole, "fp")
 
 
+def _with_roots(found: DataFrame) -> DataFrame:
+    return found.union(found.select("root", "root").distinct()).toDF("fp", "root")
+
+
 def deduplicate(docs: DataFrame, like: Likeness = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-copies: of each group the row with the smallest id stays.
 

@@ -102,6 +102,34 @@ def test_groups_match_brute_force(corpus, odd, monkeypatch):
     assert Counter((r.doc_id, r.fp.hex(), r.component_id) for r in got) == want
 
 
+def test_similar_groups_match_brute_force(spark, monkeypatch):
+    """Groups of five-word shingles at 0.8 or more, near misses apart, in chunks of any size."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(900, ""), (901, None), (902, "one two"), (903, "One two")]
+    for base in range(12):
+        text = rng.choices(words, k=rng.choice((60, 150, 400)))
+        rows.append((base * 20, " ".join(text)))
+        for copy in range(1, 14):  # some edits keep 0.8, some do not
+            edited = list(text)
+            for at in rng.sample(range(len(text)), round(len(text) * copy / 300)):
+                edited[at] = rng.choice(words)
+            rows.append((base * 20 + copy, " ".join(edited)))
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in rows}
+    group = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)]
+    for _ in sets:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert any(0.5 < len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) < 0.8 and group[a] != group[b] for a in sets for b in sets if a < b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for texts, shingles in ((512, 1 << 22), (4, 1 << 22), (512, 500)):
+        monkeypatch.setattr(simhash, "TILE_TEXTS", texts)
+        monkeypatch.setattr(simhash, "TILE_SHINGLES", shingles)
+        got = {r.doc_id: r.component_id for r in simhash.group(docs, simhash.SIMILAR).collect()}
+        assert got == group
+
+
 def test_one_document_of_each_group_stays(corpus, odd, empty):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(2000)]
