@@ -112,15 +112,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bounded_sample(labelled: DataFrame, label: str, per_class: int, key: Column) -> DataFrame:
-    """About `per_class` rows of each label at most, chosen by a hash of `key`.
+    """About `per_class` rows of each label at most, chosen by a hash of `key`, one a key.
 
-    The share of each label follows from its count, so the rows are the same on every run and
-    their number does not grow with the table.
+    The share of each label follows from its number of keys, so the rows are the same on every
+    run and neither the table nor a key that many rows repeat makes them more.
     """
-    counts = labelled.groupBy(label).count().collect()
-    draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30))
+    name = free_name(labelled, "sample_key")
+    keyed = labelled.withColumn(name, key)
+    counts = keyed.groupBy(label).agg(F.approx_count_distinct(name, 0.02)).collect()
+    draw = F.pmod(F.xxhash64(name, F.lit("sample")), F.lit(1 << 30))
     keep = F.lit(False)
     for value, n in counts:
-        share = int((1 << 30) * min(1.0, per_class / n))
+        share = int((1 << 30) * min(1.0, per_class / max(n, 1)))
         keep = keep | ((F.col(label) == F.lit(value)) & (draw < share))
-    return labelled.filter(keep)
+    return keyed.filter(keep).dropDuplicates([label, name]).drop(name)

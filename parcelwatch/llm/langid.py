@@ -13,7 +13,6 @@ long texts are read whole; repeated rows are scored each; other columns are igno
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
 
 
@@ -64,7 +62,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(map(str.isalpha, text))
 
 
 def vector(buckets: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -152,7 +150,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
             yield pd.DataFrame({"lang": part["lang"], "key": part["key"], "at": at, "n": n})
 
     key = F.xxhash64("text")
-    sample = bounded_sample(rows, "lang", PER_LANGUAGE, key).withColumn("key", key)
+    sample = bounded_sample(rows.withColumn("key", key), "lang", PER_LANGUAGE, F.col("key"))
     schema = "lang string, key long, at binary, n binary"  # arrays as bytes: small on the driver
     found = sorted(sample.mapInPandas(vectors, schema).collect(), key=lambda r: (r.key, r.lang))
     languages = tuple(sorted({r.lang for r in found}))
