@@ -186,29 +186,32 @@ def segment_scores(lat: Lattice, weights: np.ndarray) -> np.ndarray:
     return np.array([weights[f].sum(axis=0) for f in lat.features])
 
 
-def decode(lat: Lattice, weights: np.ndarray) -> list[Span]:
-    """The best segmentation: non-overlapping entities, boundaries and kinds chosen together."""
-    scores = segment_scores(lat, weights)
-    n = len(lat.atoms)
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    for s, (_, j) in enumerate(lat.segments):
-        ending[j].append(s)
+def decode(text: str, start: int, end: int, weights: np.ndarray) -> list[Span]:
+    """The best segmentation: non-overlapping entities, boundaries and kinds chosen together.
+
+    Segments are scored where they end and not kept, so memory follows the number of atoms.
+    """
+    found = atoms(text, start, end)
+    n = len(found)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     for j in range(1, n + 1):
         best[j] = best[j - 1]
-        for s in ending[j]:
-            k = int(scores[s].argmax())
-            total = best[lat.segments[s][0]] + float(scores[s, k])
+        for i in range(max(0, j - MAX_ATOMS), j):
+            a, b = found[i][0], found[j - 1][1]
+            if not _candidate(text[a:b]):
+                continue
+            scores = weights[segment_features(text, a, b)].sum(axis=0)
+            k = int(scores.argmax())
+            total = best[i] + float(scores[k])
             if total > best[j]:
-                best[j], back[j] = total, (s, k)
+                best[j], back[j] = total, (i, k)
     out, j = [], n
     while j:
         if back[j] is None:
             j -= 1
         else:
-            s, k = back[j]
-            i, _ = lat.segments[s]
-            out.append((KINDS[k], lat.atoms[i][0], lat.atoms[j - 1][1]))
+            i, k = back[j]
+            out.append((KINDS[k], found[i][0], found[j - 1][1]))
             j = i
     return out[::-1]
 
@@ -338,7 +341,7 @@ def find(text: str | None, weights: np.ndarray | None) -> tuple[list[Span], list
     taken = sorted((a, b) for _, a, b in base)
     added = []
     for a, b in neighbourhoods(text):
-        for kind, x, y in decode(lattice(text, a, b), weights):
+        for kind, x, y in decode(text, a, b, weights):
             if all(y <= s or e <= x for s, e in taken):
                 added.append((kind, x, y))
     return base, added
