@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwatch.llm.common import n_words, prepare, words_of, written
+from parcelwatch.llm.common import let, n_words, prepare, words_of, written
 
 BLOCK = 128
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -112,18 +112,22 @@ def sources_of(sized: DataFrame, **how) -> list[Source]:
     return [Source(i, r.source, r.rows, r["size"], t) for i, (r, t) in enumerate(zip(found, wanted, strict=True))]
 
 
-def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     text = F.col(f"`{text_col}`")
     return docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
         n_words(text).alias("size"),
         F.xxhash64(text).alias("tie"),
+        *more,
     )
 
 
-def placed(sized: DataFrame, sources: list[Source]) -> DataFrame:
-    """Each document's first word in the sequence of its source: column `at`, beside `number`."""
+def placed(sized: DataFrame, sources: list[Source], *row: str) -> DataFrame:
+    """Each document's first word in the sequence of its source: column `at`, beside `number`.
+
+    `row` names a column that tells equal documents apart, if there is one.
+    """
     spark = sized.sparkSession
     rows = [
         (s.number, s.name, s.size, s.target, max(1, -(-s.rows // max(1000, -(-s.rows // 100_000)))))
@@ -137,11 +141,12 @@ def placed(sized: DataFrame, sources: list[Source]) -> DataFrame:
     sums = dealt.groupBy(*keys).agg(F.sum("size").alias("words"))
     before = F.expr("coalesce(sum(words) over (partition by number order by bucket rows between unbounded preceding and 1 preceding), 0)")
     starts = sums.select(*keys, before.alias("bucket_at"))
+    order = ", ".join(("doc_id", "tie", "size", *row))
     inside = F.expr(
-        "coalesce(sum(size) over (partition by number, bucket order by doc_id, tie, size"
+        f"coalesce(sum(size) over (partition by number, bucket order by {order}"
         " rows between unbounded preceding and 1 preceding), 0)"
     )
-    columns = ("doc_id", "source", "size", "tie", "number", "source_size", "target")
+    columns = ("doc_id", "source", "size", "tie", "number", "source_size", "target", *row)
     ordered = dealt.select(*columns, "bucket", inside.alias("inside"))
     return ordered.join(starts, list(keys)).select(*columns, (F.col("bucket_at") + F.col("inside")).alias("at"))
 
@@ -204,14 +209,14 @@ def slots_of(spark, sources: list[Source], block: int = BLOCK) -> DataFrame:
 
 def _blocks_of(at: Column, size: Column, block: int) -> Column:
     first, last = F.floor(at / block), F.floor((at + size - 1) / block)
-    return F.explode(F.sequence(first.cast("long"), last.cast("long")))
+    return F.sequence(first.cast("long"), last.cast("long"))
 
 
 def taken(placed_: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """`placed` documents with `taken`: how many of their words the mix takes, repeats counted."""
     keep = ("doc_id", "size", "source_size", "target", "number", "at")
     some = placed_.filter("size > 0")
-    pieces = some.select(*keep, _blocks_of(F.col("at"), F.col("size"), block).alias("block"))
+    pieces = some.select(*keep, F.explode(_blocks_of(F.col("at"), F.col("size"), block)).alias("block"))
     start = F.col("block") * block
     low = F.greatest(F.col("at") - start, F.lit(0).cast("long"))
     high = F.least(F.col("at") + F.col("size") - start, F.lit(block).cast("long"))
@@ -245,38 +250,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sorted by (shard, place) they are the training stream. Words are joined by single spaces.
     """
     spark = prepare(docs.sparkSession)
-    sized = written(sized_documents(docs, id_col, text_col, source_col), "sizes")
-    sources = sources_of(sized, **how)
-    where = placed(sized, sources).filter("size > 0")
-    # Documents that are equal in every respect are interchangeable: number them on both sides.
-    same = ("doc_id", "source", "tie", "size")
-    copy = F.expr("row_number() over (partition by doc_id, source, tie, size order by at)")
-    copy_of = F.expr("row_number() over (partition by doc_id, source, tie, size order by tie)")
-    where = where.withColumn("copy", copy)
-    text = F.col(f"`{text_col}`")
-    full = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        F.col(f"`{source_col}`").alias("source"),
-        F.xxhash64(text).alias("tie"),
-        n_words(text).alias("size"),
-        text.alias("text"),
-    ).filter("size > 0")
-    full = full.withColumn("copy", copy_of)
-    joined = None
-    for c in (*same, "copy"):
-        equal = full[c].eqNullSafe(where[c])
-        joined = equal if joined is None else joined & equal
-    both = full.join(where, joined).select(
-        where["doc_id"], where["size"], "number", "at", words_of(F.col("text")).alias("words")
-    )
-    pieces = both.select("*", _blocks_of(F.col("at"), F.col("size"), BLOCK).alias("block"))
-    low = F.greatest(F.col("block") * BLOCK - F.col("at"), F.lit(0).cast("long"))
-    high = F.least((F.col("block") + 1) * BLOCK - F.col("at"), F.col("size"))
-    piece = F.struct("at", "doc_id", F.slice("words", (low + 1).cast("int"), (high - low).cast("int")).alias("words"))
-    packed = pieces.select("number", "block", piece.alias("piece")).groupBy("number", "block")
+    # The texts are written with a number a row, by which they meet their places: equal documents
+    # stay apart, and a task that runs again sees the same numbers.
+    row, text = F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text")
+    numbered = sized_documents(docs, id_col, text_col, source_col, row, text)
+    numbered = written(numbered, "texts")
+    sources = sources_of(numbered, **how)
+    where = placed(numbered.drop("text"), sources, "row").filter("size > 0")
+    both = numbered.filter("size > 0").select("row", "text").join(where, "row")
+
+    def cut(words: Column) -> Column:
+        def piece(block: Column) -> Column:
+            low = F.greatest(block * BLOCK - F.col("at"), F.lit(0).cast("long"))
+            high = F.least((block + 1) * BLOCK - F.col("at"), F.col("size"))
+            part = F.slice(words, (low + 1).cast("int"), (high - low).cast("int"))
+            return F.struct(block.alias("block"), F.concat_ws(" ", part).alias("text"))
+
+        return F.transform(_blocks_of(F.col("at"), F.col("size"), BLOCK), piece)
+
+    pieces = both.select("number", "at", "doc_id", F.explode(let(words_of(F.col("text")), cut)).alias("part"))
+    piece = F.struct("at", "doc_id", F.col("part.text").alias("text"))
+    packed = pieces.select("number", F.col("part.block").alias("block"), piece.alias("piece")).groupBy("number", "block")
     blocks = packed.agg(F.sort_array(F.collect_list("piece")).alias("pieces"))  # at most BLOCK pieces
     names = spark.createDataFrame([(s.number, s.name) for s in sources], "number int, source string")
-    words = F.slice(F.flatten("pieces.words"), F.lit(1), F.col("take").cast("int"))
+    whole = F.split(F.concat_ws(" ", "pieces.text"), " ")
+    words = F.slice(whole, F.lit(1), F.col("take").cast("int"))
     return (
         slots_of(spark, sources)
         .join(blocks, ["number", "block"])
