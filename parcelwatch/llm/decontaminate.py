@@ -1,21 +1,26 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-One pass over the corpus counts in how many documents each n-gram of the benchmark occurs and
-puts the documents aside where n-grams of an item meet near one diagonal. In every run of `RUN`
-consecutive n-grams of an item the rarest becomes a seed, so any copied stretch of
-`RUN + NGRAM - 1` words holds one and common phrases are avoided. Where seeds of an item meet
-near a diagonal of a document put aside, the item is aligned to that part (match +1, mismatch
-and gap -1), which tolerates changed, added and dropped words. A document is contaminated by an item if the alignment scores at least
-`MIN_SHARE` of the item's length.
+A document is contaminated by an item if their best alignment (match +1, mismatch and gap -1,
+so changed, added and dropped words are tolerated) scores at least `MIN_SHARE` of the item's
+length. The filters before the alignment follow from that and lose nothing: with m matches and e
+errors the matches stand in at most e + 1 unbroken runs, so an alignment of score s holds s - 1
+pairs of neighbouring words of the item at the least (`needed`), and as e is at most
+`1 - MIN_SHARE` of the item's length, these lie on diagonals no further apart than that (`drift`).
+
+One pass over the corpus counts in how many documents each pair of the benchmark occurs and puts
+the documents aside that hold enough pairs of an item near one diagonal. Of an item's pairs all
+but `needed - 1` are its seeds, the rarest first: whatever holds enough pairs holds a seed, so
+common phrases alone start nothing. Documents put aside are aligned to the items whose seeds they
+hold, around the diagonals with enough pairs.
 
 The benchmark is the stated query set. It is cut into blocks of at most `BLOCK_CHARS`
 characters; each block is sent to the tasks and meets all documents, so what is broadcast has a
 fixed bound and a larger benchmark costs more passes.
 
 Defined cases: words are what white space separates, without case and without signs at their
-ends; items of fewer than `NGRAM`
-words, empty or null ones are too short to be recognised and match nothing; null and empty
-documents match nothing; documents are read whole; a passage common to a third of the documents
+ends; items of fewer than `MIN_WORDS`
+words, empty or null ones are too short to be recognised and match nothing; items of three and
+four words need two pairs, where one would give the score; null and empty documents match nothing; documents are read whole; a passage common to a third of the documents
 is found in each; repeated rows are matched each; ties between places go to the first one;
 other columns are carried along by `remove`.
 """
@@ -24,10 +29,11 @@ from __future__ import annotations
 
 import re
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -36,11 +42,10 @@ from pyspark.sql import functions as F
 
 from parcelwatch.llm.common import prepare, row_keys, written
 
-NGRAM = 3
-RUN = 4
-SLACK = 12  # words that alignments may drift beside the seeds' diagonals
+NGRAM = 2
+MIN_WORDS = 3  # of an item that can be recognised
 MIN_SHARE = 0.5
-MIN_SEEDS = 2  # seeds near one diagonal that start an alignment (fewer for items with fewer)
+MIN_PAIRS = 2  # that start an alignment, also of the shortest items
 BLOCK_CHARS = 8 << 20
 
 # Signs that do not belong to a word at whose ends they stand.
@@ -66,6 +71,16 @@ def grams(ids: np.ndarray) -> np.ndarray:
     return key
 
 
+def needed(length: int) -> int:
+    """Pairs of an item of so many words that every alignment of `MIN_SHARE` holds."""
+    return max(MIN_PAIRS, ceil(MIN_SHARE * length) - 1)
+
+
+def drift(length: int) -> int:
+    """Diagonals over which such an alignment can spread: its errors at most."""
+    return int((1 - MIN_SHARE) * length)
+
+
 @dataclass(frozen=True)
 class Items:
     """A block of the benchmark: words as numbers (0: any other word)."""
@@ -74,7 +89,11 @@ class Items:
     item_ids: list[int]
     words: list[np.ndarray]
     keys: np.ndarray  # sorted hashes of n-grams
-    where: list[list[tuple[int, int]]]  # of each key: (item, position)
+    first: np.ndarray  # of each key: its places are those from first[key] to first[key + 1]
+    item: np.ndarray  # of each place
+    position: np.ndarray
+    seed: np.ndarray
+    needed: np.ndarray  # of each item
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -101,35 +120,37 @@ class Items:
 
 
 def items_of(rows: list[tuple[int, str]]) -> Items:
-    """A block from (item_id, text); every n-gram is a key."""
+    """A block from (item_id, text); every n-gram is a key and a seed."""
     numbers: dict[str, int] = {}
     item_ids, words = [], []
     for item_id, text in rows:
         found = tokens(text)
-        if len(found) >= NGRAM:
+        if len(found) >= MIN_WORDS:
             item_ids.append(item_id)
             words.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in found], np.int64))
-    return _keyed(numbers | {"": -1}, item_ids, words, [range(len(w) - NGRAM + 1) for w in words])
-
-
-def _keyed(numbers, item_ids, words, positions) -> Items:
-    where = defaultdict(list)
-    for item, (ids, chosen) in enumerate(zip(words, positions, strict=True)):
-        keys = grams(ids)
-        for p in chosen:
-            where[int(keys[p])].append((item, p))
-    keys = np.array(sorted(where), np.uint64)
-    return Items(numbers, item_ids, words, keys, [where[int(k)] for k in keys])
+    hashes = [grams(w) for w in words]
+    keys, key = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
+    order = np.argsort(key, kind="stable")
+    sizes = [len(h) for h in hashes]
+    item = np.repeat(np.arange(len(words)), sizes)[order]
+    position = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])[order]
+    first = np.searchsorted(key[order], np.arange(len(keys) + 1))
+    wanted = np.array([needed(len(w)) for w in words], np.int64)
+    return Items(numbers | {"": -1}, item_ids, words, keys, first, item, position, np.ones(len(item), bool), wanted)
 
 
 def seeds_of(items: Items, frequency: np.ndarray) -> Items:
-    """The same items keyed by their rarest n-grams, given the document frequency of each key."""
-    chosen = []
-    for ids in items.words:
-        n = frequency[np.searchsorted(items.keys, grams(ids))]
-        runs = range(max(1, len(n) - RUN + 1))
-        chosen.append(sorted({min(range(r, min(r + RUN, len(n))), key=lambda p: (n[p], p)) for r in runs}))
-    return _keyed(items.numbers, items.item_ids, items.words, chosen)
+    """The same items with their rarest n-grams as seeds, given the document frequency of each key.
+
+    All but `needed - 1` n-grams of an item are seeds, so none can hold `needed` without a seed.
+    """
+    count = np.repeat(frequency, np.diff(items.first))
+    order = np.lexsort((items.position, count, items.item))
+    sizes = np.bincount(items.item, minlength=len(items.words))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seed = np.zeros(len(order), bool)
+    seed[order] = rank < np.repeat(sizes - items.needed + 1, sizes)
+    return replace(items, seed=seed)
 
 
 # --- alignment ------------------------------------------------------------------------------
@@ -174,29 +195,71 @@ def _best_end(item: np.ndarray, parts: np.ndarray, until: np.ndarray | None = No
     return best, end
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def regions(items: Items, at: np.ndarray, key: np.ndarray, n_words: int) -> list[tuple[int, int, int]]:
-    """(item, first word, end word) of the parts of a document to align, from its seed hits."""
-    meets = defaultdict(list)
-    for a, k in zip(at.tolist(), key.tolist(), strict=True):
-        for item, p in items.where[k]:
-            meets[item].append((a - p, p))
+    """(item, first word, end word) of the parts of a document to align, from its n-gram hits."""
+    distinct = np.unique(key)
+    places = _ranges(items.first[distinct], items.first[distinct + 1] - items.first[distinct])
+    item = items.item[places]
+    enough = np.bincount(item, minlength=len(items.words)) >= items.needed
+    enough &= np.bincount(item[items.seed[places]], minlength=len(items.words)) > 0
+    places = places[enough[item]]
+    if not len(places):
+        return []
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    places = places[np.argsort(items.item[places], kind="stable")]
+    cuts = np.flatnonzero(np.diff(items.item[places])) + 1
     out = []
-    for item, found in meets.items():
-        length = len(items.words[item])
-        found.sort()
-        run: list[tuple[int, int]] = []
-        for diagonal, p in [*found, (None, None)]:
-            if run and (diagonal is None or diagonal - run[-1][0] > SLACK):
-                if len({q for _, q in run}) >= min(MIN_SEEDS, max(1, length - NGRAM - RUN + 2)):
-                    first = max(0, run[0][0] - SLACK)
-                    last = min(n_words, run[-1][0] + length + SLACK)
-                    # a long run of diagonals (repeats) is read in overlapping parts
-                    reach = 2 * length + 4 * SLACK
-                    for a in range(first, max(first + 1, last - reach // 2), reach // 2):
-                        out.append((item, a, min(last, a + reach)))
-                run = []
-            if diagonal is not None:
-                run.append((diagonal, p))
+    for some in np.split(places, cuts):
+        i = int(items.item[some[0]])
+        length = len(items.words[i])
+        whose = np.searchsorted(items.first, some, "right") - 1
+        start, end = np.searchsorted(key, whose), np.searchsorted(key, whose, "right")
+        position = np.repeat(items.position[some], end - start)
+        diagonal = at[_ranges(start, end - start)] - position
+        beside = drift(length)
+        for low, high in _bands(diagonal, position, int(items.needed[i]), beside):
+            first, last = max(0, low - beside), min(n_words, high + length + beside)
+            # a long run of diagonals (repeats) is read in overlapping parts
+            reach = 2 * length + 4 * beside
+            for a in range(first, max(first + 1, last - reach // 2), reach // 2):
+                out.append((i, a, min(last, a + reach)))
+    return out
+
+
+def _bands(diagonal: np.ndarray, position: np.ndarray, wanted: int, width: int) -> list[tuple[int, int]]:
+    """Stretches of diagonals in which `wanted` positions are hit within `width` diagonals."""
+    order = np.argsort(diagonal, kind="stable")
+    diagonal, position = diagonal[order], position[order]
+    near = np.flatnonzero(diagonal[wanted - 1 :] - diagonal[: len(diagonal) - wanted + 1] <= width)
+    if not len(near):
+        return []
+    change = np.zeros(len(diagonal) + 1, np.int64)
+    np.add.at(change, near, 1)
+    np.add.at(change, near + wanted, -1)
+    inside = np.cumsum(change[:-1]) > 0
+    hits = list(zip(diagonal[inside].tolist(), position[inside].tolist(), strict=True))
+    out: list[tuple[int, int]] = []
+    seen: Counter[int] = Counter()
+    low = 0
+    for d, p in hits:
+        seen[p] += 1
+        while d - hits[low][0] > width:
+            gone = hits[low][1]
+            seen[gone] -= 1
+            if not seen[gone]:
+                del seen[gone]
+            low += 1
+        if len(seen) >= wanted:
+            if out and hits[low][0] <= out[-1][1]:
+                out[-1] = (out[-1][0], d)
+            else:
+                out.append((hits[low][0], d))
     return out
 
 

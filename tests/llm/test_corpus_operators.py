@@ -270,6 +270,31 @@ def test_benchmark_blocks_agree(corpus, spark, monkeypatch):
     assert {r[:2] for r in plain()} == {r[:2] for r in whole} and whole
 
 
+def test_edited_copies_are_found_as_plain_alignment_finds_them(corpus, spark):
+    rng = random.Random(12)
+    item_words, other = [f"w{i}" for i in range(300)], [f"x{i}" for i in range(300)]
+    items = [[rng.choice(item_words) for _ in range(rng.randint(15, 59))] for _ in range(40)]
+    rows, want = [], set()
+    for how in ("change 3", "change 4", "change 5", "change 6", "change 7", "add 2", "add 3", "drop 4"):
+        kind, k = how.split()
+        for n, item in enumerate(items):
+            copy = []
+            for i, w in enumerate(item, 1):
+                copy += [w] if i % int(k) else {"change": [rng.choice(other)], "add": [w, rng.choice(other)], "drop": []}[kind]
+            words = [rng.choice(other) for _ in range(60)]
+            words[30:30] = copy
+            for exact in (False, True):  # alone, and with an exact copy in the corpus
+                if exact and n % 2 == 0:
+                    continue
+                rows.append((len(rows), " ".join(item if exact else words)))
+                if exact or 2 * plain_alignment(item, words) >= len(item):
+                    want.add((rows[-1][0], n))
+    assert len(want) > 6 * len(items)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find(corpus(rows), bench).collect()}
+    assert found == want
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 
