@@ -295,6 +295,18 @@ def test_edited_copies_are_found_as_plain_alignment_finds_them(corpus, spark):
     assert found == want
 
 
+def test_exact_copies_of_short_items_are_found(corpus, spark):
+    items = [[f"i{n}w{k}" for k in range(n)] for n in range(3, 13)]
+    rows = [(i, " ".join(["x", "y", *item, "z"])) for i, item in enumerate(items)]
+    for item in items[4:]:  # uneven frequencies: the n-gram in the middle is the rarest of all runs
+        for k in range(len(item) - 2):
+            if k != (len(item) - 3) // 2:
+                rows.append((len(rows), " ".join(item[k : k + 3])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find(corpus(rows), bench).collect()}
+    assert found == {(i, i) for i in range(len(items))}
+
+
 # --- mixing ---------------------------------------------------------------------------------
 
 
