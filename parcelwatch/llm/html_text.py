@@ -8,7 +8,9 @@ Gaussian; the two clusters of the smoothed values give the threshold, and lines
 content. Where the page says what its article is, its lines are content and the rest is not.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed and misnested tags
-are closed as browsers do, roughly; character references are decoded, white space inside a block
+are closed as browsers do, roughly; an unclosed comment or script runs to the end of the page, any
+other element without text of its own (svg, object, title, head) hides its content only if it has
+its end tag; elements hidden by attributes give no text; character references are decoded, white space inside a block
 becomes one space, blocks are joined by one space in page order; whole pages are read; repeated
 rows are extracted each; other columns are carried along.
 """
@@ -72,7 +74,6 @@ class Line:
     text: str
     tags: int
     link_chars: int
-    hidden: bool
     aside: bool
     article: bool
     heading: bool
@@ -93,6 +94,16 @@ class Element:
     aside: bool
     article: bool
     heading: bool
+    cover: Element | None = None  # the innermost element whose name hides its content
+    outer: Element | None = None  # of a cover: the next cover outside
+    closed: bool = False  # by its own end tag
+
+    def covered(self) -> bool:
+        """Whether a cover that was closed is around the content."""
+        cover = self.cover
+        while cover is not None and not cover.closed:
+            cover = cover.outer
+        return cover is not None
 
 
 def _marks(given: dict[str, str | None], block: bool) -> tuple[bool, bool, bool]:
@@ -120,22 +131,36 @@ class LineReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[Line] = []
+        self.found: list[tuple[list[tuple[str, Element, bool]], int, Element]] = []
         self.open: list[Element] = [Element("", False, False, False, False)]
-        self.pieces: list[str] = []
-        self.tags = self.link_chars = self.links = 0
+        self.pieces: list[tuple[str, Element, bool]] = []  # text, where, whether in a link
+        self.tags = self.links = 0
 
     def updatepos(self, i: int, j: int) -> int:
         """Line and column numbers are not needed."""
         return j
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """The page is fed at once, so a comment without an end has none."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
     def _flush(self) -> None:
-        text = " ".join("".join(self.pieces).split())
-        if text:
-            here = self.open[-1]
-            marks = (here.hidden, here.aside, here.article, here.heading)
-            self.lines.append(Line(text, self.tags, self.link_chars, *marks))
-        self.pieces, self.tags, self.link_chars = [], 0, 0
+        if self.pieces:
+            self.found.append((self.pieces, self.tags, self.open[-1]))
+        self.pieces, self.tags = [], 0
+
+    def lines(self) -> list[Line]:
+        """The lines of visible text; only at the end is known which covers were closed."""
+        self._flush()
+        out = []
+        for pieces, tags, here in self.found:
+            seen = [p for p in pieces if p[1].cover is None or not p[1].covered()]
+            text = " ".join("".join([p[0] for p in seen]).split())
+            if text:
+                links = sum(len(p[0].strip()) for p in seen if p[2])
+                out.append(Line(text, tags, links, here.aside, here.article, here.heading))
+        return out
 
     def _pop(self, upto: int) -> None:
         for e in self.open[upto:]:
@@ -147,7 +172,7 @@ class LineReader(HTMLParser):
             self._flush()
             self._close_implied(tag)
         elif tag == "br":
-            self.pieces.append(" ")
+            self.pieces.append((" ", self.open[-1], False))
         self.tags += 1
         if tag in VOID:
             return
@@ -155,15 +180,17 @@ class LineReader(HTMLParser):
         hidden, aside, article = _marks(dict(attrs), tag in BLOCK and not root) if attrs else (False, False, False)
         aside = not root and (aside or tag in ASIDE or (tag == "header" and not parent.article))
         article = article or tag in ARTICLE
-        self.open.append(
-            Element(
-                tag,
-                parent.hidden or hidden or tag in HIDDEN,
-                parent.aside or aside,
-                (parent.article or article) and not aside,
-                parent.heading or tag in HEADINGS,
-            )
+        here = Element(
+            tag,
+            parent.hidden or hidden,
+            parent.aside or aside,
+            (parent.article or article) and not aside,
+            parent.heading or tag in HEADINGS,
+            parent.cover,
         )
+        if tag in HIDDEN:
+            here.cover, here.outer = here, parent.cover
+        self.open.append(here)
         self.links += tag == "a"
 
     def _close_implied(self, tag: str) -> None:
@@ -186,6 +213,7 @@ class LineReader(HTMLParser):
         self.tags += 1
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
+                self.open[i].closed = True
                 self._pop(i)
                 return
             if tag not in BLOCK and self.open[i].tag in BLOCK:
@@ -195,11 +223,9 @@ class LineReader(HTMLParser):
 
     def handle_data(self, data) -> None:
         here = self.open[-1]
-        if here.tag in ("script", "style"):
+        if here.hidden or here.tag in ("script", "style"):
             return
-        self.pieces.append(data)
-        if self.links:
-            self.link_chars += len(data.strip())
+        self.pieces.append((data, here, self.links > 0))
 
 
 def lines_of(html: str | None) -> list[Line]:
@@ -207,8 +233,7 @@ def lines_of(html: str | None) -> list[Line]:
     reader = LineReader()
     reader.feed(html or "")
     reader.close()
-    reader._flush()
-    return [line for line in reader.lines if not line.hidden]
+    return reader.lines()
 
 
 # --- choosing content -----------------------------------------------------------------------

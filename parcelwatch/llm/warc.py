@@ -17,17 +17,15 @@ table gives no records; columns of pages other than id, url and html are ignored
 from __future__ import annotations
 
 import gzip
-import re
 from collections.abc import Iterator
 from hashlib import sha256
-from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwatch.llm.common import prepare
-from parcelwatch.llm.html_text import BLOCK
+from parcelwatch.llm.html_text import lines_of
 
 DATE = "2024-01-01T00:00:00Z"  # pages carry no date; callers pass their own
 VERSION = "WARC/1.1"
@@ -91,34 +89,19 @@ def _http(block: str) -> tuple[str, list[str], str]:
     return status, lines, body if gap else ""
 
 
-# Elements whose content is not text, comments, and tags; attribute values may hold any sign.
-_UNSEEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|iframe|object)\b.*?(?:</\1\s*>|\Z)",
-    re.DOTALL | re.IGNORECASE,
-)
-_TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9-]*)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*+>""")
-_BREAK = "\0"
-
-
 def plain_lines(html: str) -> list[str]:
     """The visible text of a whole page, a line a block; white space in a line is one space."""
-
-    def gap(tag: re.Match) -> str:
-        name = (tag[1] or "").lower()
-        return _BREAK if name in BLOCK else " " if name == "br" else ""
-
-    text = _TAG.sub(gap, _UNSEEN.sub(" ", html.replace(_BREAK, "\ufffd")))
-    lines = (" ".join(unescape(part).split()) for part in text.split(_BREAK))
-    return [line for line in lines if line]
+    return [line.text for line in lines_of(html)]
 
 
 def derived(response_block: str) -> tuple[str, str]:
     """The metadata block and the plain text of a response."""
     status, headers, body = _http(response_block)
-    lines = plain_lines(body)
-    text = "\n".join(lines)
+    lines = lines_of(body)
+    text = "\n".join(line.text for line in lines)
+    links = sum(line.link_chars for line in lines)
     fields = [f"source-status: {status}", *(f"source-header: {h}" for h in headers)]
-    fields += [f"lines: {len(lines)}", f"text-chars: {len(text)}"]
+    fields += [f"lines: {len(lines)}", f"text-chars: {len(text)}", f"link-chars: {links}"]
     return "".join(f + CRLF for f in fields), text
 
 

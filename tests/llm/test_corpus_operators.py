@@ -193,6 +193,24 @@ def test_visible_text_agrees_with_the_parser(spark):
     assert warc.plain_lines("a<!-- never closed <p>b") == ["a"]
 
 
+def test_odd_elements_do_not_take_the_rest_of_the_page():
+    cases = {
+        '<p>one</p><svg class="i"/><p>two</p><p>three</p>': ["one", "two", "three"],
+        "<title-bar><p>a</p></title-bar><object-card>b</object-card><p>c": ["a", "b", "c"],
+        '<p>x <a title="see <script> tag">y</a> z</p><p>w': ["x y z", "w"],
+        "<p>a</p><object data=x><p>b</p><p>c": ["a", "b", "c"],
+        "<p>a<iframe src=x><p>b</p>": ["a", "b"],
+        "<title/><p>a</p><p>b": ["a", "b"],
+        "<html><head><title>t</title><body><p>a</p></body></html>": ["a"],
+        "<p>a<svg><text>t</text></svg>b<span hidden>c</span></p><div style='display:none'><p>d</p></div>": ["ab"],
+        "<object><p>a</p></object><svg><title>t</title></svg><p>b": ["b"],
+    }
+    for html, want in cases.items():
+        assert warc.plain_lines(html) == want, html
+    metadata, text = warc.derived("HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>go <a href=x>there</a></p>")
+    assert text == "go there" and metadata.endswith("link-chars: 5\r\n")
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 
