@@ -45,13 +45,25 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split()
 )
-# Words in class and id names that mark what is not the article.
+# Whole class and id names that mark what is not the article: `sidebar`, `related-posts`, `site-footer`,
+# but not `no-sidebar`, `category-legal` or `tag-social-media`, which say something of the content.
+_PLACE = (
+    "site|page|main|top|bottom|left|right|primary|secondary|global|mobile|desktop|sticky|google|post|entry|article|blog|"
+    "wp|js|block"
+)
+_NAME = (
+    r"ads?|advert[a-z]*|banners?|sponsor[a-z]*|promo[a-z]*|side|sidebars?|nav|navs|navbar|navigation|menus?|menubar|"
+    r"breadcrumbs?|footers?|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|"
+    r"newsletter|subscri[a-z]*|signup|login|share|sharing|social|related|recommend[a-z]*|comments?|commentlist|replies|"
+    r"reply|discussion|disqus|respond|widgets?|toolbar|pager|pagination|search|searchform|skip|copyright|legal|disclaimer"
+)
+_PART = (
+    "areas?|lists?|sections?|box|boxes|wrap|wrapper|container|inner|outer|holder|body|panel|posts?|articles?|stories|"
+    "links?|items?|bars?|slots?|units?|forms?|thread|content|text|title|buttons?|icons?|media|trail|block|column|col|"
+    "row|group|left|right|top|bottom|primary|secondary|main|header|[a-z]*[0-9][a-z0-9]*"
+)
 ASIDE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|side|sidebar\w*|nav\w*|menu\w*|breadcrumbs?|"
-    r"footer\w*|header|masthead|topbar|cookies?|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter|"
-    r"subscri\w*|signup|login|share|sharing|social\w*|related|recommend\w*|comments?|commentlist|replies|reply|"
-    r"discussion|disqus\w*|respond|widget\w*|toolbar|pager|pagination|search\w*|skip|copyright|legal|disclaimer)"
-    r"(?:$|[-_\s])",
+    rf"(?:^|\s)(?:(?:(?:{_PLACE})[-_]+)*(?:{_NAME})(?:[-_]+(?:{_NAME}|{_PART}))*|(?:(?:site|global|top)[-_]+)?header)(?=$|\s)",
     re.IGNORECASE,
 )
 ARTICLE_NAMES = re.compile(
@@ -106,7 +118,7 @@ class Element:
         return cover is not None
 
 
-def _marks(given: dict[str, str | None], block: bool) -> tuple[bool, bool, bool]:
+def _marks(given: dict[str, str | None], tag: str) -> tuple[bool, bool, bool]:
     """Whether an element's attributes hide it, put it aside or make it the article."""
     names = f"{given.get('class') or ''} {given.get('id') or ''}"
     roles = (given.get("role") or "").lower().split()
@@ -116,13 +128,15 @@ def _marks(given: dict[str, str | None], block: bool) -> tuple[bool, bool, bool]
         or INVISIBLE.search(given.get("style") or "") is not None
     )
     named = len(names) > 1
-    aside = any(r in ASIDE_ROLES for r in roles) or (named and ASIDE_NAMES.search(names) is not None)
     article = (
-        "main" in roles
+        tag in ARTICLE
+        or "main" in roles
         or "article" in roles
         or (given.get("itemprop") or "").lower() == "articlebody"
-        or (named and block and ARTICLE_NAMES.search(names) is not None)
+        or (named and tag in BLOCK and ARTICLE_NAMES.search(names) is not None)
     )
+    # what else a container of the article is named says nothing against it
+    aside = any(r in ASIDE_ROLES for r in roles) or (named and not article and ASIDE_NAMES.search(names) is not None)
     return hidden, aside, article
 
 
@@ -177,7 +191,7 @@ class LineReader(HTMLParser):
         if tag in VOID:
             return
         parent, root = self.open[-1], tag in ("html", "body")
-        hidden, aside, article = _marks(dict(attrs), tag in BLOCK and not root) if attrs else (False, False, False)
+        hidden, aside, article = _marks(dict(attrs), "" if root else tag) if attrs else (False, False, False)
         aside = not root and (aside or tag in ASIDE or (tag == "header" and not parent.article))
         article = article or tag in ARTICLE
         here = Element(

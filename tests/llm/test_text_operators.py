@@ -83,6 +83,16 @@ def test_clusters_part_content_from_links():
     assert html_text.main_text(page) == want
 
 
+def test_names_of_themes_do_not_put_the_article_aside():
+    for names in ("content no-sidebar", "site-main has-sidebar", "post type-post category-legal", "hentry tag-social-media"):
+        for tag in ("div", "article", "main", "section"):
+            page = f"<div class='wrap has-sidebar'><{tag} class='{names}'><p>The whole text.</p></{tag}></div>"
+            assert html_text.main_text(page) == "The whole text.", (names, tag)
+    assert html_text.main_text("<article id='comment' class='search'><p>text</p></article>") == "text"
+    for names in ("sidebar", "related-posts", "site-footer", "ad", "ad-300x250", "cookie-banner", "comments-area", "main-nav", "x share"):
+        assert html_text.main_text(f"<div class='{names}'>aside</div><p>text") == "text", names
+
+
 def test_smoothing_is_a_weighted_mean():
     assert np.allclose(html_text.smooth(np.ones(5)), 1)
     assert html_text.smooth(np.array([0.0, 0, 9, 0, 0])).argmax() == 2
