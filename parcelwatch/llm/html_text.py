@@ -5,7 +5,9 @@ knows its text, how many tags it took, how much of it is link text and where in
 Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments are dropped
 by the names of their containers. The text-to-tag ratios of the others are smoothed by a
 Gaussian; the two clusters of the smoothed values give the threshold, and lines above it are the
-content. Where the page says what its article is, its lines are content and the rest is not.
+content. What a page calls its article is checked against them: if it holds at least half of the
+text that is in it or above the threshold, its lines are the content, short ones too; if not, it
+is a teaser beside the main text and the lines above the threshold stand.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed and misnested tags
 are closed as browsers do, roughly; an unclosed comment or script runs to the end of the page, any
@@ -276,18 +278,26 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2 if high - low >= MIN_SPREAD else -np.inf
 
 
-def content(lines: list[Line]) -> list[Line]:
-    """The lines of the main text."""
-    kept = [line for line in lines if not line.aside]
-    if any(line.article for line in kept):
-        return [line for line in kept if line.article]
-    if not kept:
-        return []
+def by_ratios(kept: list[Line]) -> list[bool]:
+    """Which lines are above the threshold of the smoothed text-to-tag ratios."""
     ratios = smooth(np.log1p([line.ratio * (1 - line.links) for line in kept]))
     above = ratios >= threshold(ratios)
     chosen = [bool(a) and line.links <= MAX_LINKS for a, line in zip(above, kept, strict=True)]
     for i in range(len(kept) - 2, -1, -1):  # a heading belongs to the region below it
         chosen[i] = chosen[i] or (kept[i].heading and chosen[i + 1])
+    return chosen
+
+
+def content(lines: list[Line]) -> list[Line]:
+    """The lines of the main text."""
+    kept = [line for line in lines if not line.aside]
+    if not kept:
+        return []
+    chosen = by_ratios(kept)
+    marked = sum(len(line.text) - line.link_chars for line in kept if line.article)
+    beside = sum(len(line.text) - line.link_chars for line, c in zip(kept, chosen, strict=True) if c and not line.article)
+    if any(line.article for line in kept) and marked >= beside:
+        return [line for line in kept if line.article]
     return [line for line, c in zip(kept, chosen, strict=True) if c]
 
 

@@ -93,6 +93,17 @@ def test_names_of_themes_do_not_put_the_article_aside():
         assert html_text.main_text(f"<div class='{names}'>aside</div><p>text") == "text", names
 
 
+def test_ratios_check_what_pages_call_their_article():
+    long = "A sentence with quite some words in it, as articles have them. " * 3
+    main = "".join(f"<div>{k} {long}</div>" for k in range(4))
+    want = " ".join(" ".join(f"{k} {long}" for k in range(4)).split())
+    links = "".join(f"<div><a href={i}>link {i}</a></div>" for i in range(8))
+    for teaser in ("<article><p>Read on</p></article>", "<div class=entry><a href=x>More</a></div>", "<div class=post>Old</div>"):
+        assert html_text.main_text(f"<body>{teaser}{links}{main}{links}</body>") == want, teaser
+    article = "<article><h1>Title</h1><ul><li>a<li>b</ul>" + main + "</article>"
+    assert html_text.main_text(f"<body>{links}{article}<div>{long}</div></body>") == f"Title a b {want}"
+
+
 def test_smoothing_is_a_weighted_mean():
     assert np.allclose(html_text.smooth(np.ones(5)), 1)
     assert html_text.smooth(np.array([0.0, 0, 9, 0, 0])).argmax() == 2
