@@ -15,7 +15,9 @@ A comparison returns the spanning stars of what it found, never all pairs; the c
 those links are the groups.
 
 A likeness with a `similarity` is a Jaccard similarity of sets of shingles, which fingerprints
-only estimate. Its fingerprints find the candidates; the members of each group of candidates are
+only estimate, the worse the fewer shingles there are. Its fingerprints find the candidates.
+Texts of at most `few` shingles also have their smallest shingles as keys, as many as it takes
+that two similar sets share one, so sampling misses no pair of them. The members of each group of candidates are
 then compared once more with their whole sets of shingles, dealt to tasks in chunks as above, and
 only links that hold exactly make the groups.
 
@@ -30,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -55,13 +58,15 @@ class Likeness:
     tables: int = 0
     key_bits: int = 0
     similarity: float = 0.0  # of the sets of shingles, checked exactly; 0: fingerprints decide
+    few: int = 0  # shingles of texts that are keyed by shingles too
 
 
 #: 64 bits of XXH64 over three words; all pairs within three bits.
 CLOSE = Likeness()
 #: Five-word shingles with a Jaccard similarity of 0.8 or more. Candidates at 0.8 differ in 39 of
-#: 256 bits on average (standard deviation 6; 48 for texts of a few shingles).
-SIMILAR = Likeness(shingle=5, bits=256, radius=60, blocks=0, tables=48, key_bits=12, similarity=0.8)
+#: 256 bits on average (standard deviation 6; 48 for texts of a few shingles); the radius is six
+#: deviations beyond that, and texts that have nothing in common differ in 128.
+SIMILAR = Likeness(shingle=5, bits=256, radius=85, blocks=0, tables=48, key_bits=12, similarity=0.8, few=80)
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -137,6 +142,21 @@ def keys_of(fp: Column, like: Likeness) -> Column:
     return compute(fp)
 
 
+def heads_of(text: Column, like: Likeness) -> Column:
+    """The smallest shingles of texts of at most `few`: similar sets share one of them."""
+
+    @F.pandas_udf("array<long>")
+    def compute(texts: pd.Series) -> pd.Series:
+        def heads(t: str | None) -> np.ndarray:
+            found = shingle_hashes(t, like.shingle)
+            n = len(found) if len(found) <= like.few else 0
+            return found[: n and n - ceil(like.similarity * n - 1e-9) + 1].view(np.int64)
+
+        return texts.map(heads)
+
+    return compute(text)
+
+
 # --- comparing ------------------------------------------------------------------------------
 
 
@@ -249,8 +269,12 @@ def _linker(radius: int):
 
 def link(classes: DataFrame, like: Likeness) -> DataFrame:
     """Links (u, v) between the distinct fingerprints `fp`, enough to connect all near ones."""
-    keyed = classes.select("fp", keys_of(F.col("fp"), like).alias("keys"))
-    keyed = keyed.select("fp", F.posexplode("keys").alias("choice", "key"))
+    keys = keys_of(F.col("fp"), like)
+    if like.few:
+        keys = F.concat(keys, "heads")
+    keyed = classes.select("fp", keys.alias("keys")).select("fp", F.posexplode("keys").alias("choice", "key"))
+    if like.few:  # a head is a key of the same choice wherever it stands
+        keyed = keyed.withColumn("choice", F.least("choice", F.lit(like.tables)))
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     tile = F.xxhash64("choice", "key", F.least("part", "other"), F.greatest("part", "other"))
@@ -270,13 +294,17 @@ def link(classes: DataFrame, like: Likeness) -> DataFrame:
 TILE_TEXTS, TILE_SHINGLES = 512, 1 << 22  # of a chunk
 
 
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(text, size)], np.uint64))
+
+
 def shingle_set(text: Column, size: int) -> Column:
     """The distinct shingles of a text, as sorted 64-bit hashes."""
 
     @F.pandas_udf("binary")
     def compute(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> bytes:
-            return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(t, size)], np.uint64)).tobytes()
+            return shingle_hashes(t, size).tobytes()
 
         return texts.map(one)
 
@@ -372,15 +400,16 @@ def group(docs: DataFrame, like: Likeness = CLOSE, id_col: str = "doc_id", text_
     """
     prepare(docs.sparkSession)
     identity, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    heads = [heads_of(text, like).alias("heads")] if like.few else []
     prints = written(
-        docs.select(identity.alias("doc_id"), *row_keys(identity, text), fingerprint_column(text, like).alias("fp")),
+        docs.select(identity.alias("doc_id"), *row_keys(identity, text), fingerprint_column(text, like).alias("fp"), *heads),
         "fingerprints",
     )
-    first = F.min(F.struct("row_key", "row_check")).alias("row")
+    first = F.min(F.struct("row_key", "row_check", *(["heads"] if heads else []))).alias("row")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), first), "classes")
-    found = components(link(classes, like))
+    found = components(link(classes.select("fp", *(["row.heads"] if heads else [])), like))
     if like.similarity:
-        one = classes.join(_with_roots(found), "fp").select("fp", "root", "row.*")
+        one = classes.join(_with_roots(found), "fp").select("fp", "root", "row.row_key", "row.row_check")
         one = written(one, "candidates")
         texts = docs.select(*row_keys(identity, text), text.alias("text")).join(one, ["row_key", "row_check"])
         texts = texts.dropDuplicates(["fp"]).select("fp", "text")
@@ -390,7 +419,7 @@ def group(docs: DataFrame, like: Likeness = CLOSE, id_col: str = "doc_id", text_
     linked = members.join(lowest, "root").select("fp", "component_id")
     smallest = F.least("component_id", "rep").alias("component_id")
     whole = classes.join(linked, "fp", "left").select("fp", smallest)
-    return prints.join(whole, "fp")
+    return prints.drop("heads").join(whole, "fp")
 
 
 def _with_roots(found: DataFrame) -> DataFrame:

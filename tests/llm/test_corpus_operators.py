@@ -130,6 +130,18 @@ def test_similar_groups_match_brute_force(spark, monkeypatch):
         assert got == group
 
 
+def test_similar_short_texts_are_all_linked(spark):
+    rng = random.Random(14)
+    rows = []
+    for n in (4, 12, 40):  # shingles of the shorter text; the longer one has a fifth of its own
+        for _ in range(150):
+            text = [f"w{rng.random()}" for _ in range(n + 4)]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, *(f"v{rng.random()}" for _ in range(n // 4))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.group(docs, simhash.SIMILAR).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_one_document_of_each_group_stays(corpus, odd, empty):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(2000)]
