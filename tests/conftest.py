@@ -4,12 +4,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from helpers import SF
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

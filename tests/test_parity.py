@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF
+from helpers import SF
 
 import __spark_entry__
 from checks.cases import CASES, SQL

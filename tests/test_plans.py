@@ -7,8 +7,7 @@ import re
 from pathlib import Path
 
 import pytest
-from conftest import SF
-from helpers import final_plan, planned
+from helpers import SF, final_plan, planned
 from pyspark.sql import functions as F
 
 from parcelwatch.operators.enrich import enrich_items
