@@ -1,11 +1,9 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared bit-sliced inside shared keys.
 
 A fingerprint has a bit for each bit of the shingles' hashes: set if more than half of them have
-it. Candidates share a key, of which there are two kinds. `exact` keys: fingerprints that differ
-in at most `radius` bits agree on at least `blocks - radius` of `blocks` blocks, so every choice
-of that many blocks is a key and no link is missed. `sampled` keys, for a radius too large for
-that: `tables` random sets of `key_bits` bits; the chance to miss a link is
-`(1 - (1 - d / bits) ** key_bits) ** tables` at a distance of d bits.
+it. Candidates share a key: fingerprints that differ in at most `radius` bits agree on at least
+`blocks - radius` of `blocks` blocks, so every choice of that many blocks is a key and no link is
+missed.
 
 Inside a key, candidates are stored vertically: one 64-bit word holds the same bit of 64
 candidates. A query adds plane after plane to a few carry-save counters, 64 distances at a time,
@@ -14,12 +12,9 @@ size and every pair of chunks is compared by its own task, so no task holds an u
 A comparison returns the spanning stars of what it found, never all pairs; the components of
 those links are the groups.
 
-A likeness with a `similarity` is a Jaccard similarity of sets of shingles, which fingerprints
-only estimate, the worse the fewer shingles there are. Its fingerprints find the candidates.
-Texts of at most `few` shingles also have their smallest shingles as keys, as many as it takes
-that two similar sets share one, so sampling misses no pair of them. The members of each group of candidates are
-then compared once more with their whole sets of shingles, dealt to tasks in chunks as above, and
-only links that hold exactly make the groups.
+Exact copies share a fingerprint and are one candidate. Fingerprints that hold more than a share
+`1 / HOT` of all rows, of which there are fewer than HOT, reach their rows by a broadcast; the
+others by a shuffle.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a text
 shorter than a shingle is one shingle; repeated rows are rows of their own; null ids are kept
@@ -32,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -44,29 +38,22 @@ from pyspark.sql import functions as F
 from parcelwatch.llm.common import components, prepare, row_keys, written
 
 SEED = 42
+BITS = 64
 CHUNK = 2048
+HOT = 1000
 
 
 @dataclass(frozen=True)
 class Likeness:
     """How texts are fingerprinted, and how near their fingerprints must be."""
 
-    shingle: int = 3
-    bits: int = 64
-    radius: int = 3
-    blocks: int = 5  # exact keys; 0: sampled keys
-    tables: int = 0
-    key_bits: int = 0
-    similarity: float = 0.0  # of the sets of shingles, checked exactly; 0: fingerprints decide
-    few: int = 0  # shingles of texts that are keyed by shingles too
+    shingle: int = 3  # words
+    radius: int = 3  # differing bits
+    blocks: int = 5  # more than the radius; more blocks make longer keys, and more of them
 
 
 #: 64 bits of XXH64 over three words; all pairs within three bits.
 CLOSE = Likeness()
-#: Five-word shingles with a Jaccard similarity of 0.8 or more. Candidates at 0.8 differ in 39 of
-#: 256 bits on average (standard deviation 6; 48 for texts of a few shingles); the radius is six
-#: deviations beyond that, and texts that have nothing in common differ in 128.
-SIMILAR = Likeness(shingle=5, bits=256, radius=85, blocks=0, tables=48, key_bits=12, similarity=0.8, few=80)
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -76,38 +63,27 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return list(map(b" ".join, runs))
 
 
-def digests(text: str | None, shingle: int, bits: int) -> np.ndarray:
-    """Hash bytes, most significant first, of the shingles; wide ones of distinct shingles only."""
-    runs = shingles(text, shingle)
-    if bits == 64:
-        found = [xxhash.xxh64_digest(run, SEED) for run in runs]
-    else:
-        seeds = range(SEED, SEED + bits // 128)
-        found = [xxhash.xxh128_digest(run, s) for run in dict.fromkeys(runs) for s in seeds]
-    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, bits // 8)
-
-
-def fingerprints(texts, shingle: int = 3, bits: int = 64) -> np.ndarray:
+def fingerprints(texts, shingle: int = 3) -> np.ndarray:
     """The fingerprint of each text, as bytes: the bits set in more than half of its hashes."""
-    found = [digests(t, shingle, bits) for t in texts]
-    sizes = np.array([len(h) for h in found], np.int64)
-    width = bits // 8
+    found = [b"".join(xxhash.xxh64_digest(run, SEED) for run in shingles(t, shingle)) for t in texts]
+    width = BITS // 8
+    sizes = np.array([len(h) // width for h in found], np.int64)
     ones = np.zeros((len(found), width, 8), np.int64)
     if sizes.sum():
-        octets = np.concatenate(found)
+        octets = np.frombuffer(b"".join(found), np.uint8).reshape(-1, width)
         row = np.repeat(np.arange(len(found)) * 256, sizes)
         weight = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
         for i in range(width):  # counts of each byte value, then of each bit
             seen = np.bincount(row + octets[:, i], minlength=len(found) * 256)
             ones[:, i] = seen.reshape(-1, 256) @ weight
     set_ = (ones * 2 > sizes[:, None, None]).astype(np.uint8)
-    return np.packbits(set_.reshape(len(found), bits), axis=1)
+    return np.packbits(set_.reshape(len(found), BITS), axis=1)
 
 
 def fingerprint_column(text: Column, like: Likeness) -> Column:
     @F.pandas_udf("binary")
     def compute(texts: pd.Series) -> pd.Series:
-        return pd.Series([row.tobytes() for row in fingerprints(texts, like.shingle, like.bits)])
+        return pd.Series([row.tobytes() for row in fingerprints(texts, like.shingle)])
 
     return compute(text)
 
@@ -117,15 +93,8 @@ def fingerprint_column(text: Column, like: Likeness) -> Column:
 
 def key_masks(like: Likeness) -> np.ndarray:
     """Which bits each key looks at (keys x bits)."""
-    if like.blocks:
-        block = np.arange(like.bits) * like.blocks // like.bits
-        choices = combinations(range(like.blocks), like.blocks - like.radius)
-        return np.array([np.isin(block, c) for c in choices])
-    rng = np.random.default_rng(SEED)
-    masks = np.zeros((like.tables, like.bits), bool)
-    for mask in masks:
-        mask[rng.choice(like.bits, like.key_bits, replace=False)] = True
-    return masks
+    block = np.arange(BITS) * like.blocks // BITS
+    return np.array([np.isin(block, c) for c in combinations(range(like.blocks), like.blocks - like.radius)])
 
 
 def keys_of(fp: Column, like: Likeness) -> Column:
@@ -142,21 +111,6 @@ def keys_of(fp: Column, like: Likeness) -> Column:
     return compute(fp)
 
 
-def heads_of(text: Column, like: Likeness) -> Column:
-    """The smallest shingles of texts of at most `few`: similar sets share one of them."""
-
-    @F.pandas_udf("array<long>")
-    def compute(texts: pd.Series) -> pd.Series:
-        def heads(t: str | None) -> np.ndarray:
-            found = shingle_hashes(t, like.shingle)
-            n = len(found) if len(found) <= like.few else 0
-            return found[: n and n - ceil(like.similarity * n - 1e-9) + 1].view(np.int64)
-
-        return texts.map(heads)
-
-    return compute(text)
-
-
 # --- comparing ------------------------------------------------------------------------------
 
 
@@ -269,12 +223,7 @@ def _linker(radius: int):
 
 def link(classes: DataFrame, like: Likeness) -> DataFrame:
     """Links (u, v) between the distinct fingerprints `fp`, enough to connect all near ones."""
-    keys = keys_of(F.col("fp"), like)
-    if like.few:
-        keys = F.concat(keys, "heads")
-    keyed = classes.select("fp", keys.alias("keys")).select("fp", F.posexplode("keys").alias("choice", "key"))
-    if like.few:  # a head is a key of the same choice wherever it stands
-        keyed = keyed.withColumn("choice", F.least("choice", F.lit(like.tables)))
+    keyed = classes.select("fp", F.posexplode(keys_of(F.col("fp"), like)).alias("choice", "key"))
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     tile = F.xxhash64("choice", "key", F.least("part", "other"), F.greatest("part", "other"))
@@ -289,107 +238,6 @@ def link(classes: DataFrame, like: Likeness) -> DataFrame:
     return dealt.mapInArrow(_linker(like.radius), "u binary, v binary").distinct()
 
 
-# --- exact similarity -----------------------------------------------------------------------
-
-TILE_TEXTS, TILE_SHINGLES = 512, 1 << 22  # of a chunk
-
-
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles(text, size)], np.uint64))
-
-
-def shingle_set(text: Column, size: int) -> Column:
-    """The distinct shingles of a text, as sorted 64-bit hashes."""
-
-    @F.pandas_udf("binary")
-    def compute(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> bytes:
-            return shingle_hashes(t, size).tobytes()
-
-        return texts.map(one)
-
-    return compute(text)
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
-def similar(prints: list[bytes], sets: list[bytes], like: Likeness) -> list[tuple[int, int]]:
-    """Pairs of near fingerprints and similar sets, enough to connect all such pairs."""
-    parent = list(range(len(prints)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    whole = [np.frombuffer(s, np.uint64) for s in sets]
-    size = [len(s) for s in whole]
-    octets = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
-    out = []
-    for row, start, bits in near(octets, np.zeros(len(prints), np.int64), like.radius):
-        for k in _positions(bits):
-            other = start + k
-            if other <= row or min(size[row], size[other]) < like.similarity * max(size[row], size[other]) - 1e-6:
-                continue
-            a, b = root(row), root(other)
-            if a != b and jaccard(whole[row], whole[other]) >= like.similarity:
-                parent[b] = a
-                out.append((row, other))
-    return out
-
-
-def _checker(like: Likeness):
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
-        tile, rows = None, []
-        for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != tile and rows:
-                    yield rows
-                    rows = []
-                tile = t
-                rows.append(row)
-        if rows:
-            yield rows
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in tiles(batches):
-            prints, sets = zip(*rows, strict=True)
-            pairs = similar(prints, sets, like)
-            if pairs:
-                sides = [pa.array([prints[i] for i in side]) for side in zip(*pairs, strict=True)]
-                yield pa.RecordBatch.from_arrays(sides, ["u", "v"])
-
-    return check
-
-
-def confirm(members: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """Links (u, v) between fingerprints whose texts are similar, out of groups of candidates.
-
-    `members`: fp and root, the group; `texts`: fp and text, a row a fingerprint. Groups are cut
-    into chunks of a bounded number of texts and shingles; every pair of chunks is a task's.
-    """
-    sets = members.join(texts, "fp").select("root", "fp", shingle_set(F.col("text"), like.shingle).alias("shingles"))
-    sets = written(sets, "shingles")
-    chunks = F.greatest(
-        F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES))
-    )
-    sizes = sets.groupBy("root").agg(chunks.cast("long").alias("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    tile = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
-    dealt = (
-        sets.join(sizes, "root")
-        .withColumn("part", F.pmod(F.xxhash64("fp"), F.greatest("parts", F.lit(1))))
-        .select("root", "fp", "shingles", "part", other)
-        .select(tile.alias("tile"), "fp", "shingles")
-    )
-    dealt = dealt.repartition("tile").sortWithinPartitions("tile", "fp")
-    return dealt.mapInArrow(_checker(like), "u binary, v binary").distinct()
-
-
 # --- groups ---------------------------------------------------------------------------------
 
 
@@ -400,33 +248,30 @@ def group(docs: DataFrame, like: Likeness = CLOSE, id_col: str = "doc_id", text_
     """
     prepare(docs.sparkSession)
     identity, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    heads = [heads_of(text, like).alias("heads")] if like.few else []
     prints = written(
-        docs.select(identity.alias("doc_id"), *row_keys(identity, text), fingerprint_column(text, like).alias("fp"), *heads),
+        docs.select(identity.alias("doc_id"), *row_keys(identity, text), fingerprint_column(text, like).alias("fp")),
         "fingerprints",
     )
-    first = F.min(F.struct("row_key", "row_check", *(["heads"] if heads else []))).alias("row")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), first), "classes")
-    found = components(link(classes.select("fp", *(["row.heads"] if heads else [])), like))
-    if like.similarity:
-        one = classes.join(_with_roots(found), "fp").select("fp", "root", "row.row_key", "row.row_check")
-        one = written(one, "candidates")
-        texts = docs.select(*row_keys(identity, text), text.alias("text")).join(one, ["row_key", "row_check"])
-        texts = texts.dropDuplicates(["fp"]).select("fp", "text")
-        found = components(confirm(one.select("fp", "root"), texts, like))
-    members = _with_roots(found)
+    counted = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    classes = written(counted, "classes")
+    members = _with_roots(components(link(classes.select("fp"), like)))
     lowest = members.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = members.join(lowest, "root").select("fp", "component_id")
     smallest = F.least("component_id", "rep").alias("component_id")
-    whole = classes.join(linked, "fp", "left").select("fp", smallest)
-    return prints.drop("heads").join(whole, "fp")
+    whole = written(classes.join(linked, "fp", "left").select("fp", smallest, "n"), "groups")
+    n_rows = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > n_rows // HOT + 1
+    many = whole.filter(hot).drop("n")
+    found = prints.join(F.broadcast(many), "fp")
+    rest = prints.join(F.broadcast(many.select("fp")), "fp", "left_anti")
+    return found.unionByName(rest.join(whole.filter(~hot).drop("n"), "fp"))
 
 
 def _with_roots(found: DataFrame) -> DataFrame:
     return found.union(found.select("root", "root").distinct()).toDF("fp", "root")
 
 
-def deduplicate(docs: DataFrame, like: Likeness = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, like: Likeness = CLOSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-copies: of each group the row with the smallest id stays.
 
     Ties (repeated ids) are broken by the hash of the text; fully repeated rows become one.

@@ -102,67 +102,42 @@ def test_groups_match_brute_force(corpus, odd, monkeypatch):
     assert Counter((r.doc_id, r.fp.hex(), r.component_id) for r in got) == want
 
 
-def test_similar_groups_match_brute_force(spark, monkeypatch):
-    """Groups of five-word shingles at 0.8 or more, near misses apart, in chunks of any size."""
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(4000)]
-    rows = [(900, ""), (901, None), (902, "one two"), (903, "One two")]
-    for base in range(12):
-        text = rng.choices(words, k=rng.choice((60, 150, 400)))
-        rows.append((base * 20, " ".join(text)))
-        for copy in range(1, 14):  # some edits keep 0.8, some do not
-            edited = list(text)
-            for at in rng.sample(range(len(text)), round(len(text) * copy / 300)):
-                edited[at] = rng.choice(words)
-            rows.append((base * 20 + copy, " ".join(edited)))
-    sets = {i: set(simhash.shingles(t, 5)) for i, t in rows}
-    group = {i: i for i in sets}
-    pairs = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)]
-    for _ in sets:
-        for a, b in pairs:
-            group[a] = group[b] = min(group[a], group[b])
-    assert any(0.5 < len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) < 0.8 and group[a] != group[b] for a in sets for b in sets if a < b)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for texts, shingles in ((512, 1 << 22), (4, 1 << 22), (512, 500)):
-        monkeypatch.setattr(simhash, "TILE_TEXTS", texts)
-        monkeypatch.setattr(simhash, "TILE_SHINGLES", shingles)
-        got = {r.doc_id: r.component_id for r in simhash.group(docs, simhash.SIMILAR).collect()}
-        assert got == group
-
-
-def test_similar_short_texts_are_all_linked(spark):
-    rng = random.Random(14)
-    rows = []
-    for n in (4, 12, 40):  # shingles of the shorter text; the longer one has a fifth of its own
-        for _ in range(150):
-            text = [f"w{rng.random()}" for _ in range(n + 4)]
-            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, *(f"v{rng.random()}" for _ in range(n // 4))]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.group(docs, simhash.SIMILAR).collect()}
-    assert got == {i: i - i % 2 for i, _ in rows}
-
-
 def test_one_document_of_each_group_stays(corpus, odd, empty):
+    """The smallest id of each group of fingerprints, by brute force, whatever the number of copies."""
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(2000)]
-    rows, families = [], 40
-    for f in range(families):
+    rows = []
+    for f in range(40):
         words = [rng.choice(vocabulary) for _ in range(400)]
         for k in range(4):
             copy = list(words)
-            for _ in range(k * 2):  # up to 6 of 400 words: a similarity above 0.85
+            for _ in range(k):
                 copy[rng.randrange(400)] = rng.choice(vocabulary)
-            rows.append((f * 4 + k, " ".join(copy), "en", "s", 1))
+            rows += [(len(rows) + i, " ".join(copy), "en", "s", 1) for i in range(30 if (f, k) == (3, 1) else 1)]
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    tops = closure(len(rows), near)
     kept = simhash.deduplicate(corpus(rows))
-    ids = sorted(r.doc_id for r in kept.collect())
     assert kept.columns == odd.columns
-    assert ids == [4 * f for f in range(families)]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(tops))
+    assert 40 <= len(set(tops)) < 120
     once = simhash.deduplicate(odd).collect()
     assert len({r.text for r in once} - {None, "", " \n\t "}) == len([r for r in once if (r.text or "").strip()])
     assert sum(r.text == "same text here" for r in once) == 1
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_links_of_near_copies_stay_few(spark):
+    """A star a key at most: n near-copies have fewer than n links for each of the ten keys."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, 64, dtype=np.uint8)
+    prints = {bytes(np.packbits(base ^ (np.isin(np.arange(64), rng.choice(64, 2, replace=False))))) for _ in range(3000)}
+    classes = spark.createDataFrame([(bytearray(p),) for p in prints], "fp binary")
+    found = simhash.link(classes, simhash.CLOSE)
+    assert found.count() < 10 * len(prints)
+    assert common.components(found).select("root").distinct().count() == 1
+
+
 # --- archives -------------------------------------------------------------------------------
 
 
