@@ -23,8 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.deduplicate(docs, simhash.SIMILAR)
+    """One document of each group of near-copies: fingerprints that differ in three bits or fewer."""
+    return simhash.deduplicate(docs, simhash.CLOSE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
