@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +111,18 @@ def components(edges: DataFrame) -> DataFrame:
         links = written(small, "links")
 
 
+def slices(sizes: Sequence[int], most: int) -> Iterator[slice]:
+    """Runs of neighbours with a sum of at most `most`; one that is larger is a run of its own."""
+    at = total = 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > most:
+            yield slice(at, i)
+            at, total = i, 0
+        total += size
+    if len(sizes) > at:
+        yield slice(at, len(sizes))
+
+
 def bounded_sample(labelled: DataFrame, label: str, per_class: int, key: Column) -> DataFrame:
     """About `per_class` rows of each label at most, chosen by a hash of `key`, one a key.
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwatch.llm import (
+    align,
+    chat,
     decontaminate,
     html_text,
     langid,
+    lexical,
     mixing,
     pii,
     quality_model,
@@ -178,3 +181,74 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(F.col("pii.base").cast("binary"), 256).alias("base_sha256"), "pii.spans"
     )
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_chat_formatting",
+    r"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    t AS (
+        SELECT *, role || chr(10) || text || chr(10) AS said, role = 'assistant' AS loss,
+               length(role || text) - length(replace(role || text, '\', ''))
+               + length(role) - length(replace(role, ':', ''))
+               + coalesce(list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: length(x) - 2)), 0)
+               + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)
+               + len(regexp_extract_all(role, '</turn>')) + len(regexp_extract_all(text, '</turn>')) AS escapes
+        FROM c),
+    g AS (
+        SELECT conv_id, count(*) AS n_turns, string_agg(said, '' ORDER BY turn, role, text) AS said,
+               coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (loss), '') AS answers,
+               sum(length(role) + length(text) + escapes + length('### ' || ': ' || '</turn>') + 1) AS n
+        FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256,
+           length(answers)::BIGINT AS loss_chars, sha256(answers) AS loss_sha256, n::BIGINT AS formatted_chars
+    FROM g""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own markers."""
+    said = r"\### Assistant: </turn> ok"
+    known = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], known.schema)
+    return chat.read_back(chat.format_conversations(known.unionAll(marked)))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS k, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+        FROM documents),
+    s AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+    q AS (
+        SELECT i, item_id, term, count(*) AS times
+        FROM (SELECT row_number() OVER () AS i, item_id,
+                     unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+              FROM benchmark)
+        GROUP BY i, item_id, term),
+    f AS (
+        SELECT k, doc_id, n, term, count(*) AS tf
+        FROM (SELECT k, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d)
+        WHERE term IN (SELECT term FROM q) GROUP BY k, doc_id, n, term),
+    w AS (
+        SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM f, s GROUP BY term, n_docs),
+    p AS (
+        SELECT i, item_id, k, doc_id,
+               sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM f JOIN w USING (term) JOIN q USING (term), s GROUP BY i, item_id, k, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
