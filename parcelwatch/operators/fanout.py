@@ -90,12 +90,17 @@ def order_groups(
     `per_order` counts each order once per group and each item once, instead of once per
     joined row.
     """
-    columns = _once(facts) if per_order else _weighted(facts, reviews)
+    columns = counted(reviews, per_order)
     late = F.max("late").alias("late_orders")
     return facts.groupBy("order_id", *keys).agg(late, *[v.alias(k) for k, v in columns.items()])
 
 
-def _weighted(facts: DataFrame, reviews: bool) -> dict[str, Column]:
+def counted(reviews: bool = True, per_order: bool = False) -> dict[str, Column]:
+    """The measures of an order within a group, as aggregates over its facts."""
+    return _once() if per_order else _weighted(reviews)
+
+
+def _weighted(reviews: bool) -> dict[str, Column]:
     n_items, copies, late = F.col("n_items"), F.col("n_copies"), F.col("late_copies")
     fan = F.coalesce("n_reviews", F.lit(1)) if reviews else F.lit(1)
     columns = {
@@ -114,7 +119,7 @@ def _weighted(facts: DataFrame, reviews: bool) -> dict[str, Column]:
     return columns
 
 
-def _once(facts: DataFrame) -> dict[str, Column]:
+def _once() -> dict[str, Column]:
     columns = {
         "rows": F.max(F.lit(1)),
         "late_rows": F.max("late"),
@@ -136,8 +141,8 @@ def group_measures(groups: DataFrame, keys: Sequence[str], measures: Iterable[st
     summed = {m: F.sum(m) for m in measures}
     if "orders" in summed:
         summed["orders"] = F.count("order_id")
-    for name in ("scores", "one_star"):  # no review at all is a count of zero
-        if name in summed:
+    for name in summed:  # no review at all is a count of zero
+        if name.endswith(("scores", "one_star")):
             summed[name] = F.coalesce(summed[name], F.lit(0))
     columns = [v.cast("bigint").alias(k) for k, v in summed.items()]
     return groups.groupBy(*keys).agg(*columns)

@@ -16,6 +16,16 @@ from pyspark.sql import functions as F
 from parcelwatch.functions.numbers import percent
 
 
+# Twelve decimals: beyond what a rounded report shows, and exact to add up.
+FIXED = "decimal(38, 12)"
+
+
+def _mean(value: Column) -> Column:
+    """A mean that does not depend on the order of the rows: doubles are added as decimals."""
+    total = F.sum(value.cast(FIXED)).cast("double")
+    return F.try_divide(total, F.count(value).cast("double"))
+
+
 class Totals:
     """Totals over all rows of `grouped`: sums of `measures`, means of `means`."""
 
@@ -26,7 +36,7 @@ class Totals:
         means: Mapping[str, Column] | None = None,
     ):
         fields = [F.sum(m).alias(f"sum_{m}") for m in measures]
-        fields += [F.avg(value).alias(f"mean_{name}") for name, value in (means or {}).items()]
+        fields += [_mean(value).alias(f"mean_{name}") for name, value in (means or {}).items()]
         self._row = grouped.agg(F.struct(*fields).alias("totals")).scalar()
 
     def total(self, measure: str) -> Column:

@@ -22,8 +22,9 @@ from parcelwatch.functions.numbers import (
     ratio,
     tenths,
 )
-from parcelwatch.operators.fanout import group_measures, order_groups
+from parcelwatch.operators.grains import ROUTE
 from parcelwatch.operators.shares import Totals
+from parcelwatch.operators.sketches import RANK_ERROR, merged, quantile, rank_check, stage_values
 from parcelwatch.params import Params
 from parcelwatch.plans.curated import Warehouse
 
@@ -220,15 +221,51 @@ def approximate_stage_statistics(
     )
 
 
-def _positive_stages(wh: Warehouse, params: Params) -> DataFrame:
-    """(component, tenths) of each delivered order; imputed zeros and negatives drop out."""
-    pairs = [part for stage in COMPONENTS for part in (F.lit(stage), tenths(stage))]
-    return (
-        wh.table("orders", "order_status", *COMPONENTS)
-        .filter(F.col("order_status") == params.delivered)
-        .select(F.stack(F.lit(len(COMPONENTS)), *pairs).alias("component", "tenths"))
-        .filter(F.col("tenths") > 0)
+@agreed
+def merged_stage_quantiles(
+    wh: Warehouse, params: Params | None = None, months: tuple[str, str] | None = None
+) -> DataFrame:
+    """The quantiles of both stages over a range of months (all by default), out of sketches.
+
+    Nothing but the sketches of those months is read where they are published.
+    """
+    sketches = wh.sketches()
+    if months:
+        sketches = sketches.filter(F.col("order_month").between(*months))
+    p50, p90 = (half_up(quantile(F.col("sketch"), q) / 10.0, 1) for q in params.quantiles)
+    label = F.create_map(*[F.lit(v) for pair in COMPONENTS.items() for v in pair])
+    return merged(sketches, ("component",)).select(
+        label[F.col("component")].alias("komponen"), "n", p50.alias("median_hari"), p90.alias("p90_hari")
+    )
+
+
+@agreed
+def check_merged_quantiles(wh: Warehouse, params: Params | None = None, error: float = RANK_ERROR) -> DataFrame:
+    """Whether the merged quantiles lie within `error` of their rank among all values."""
+    whole = merged(wh.sketches(), ("component",))
+    pairs = [F.struct(F.lit(q).alias("q"), quantile(F.col("sketch"), q).alias("estimate")) for q in params.quantiles]
+    found = whole.select("component", F.explode(F.array(*pairs)).alias("e")).select("component", "e.*")
+    return rank_check(_positive_stages(wh, params), ("component",), "tenths", found, error)
+
+
+@agreed
+def check_approximate_quantiles(
+    wh: Warehouse, params: Params | None = None, accuracy: int = 10000
+) -> DataFrame:
+    """Whether the approximate quantiles lie within 1 / accuracy of their rank among all values."""
+    values = _positive_stages(wh, params)
+    at = F.percentile_approx("tenths", list(params.quantiles), accuracy)
+    found = values.groupBy("component").agg(at.alias("estimates"))
+    pairs = F.arrays_zip(F.array(*map(F.lit, params.quantiles)).alias("q"), F.col("estimates").alias("estimate"))
+    found = found.select("component", F.explode(pairs).alias("e")).select(
+        "component", F.col("e.q").alias("q"), F.col("e.estimate").alias("estimate")
     )
+    return rank_check(values, ("component",), "tenths", found, 1 / accuracy)
+
+
+def _positive_stages(wh: Warehouse, params: Params) -> DataFrame:
+    orders = wh.table("orders", "order_status", *COMPONENTS)
+    return stage_values(orders, params.delivered)
 
 
 def _component_rows(
@@ -268,10 +305,8 @@ def _component_rows(
 
 @agreed
 def late_rate_by_state(wh: Warehouse, params: Params | None = None) -> DataFrame:
-    keys = ["customer_state"]
-    groups = order_groups(_delivered(wh, params, *keys), keys, reviews=False)
     measures = ["orders", "late_orders", "rows", "late_rows", *stage_columns(TOTAL)]
-    states = group_measures(groups, keys, measures)
+    states = wh.measures("state", measures, params, "items")
     totals = _totals(states, TOTAL)
     return states.select(
         "customer_state",
@@ -297,19 +332,14 @@ def _gap(totals: Totals, stage: str, params: Params) -> Column:
     return mean_days(stage) - overall
 
 
-def _delivered(wh: Warehouse, params: Params, *keys: str) -> DataFrame:
-    return wh.facts(*keys).filter(F.col("order_status") == params.delivered)
-
-
 @agreed
 def stages_by_state(
     wh: Warehouse, params: Params | None = None, per_order: bool = False
 ) -> DataFrame:
-    keys = ["customer_state"]
-    groups = order_groups(_delivered(wh, params, *keys), keys, per_order=per_order)
     measures = ["orders", "rows", "late_rows", "score_sum", "scores"]
+    measures += stage_columns(PROCESSING, CARRIER, TOTAL)
     return (
-        group_measures(groups, keys, measures + stage_columns(PROCESSING, CARRIER, TOTAL))
+        wh.measures("state", measures, params, _counting(per_order))
         .select(
             "customer_state",
             F.col("orders").alias("total_orders"),
@@ -325,21 +355,19 @@ def stages_by_state(
 
 @agreed
 def route_comparison(wh: Warehouse, params: Params | None = None) -> DataFrame:
-    route = bands.route(F.col("seller_state"), F.col("customer_state"), params)
-    facts = _delivered(wh, params, "seller_state", "customer_state")
-    groups = order_groups(facts.withColumn("rute_pengiriman", route), ["rute_pengiriman"])
     measures = ["orders", "late_orders", "score_sum", "scores"]
+    measures += stage_columns(PROCESSING, CARRIER)
     return (
-        group_measures(groups, ["rute_pengiriman"], measures + stage_columns(PROCESSING, CARRIER))
+        wh.measures("route", measures, params, "joined")
         .select(
-            "rute_pengiriman",
+            ROUTE,
             F.col("orders").alias("total_orders"),
             half_up(mean_days(PROCESSING), 1).alias("avg_seller_processing"),
             half_up(mean_days(CARRIER), 1).alias("avg_carrier_days"),
             half_up(late_order_pct(), 1).alias("late_rate_pct"),
             mean_score().alias("avg_review_score"),
         )
-        .orderBy(F.desc("late_rate_pct"), "rute_pengiriman")
+        .orderBy(F.desc("late_rate_pct"), ROUTE)
     )
 
 
@@ -349,12 +377,10 @@ def route_comparison(wh: Warehouse, params: Params | None = None) -> DataFrame:
 @agreed
 def problem_sellers(wh: Warehouse, params: Params | None = None) -> DataFrame:
     keys = ["seller_id", "seller_state", "seller_city"]
-    moving = F.col("order_status").isin(*params.moving) & F.col("processed")
-    groups = order_groups(wh.facts(*keys).filter(moving), keys)
     measures = ["orders", "late_orders", "late_rows", "score_sum", "scores"]
-    sellers = group_measures(groups, keys, measures + stage_columns(PROCESSING)).filter(
-        F.col("orders") >= params.min_orders
-    )
+    measures += stage_columns(PROCESSING)
+    sellers = wh.measures("seller_place", measures, params, "joined")
+    sellers = sellers.filter(F.col("orders") >= params.min_orders)
     totals = _totals(sellers, PROCESSING)
     return (
         sellers.select(
@@ -375,16 +401,19 @@ def problem_sellers(wh: Warehouse, params: Params | None = None) -> DataFrame:
 
 def _seller_losses(wh: Warehouse, params: Params, per_order: bool) -> DataFrame:
     """Measures of each seller's delivered orders, for the two loss lists."""
-    keys = ["seller_id", "seller_state"]
-    groups = order_groups(_delivered(wh, params, *keys), keys, per_order=per_order)
     measures = ["orders", "late_orders", "rows", "late_rows", *stage_columns(PROCESSING)]
-    money = ["price_cents", "freight_cents", "late_freight_cents"]
-    reviews = ["score_sum", "scores", "one_star"]
-    return group_measures(groups, keys, measures + money + reviews).filter(
+    measures += ["price_cents", "freight_cents", "late_freight_cents"]
+    measures += ["score_sum", "scores", "one_star"]
+    sellers = wh.measures("seller_state", measures, params, _counting(per_order))
+    return sellers.filter(
         (F.col("orders") >= params.min_orders) & (mean_days(PROCESSING) > params.slow_days)
     )
 
 
+def _counting(per_order: bool) -> str:
+    return "once" if per_order else "joined"
+
+
 @agreed
 def freight_loss(wh: Warehouse, params: Params | None = None, per_order: bool = False) -> DataFrame:
     return (
@@ -410,10 +439,8 @@ def freight_loss(wh: Warehouse, params: Params | None = None, per_order: bool =
 
 @agreed
 def freight_loss_bands(wh: Warehouse, params: Params | None = None) -> DataFrame:
-    keys = ["seller_id"]
-    groups = order_groups(_delivered(wh, params, *keys), keys, reviews=False)
     measures = ["orders", "late_freight_cents", *stage_columns(PROCESSING)]
-    sellers = group_measures(groups, keys, measures).filter(
+    sellers = wh.measures("seller", measures, params, "items").filter(
         (mean_days(PROCESSING) > params.slow_days) & (F.col("orders") >= params.min_orders)
     )
     band = bands.freight_loss(amount(F.col("late_freight_cents")), params)
@@ -432,13 +459,9 @@ def sla_distribution(
     wh: Warehouse, params: Params | None = None, per_order: bool = False
 ) -> DataFrame:
     """Seller rates are rounded before they are averaged over the band, as published."""
-    keys = ["seller_id"]
-    processed = _delivered(wh, params, *keys).filter("processed")
-    groups = order_groups(processed, keys, per_order=per_order)
     measures = ["orders", "rows", "late_rows", "score_sum", "scores", *stage_columns(PROCESSING)]
-    sellers = group_measures(groups, keys, measures).filter(
-        F.col("orders") >= params.min_orders_sla
-    )
+    sellers = wh.measures("seller_processed", measures, params, _counting(per_order))
+    sellers = sellers.filter(F.col("orders") >= params.min_orders_sla)
     category = bands.sla(mean_days(PROCESSING), params, bands.SLA_RANGES)
     rate = tenths(half_up(late_row_pct(), 1))
     score = F.round(mean_score() * 100.0).cast("bigint")

@@ -170,6 +170,24 @@ SORT_KEYS = {
     "geolocation": ("geolocation_state", "geolocation_zip_code_prefix"),
 }
 
+# Folders inside a published table: a filter on the column, or a join with one, skips them.
+PARTITIONS = {"orders": ("order_month",), "order_reviews": ("order_month",)}
+
+# Columns that rows are looked up by although the files are not sorted by them.
+LOOKUP_COLUMNS = {
+    "orders": ("order_id", "customer_id"),
+    "order_items": ("order_id", "customer_id"),
+    "order_reviews": ("order_id",),
+}
+
+# Tables joined by a key that is taken to be unique: a repeated key multiplies rows.
+LOOKUP_KEYS = {
+    "customers": "customer_id",
+    "sellers": "seller_id",
+    "products": "product_id",
+    "category_translation": "product_category_name",
+}
+
 
 def curated_columns(table: str) -> tuple[str, ...]:
     enriched = {"orders": ORDERS, "order_items": ORDER_ITEMS, "order_reviews": ORDER_REVIEWS}

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A hot leading sort key is split over files when a table is written.
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # A task that writes a few folders keeps their files open instead of sorting its rows.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 

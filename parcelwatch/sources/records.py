@@ -9,13 +9,15 @@ state before every line; a line that starts outside a cell starts a record. Quot
 unquoted cell are plain text.
 
 Files in which no line ends inside a cell need none of this: every line is a record.
+`read_lines` takes that for granted and counts what would tell otherwise while the lines pass by;
+`read_records` looks first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,8 +31,24 @@ _STAYS = f"^{_INSIDE}$"
 _REOPENS = f'^{_INSIDE}"[^,]*+,(?:{_CELL},)*+"{_INSIDE}$'
 
 
+def read_lines(spark: SparkSession, paths: Sequence[str], head: str, seen: Observation) -> DataFrame:
+    """One row per line that is not empty: `text` and `file`; `head`, the first line of each, is left out.
+
+    Right if `seen` finds no line that `opens` a cell it does not end, and as many `heads` as files.
+    """
+    lines = spark.read.text(list(paths), lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", r"\r$", "").alias("text"),
+    )
+    is_head = (F.col("block") == 0) & F.col("text").isin(head, "\ufeff" + head)
+    lines = lines.withColumns({"opens": F.col("text").rlike(_OPENS), "is_head": is_head})
+    lines = lines.observe(seen, F.count_if(F.col("opens")).alias("opens"), F.count_if(F.col("is_head")).alias("heads"))
+    return lines.filter("NOT opens AND NOT is_head AND text != ''").select("text", "file")
+
+
 def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per record that is not empty: its `text`, and whether it heads its file.
+    """One row per record that is not empty: its `text`, its `file`, and whether it heads that.
 
     A file that ends inside a quoted cell is refused.
     """
@@ -48,15 +66,14 @@ def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     if lines.filter("opens").isEmpty():
         first = lines.filter("block = 0").groupBy("file").agg(F.min("line").alias("first"))
         heads = lines.join(first, ["file"], "left")
-        return _records(heads.select("value", (F.col("line") == F.col("first")).alias("header")))
+        return _records(heads.select("value", "file", (F.col("line") == F.col("first")).alias("header")))
     return _joined(lines.withColumn("stays", raw.rlike(_STAYS) | raw.rlike(_REOPENS)))
 
 
 def _records(found: DataFrame) -> DataFrame:
     text = F.regexp_replace("value", r"\r$", "")
-    return found.select(text.alias("text"), F.coalesce("header", F.lit(False)).alias("header")).filter(
-        "text != ''"
-    )
+    head = F.coalesce("header", F.lit(False)).alias("header")
+    return found.select(text.alias("text"), "file", head).filter("text != ''")
 
 
 def _joined(lines: DataFrame) -> DataFrame:
@@ -82,7 +99,7 @@ def _joined(lines: DataFrame) -> DataFrame:
         F.when(continued, F.col("open.record")).otherwise(F.col("record")).alias("number"),
     ).agg(F.array_join(pieces.getField("value"), "\n").alias("value"))
     header = (F.col("start") == 0) & (F.col("number") == 1)
-    return _records(found.select("value", header.alias("header")))
+    return _records(found.select("value", "file", header.alias("header")))
 
 
 def _state(fixed: Column, flips: Column, start: Column) -> Column:

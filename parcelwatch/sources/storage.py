@@ -56,6 +56,17 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     )
 
 
+def file_status(spark: SparkSession, path: str) -> dict[str, tuple[str, int, int]]:
+    """Path, length and time of change of each data file of `path`, by its name as Spark spells it."""
+    found = {}
+    for file in data_files(spark, path):
+        fs, where = _open(spark, file)
+        status = fs.getFileStatus(where)
+        name = str(status.getPath().toUri().toString()).rpartition("/")[2]
+        found[name] = (file, status.getLen(), status.getModificationTime())
+    return found
+
+
 def first_line(spark: SparkSession, path: str) -> str:
     fs, where = _open(spark, path)
     reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(where), "UTF-8"))

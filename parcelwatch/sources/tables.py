@@ -13,7 +13,8 @@ import time
 import uuid
 from collections.abc import Collection, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
 
 from parcelwatch.sources import storage
 
@@ -61,11 +62,14 @@ def expire(spark: SparkSession, path: str, keep: Collection[str] = (), spare: in
 
 
 def read_files(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: str | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[str] | None = None,
+    schema: str | None = None,
 ) -> DataFrame:
-    """The files of a version, or some of their columns. A `schema` saves inferring one."""
+    """The files under a path, or several, or some of their columns. A `schema` saves inferring one."""
     reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.parquet(path)
+    df = reader.parquet(*([path] if isinstance(path, str) else path))
     return df.select(*columns) if columns else df
 
 
@@ -85,21 +89,49 @@ def read_table(
 
 
 def write_files(
-    df: DataFrame, path: str, sort_key: Sequence[str] = (), partition_by: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    sort_key: Sequence[str] = (),
+    partition_by: Sequence[str] = (),
+    bloom: Sequence[str] = (),
+    counted: Observation | None = None,
 ) -> None:
     """The rows of `df` as Parquet files under `path`, ordered by the whole sort key.
 
     Ranges over the whole key hardly overlap, so statistics skip whole files, and a hot leading
-    key is cut into several files by the rest of the key.
+    key is cut into several files by the rest of the key. A lookup by a column of `bloom`, which
+    the order of rows does not help, skips row groups whose Bloom filter rules the value out; the
+    filters take the size that the number of values asks for. `counted` gets `rows`.
     """
     if sort_key:
         df = df.repartitionByRange(*sort_key).sortWithinPartitions(*sort_key)
+    if counted is not None:  # after the ranges are made: that step reads the rows once more
+        df = df.observe(counted, F.count(F.lit(1)).alias("rows"))
     writer = df.write.mode("errorifexists")
+    for column in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    if bloom:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def layout(df: DataFrame, sort_key: Sequence[str]) -> DataFrame:
+    """A row per file of a table: its rows, lowest and highest key, and whether files overlap.
+
+    A file overlaps if its lowest key is below the highest one of the files that begin before it.
+    Only bounds of files are compared, of which there is a row a file.
+    """
+    key = F.struct(*sort_key)
+    files = df.groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(key).alias("low"), F.max(key).alias("high")
+    )
+    before = Window.orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    overlaps = F.coalesce(F.col("low") < F.max("high").over(before), F.lit(False))
+    return files.withColumn("overlaps", overlaps)
+
+
 def write_table(
     df: DataFrame,
     root: str,

@@ -22,17 +22,22 @@ def test_query_equals_oracle(spark, duck, key):
     assert rows
 
 
-def test_only_sketches_have_no_oracle():
-    assert set(CASES) - set(SQL) == {"agg_percentile_approx"}
+def test_every_case_has_an_oracle():
+    assert set(CASES) == set(SQL)
 
 
-def test_sketch_is_close_to_exact(spark):
+def test_sketches_are_close_to_exact(spark):
+    from checks.cases import inputs
+    from parcelwatch.plans import reports
+
+    wh = inputs(spark, SF).wh
     exact = {r[0]: r for r in spark_rows(spark, "report_stage_statistics", SF)[1]}
-    sketch = spark_rows(spark, "agg_percentile_approx", SF)[1]
-    assert len(sketch) == 2
-    for row in sketch:
-        for got, want in zip(row, exact[row[0]], strict=True):
+    for row in reports.approximate_stage_statistics(wh).collect():
+        for got, want in zip((row[k] for k in sorted(row.asDict())), exact[row["komponen"]], strict=True):
             assert got == want or abs(got - want) <= 0.2
+    for row in reports.merged_stage_quantiles(wh).collect():
+        want = exact[row["komponen"]]
+        assert abs(row["median_hari"] - want[2]) <= 0.5 and abs(row["p90_hari"] - want[3]) <= 0.5
 
 
 def test_entry_contract(spark):
