@@ -30,6 +30,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -159,7 +160,7 @@ def align(texts: list[str | None], one: Tokenizer, other: Tokenizer) -> Aligned:
         if not text or any(b"".join(map(t.spelt.__getitem__, r[i])) != want for t, r in zip((one, other), rows, strict=True)):
             rows[0][i] = rows[1][i] = []
     tokens = [np.array([len(r) for r in side], np.int64) for side in rows]
-    ids = [np.array([i for r in side for i in r], np.int64) for side in rows]
+    ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(rows, tokens, strict=True)]
     ends = [np.cumsum(np.array([len(s) for s in t.spelt], np.int64)[i]) for t, i in zip((one, other), ids, strict=True)]
     whole = tokens[0] > 0
     last = divide(*ends, (np.cumsum(tokens[0]) - tokens[0])[whole])
@@ -203,24 +204,45 @@ def align_documents(docs: DataFrame, folder: str = FOLDER, id_col: str = "doc_id
 # --- links ----------------------------------------------------------------------------------
 
 
-def links(a_cuts: np.ndarray, b_cuts: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers of every overlapping pair, given where the tokens end.
 
     A new pair begins wherever either tokenizer begins a token, so pairs are the stretches between
-    neighbouring ends; cuts are ends of both and are one stretch's end.
+    neighbouring ends. Ends are marked byte by byte; the marks before an end number its tokens.
     """
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    size = int(a_ends[-1]) + 1 if len(a_ends) else 0
+    marks = np.zeros((2, size), np.int8)
+    for mark, ends in zip(marks, (a_ends, b_ends), strict=True):
+        mark[ends] = 1
+    ends = np.flatnonzero(marks[0] | marks[1])
+    return tuple(np.cumsum(mark, dtype=np.int64)[ends] - mark[ends] for mark in marks)
 
 
-def groups_text(a_ids: list[int], b_ids: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group."""
-    a, b = list(map(str, a_ids)), list(map(str, b_ids))
-    out, i, j = [], 0, 0
-    for i_end, j_end in zip(a_cuts, b_cuts, strict=True):
-        out.append(f"{','.join(a[i:i_end])}|{','.join(b[j:j_end])}")
-        i, j = i_end, j_end
-    return ";".join(out)
+def groups_text(ids: tuple[np.ndarray, np.ndarray], cuts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """`a1,a2|b1;a3|b2,b3;`: the ids of each group as ASCII, and where each token's part ends.
+
+    `cuts` are the numbers of tokens up to the end of each group. Tokens come in the order of the
+    text: those of one tokenizer in a group, then those of the other.
+    """
+    before = [np.r_[0, c[:-1]] if len(c) else c for c in cuts]
+    sizes = [c - b for c, b in zip(cuts, before, strict=True)]
+    n = len(ids[0]) + len(ids[1])
+    said, sign = np.zeros(n, np.int64), np.full(n, ord(","), np.uint8)
+    for i, aside, end in ((0, before[1], "|"), (1, cuts[0], ";")):
+        place = np.arange(len(ids[i])) + np.repeat(aside, sizes[i])
+        said[place] = ids[i]
+        sign[place[cuts[i] - 1]] = ord(end)
+    digits = np.ones(n, np.int64)
+    for power in range(1, 7):
+        digits += said >= 10**power
+    ends = np.cumsum(digits + 1)
+    out = np.empty(int(ends[-1]) if n else 0, np.uint8)
+    out[ends - 1] = sign
+    for k in range(int(digits.max(initial=0))):  # the last digit, the one before it ...
+        there = digits > k
+        out[ends[there] - 2 - k] = said[there] % 10 + ord("0")
+        said //= 10
+    return out, ends
 
 
 def _described(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -229,21 +251,20 @@ def _described(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray], ch
     offsets = [c.offsets.to_numpy().astype(np.int64) for c in sides]
     values = [c.values.to_numpy()[o[0] : o[-1]].astype(np.int64) for c, o in zip(sides, offsets, strict=True)]
     offsets = [o - o[0] for o in offsets]
-    a_ids, b_ids = values[:2]
-    n_a, n_b, n_groups = (np.diff(o) for o in offsets[:3])
-    a, b = links(*values[2:], *(np.cumsum(n[i]) for n, i in zip(lengths, (a_ids, b_ids), strict=True)))
+    ids, sizes = values[:2], [np.diff(o) for o in offsets]
+    a, b = links(*(np.cumsum(n[i]) for n, i in zip(lengths, ids, strict=True)))
     doc = np.searchsorted(offsets[0][1:], a, "right")
     n_links = np.bincount(doc, minlength=batch.num_rows)
-    key = doc << 2 * ID_BITS | a_ids[a] << ID_BITS | b_ids[b]
+    key = doc << 2 * ID_BITS | ids[0][a] << ID_BITS | ids[1][b]
     key, times = np.unique(key, return_counts=True)
     doc, pair = key >> 2 * ID_BITS, key & (1 << 2 * ID_BITS) - 1
     pairs, place, holders = np.unique(pair, return_inverse=True, return_counts=True)
-    digests = []
-    plain = [v.tolist() for v in values]
-    for r in range(batch.num_rows):
-        part = [v[o[r] : o[r + 1]] for v, o in zip(plain, offsets, strict=True)]
-        digests.append(sha256(groups_text(*part).encode()).hexdigest() if part[0] else "")
+    cuts = [c + np.repeat(o[:-1], sizes[2]) for c, o in zip(values[2:], offsets[:2], strict=True)]
+    said, ends = groups_text(ids, cuts)
+    at = np.r_[0, ends][offsets[0] + offsets[1]]
+    digests = [sha256(said[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(at[:-1], at[1:], strict=True)]
     per_doc = np.bincount(doc, minlength=batch.num_rows)
+    n_a, n_b, n_groups = sizes[:3]
     n = batch.num_rows
     yield pa.RecordBatch.from_arrays(
         [
