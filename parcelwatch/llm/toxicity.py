@@ -2,13 +2,18 @@
 
 Each word enters as the embedding of the word, if it is in the learnt vocabulary, beside the
 mean embedding of its hashed character n-grams; both start from how toxic their
-labelled documents are. Overlapping windows of `WINDOW` words run
+labelled documents are. Overlapping windows of `WINDOW` words, one from each word on, run
 through a forward and a backward network; attention pools the states of a window and gives its
-logit. A document is as toxic as its worst window, so every window of the whole text is scored.
+logit. A document is as toxic as its worst window, and all windows of the whole text are scored:
+words before or after a passage add windows and take none away, so they never lower a score.
+Windows that begin at neighbouring words take their step t from neighbouring words too, so a step
+of many windows is one stretch of the text's projected words, shifted by t.
 
-Learning uses a bounded sample: about `PER_CLASS` labelled documents a class, of at most
-`SAMPLE_CHARS` characters each. Windows first take the label of their document, then the network
-itself names the guilty windows of toxic documents and the hardest ones of clean documents.
+Learning uses a bounded sample: about `PER_CLASS` labelled documents a class; documents of more
+than `SAMPLE_CHARS` characters are not learnt from. Windows from every `LEARN_STRIDE`th word first
+take the label of their document, then the network itself names the guilty windows of toxic
+documents and the hardest ones of clean documents. Where scores pass `THRESHOLD` is set by all
+windows of documents left out of the learning.
 
 Defined cases: null and empty texts and texts without a letter or digit score 0; with no labels
 of one of the classes everything scores 0; repeated rows are scored each; a document with
@@ -26,9 +31,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelwatch.llm.common import bounded_sample, prepare
+from parcelwatch.llm.common import bounded_sample, prepare, slices
 
-WINDOW, STRIDE = 12, 6
+WINDOW, LEARN_STRIDE = 12, 6
 HIDDEN, ATTENTION = 6, 6
 WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 4, 4, 1 << 13
 GRAMS = (3, 5)
@@ -37,7 +42,8 @@ MIN_DOCUMENTS = 4  # a word must occur in so many sampled documents to be in the
 PER_CLASS = 1500
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.7
-SLICE = 1024  # windows at a time
+SLICE = 2048  # windows at a time
+SLICE_WORDS = 1 << 18  # of texts laid out at a time; a longer text is a slice of its own
 CACHE = 200_000  # words whose input projections a worker remembers
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -47,20 +53,27 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def window_starts(n: int) -> list[int]:
-    """Starts of the overlapping windows over n words; the last one ends with the text."""
-    if n <= WINDOW:
-        return [0] if n else []
-    return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
-
-
 def windows(ids: np.ndarray) -> np.ndarray:
-    """Word numbers of each window; 0 where a text is shorter than a window."""
-    starts = window_starts(len(ids))
-    if not starts:
+    """Words of the windows that are learnt from; 0 where a text is shorter than a window."""
+    if not len(ids):
         return np.zeros((0, WINDOW), np.int64)
     padded = np.r_[ids, np.zeros(max(0, WINDOW - len(ids)), np.int64)]
-    return padded[np.array(starts)[:, None] + np.arange(WINDOW)]
+    starts = np.r_[np.arange(0, len(padded) - WINDOW, LEARN_STRIDE), len(padded) - WINDOW]
+    return padded[starts[:, None] + np.arange(WINDOW)]
+
+
+def laid_out(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with words one after the other, short ones filled up to a window with 0.
+
+    Returns the words, the number of windows of each text (0: no words) and where its first starts.
+    """
+    sizes = np.array([len(i) for i in ids], np.int64)
+    widths = np.where(sizes > 0, np.maximum(sizes, WINDOW), 0)
+    starts = np.cumsum(widths) - widths
+    words = np.zeros(int(widths.sum()), np.int64)
+    inside = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    words[inside] = np.concatenate([np.zeros(0, np.int64), *ids])
+    return words, np.where(sizes > 0, widths - WINDOW + 1, 0), starts
 
 
 def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +186,32 @@ def projected_logits(net, f: np.ndarray, b: np.ndarray, wins: np.ndarray) -> np.
     return out
 
 
+def sliding_logits(net, f: np.ndarray, b: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Logits of the windows from every word but the last ones, given projections of each word (row)."""
+    out = np.empty(max(0, len(words) - WINDOW + 1), np.float32)
+    for i in range(0, len(out), SLICE):
+        n = min(SLICE, len(out) - i)
+        part = words[i : i + n + WINDOW - 1]
+        forward, backward = (np.ascontiguousarray(table.take(part, 0).T) for table in (f, b))
+        known = np.lib.stride_tricks.sliding_window_view(part > 0, n)
+        out[i : i + n] = logits_of(
+            net, lambda t, p=forward, n=n: p[:, t : t + n], lambda t, p=backward, n=n: p[:, t : t + n], known
+        )
+    return out
+
+
+def worst_windows(net, f: np.ndarray, b: np.ndarray, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the highest logit of all its windows and the word it starts at (-1: no words)."""
+    words, counts, starts = laid_out(ids)
+    logit = sliding_logits(net, f, b, words)
+    worst, at = np.full(len(ids), -np.inf), np.full(len(ids), -1, np.int64)
+    for i in np.flatnonzero(counts):
+        own = logit[starts[i] : starts[i] + counts[i]]  # not those that reach into the next text
+        at[i] = own.argmax()
+        worst[i] = own[at[i]]
+    return worst, at
+
+
 def gradients(net, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
     """Mean log-loss gradients of all dense weights, and of the inputs x (window, dim, n)."""
     h, traces = HIDDEN, {"f": {}, "b": {}}
@@ -276,11 +315,10 @@ def _train_on(net, grown, lexicon, some: np.ndarray, y: np.ndarray) -> None:
         net[name] -= rate * d / np.sqrt(grown[name] + 1e-8)
 
 
-def _score_all(net, lexicon, wins: np.ndarray) -> np.ndarray:
-    """Logits of all windows of a sample."""
+def _projections(net, lexicon) -> list[np.ndarray]:
+    """Of all words of a sample, for both directions."""
     vectors, _ = lexicon.inputs(net, np.arange(len(lexicon.entries)))
-    f, b = (vectors @ net[f"w{s}"].T + net[f"b{s}"] for s in "fb")
-    return projected_logits(net, f, b, wins)
+    return [vectors @ net[f"w{s}"].T + net[f"b{s}"] for s in "fb"]
 
 
 def evidence(features: list[set], y: np.ndarray, n: int) -> np.ndarray:
@@ -328,14 +366,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 100, b
             picked = [rng.choice(guilty, batch // 2), rng.choice(hard, batch // 4), rng.choice(clean, batch // 4)]
             at = np.concatenate(picked)
             _train_on(net, grown, lexicon, wins[at], y[doc[at]])
-        logit = _score_all(net, lexicon, wins)
-        worst = np.maximum.reduceat(logit, first)
         if turn < rounds - 1:  # the worst window of each document stands for it
-            top = logit >= worst[doc]
+            logit = projected_logits(net, *_projections(net, lexicon), wins)
+            top = logit >= np.maximum.reduceat(logit, first)[doc]
             guilty = np.flatnonzero(taught[doc] & top & (y[doc] == 1))
             hard = np.flatnonzero(taught[doc] & top & (y[doc] == 0))
     judges = ~taught if 0 < y[~taught].sum() < (~taught).sum() else taught
-    slope, cut = calibrate(worst[judges], y[judges])
+    worst, _ = worst_windows(net, *_projections(net, lexicon), [ids[k] for k in np.flatnonzero(judges)])
+    slope, cut = calibrate(worst, y[judges])
     return Model(vocabulary, net, slope, cut)
 
 
@@ -401,22 +439,14 @@ class Scorer:
 
     def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the score and the first word of its worst window (-1: no words)."""
+        score, first = np.zeros(len(texts)), np.full(len(texts), -1, np.int64)
         words = [tokens(t) for t in texts]
-        wins = [windows(i) for i in self._ids(words)]
-        sizes = np.array([len(w) for w in wins])
-        score, worst = np.zeros(len(words)), np.full(len(words), -1, np.int64)
-        if not sizes.sum():
-            return score, worst
-        f, b = self.projected["f"], self.projected["b"]
-        logit = projected_logits(self.model.net, f, b, np.concatenate(wins))
-        ends = np.cumsum(sizes)
-        for i in np.flatnonzero(sizes):
-            own = logit[ends[i] - sizes[i] : ends[i]]
-            k = int(own.argmax())
-            worst[i] = window_starts(len(words[i]))[k]
-            margin = self.model.slope * (own[k] - self.model.cut) + np.log(THRESHOLD / (1 - THRESHOLD))
-            score[i] = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
-        return score, worst
+        for part in slices([len(ws) for ws in words], SLICE_WORDS):
+            ids = self._ids(words[part])
+            worst, first[part] = worst_windows(self.model.net, self.projected["f"], self.projected["b"], ids)
+            margin = self.model.slope * (worst - self.model.cut) + np.log(THRESHOLD / (1 - THRESHOLD))
+            score[part] = np.where(first[part] < 0, 0, 1 / (1 + np.exp(-np.clip(margin, -50, 50))))
+        return score, first
 
 
 def score(text: Column, model: Model | None) -> Column:
@@ -427,7 +457,7 @@ def score(text: Column, model: Model | None) -> Column:
         if model is None:
             return pd.DataFrame({"score": 0.0, "worst_word": -1}, index=texts.index)
         scorer = _scorer(model)
-        return pd.DataFrame(dict(zip(("score", "worst_word"), scorer.score(texts), strict=True)))
+        return pd.DataFrame(dict(zip(("score", "worst_word"), scorer.score(texts.tolist()), strict=True)))
 
     return run.asNondeterministic()(text)
 

@@ -192,6 +192,68 @@ def test_windows_cover_every_word():
         assert set(wins.ravel()) - {0} == set(range(1, n + 1))
 
 
+def plain_window(net, x):
+    """The logit of one window of input vectors, step by step."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, sides = toxicity.HIDDEN, []
+    for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        w, u, bias = (net[f"{k}{side}"].astype(float) for k in "wub")
+        state, states = np.zeros(h), {}
+        for t in order:
+            now, past = w @ x[t] + bias, u @ state
+            reset, update = sig(now[:h] + past[:h]), sig(now[h : 2 * h] + past[h : 2 * h])
+            new = np.tanh(now[2 * h :] + reset * past[2 * h :])
+            state = new + update * (state - new)
+            states[t] = state
+        sides.append([states[t] for t in range(len(x))])
+    both = [np.concatenate(pair) for pair in zip(*sides, strict=True)]
+    e = np.array([net["va"] @ np.tanh(net["wa"] @ s + net["ba"]) for s in both])
+    share = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return float(net["wo"] @ sum(a * s for a, s in zip(share, both, strict=True)) + net["bo"][0])
+
+
+@pytest.fixture(scope="module")
+def some_model():
+    rng = random.Random(4)
+    calm = [f"{a}{b}" for a in ("lo", "ma", "ti", "re", "sun") for b in ("ra", "nel", "dor", "ka", "vis", "pol")]
+    texts = [[rng.choice(calm) for _ in range(rng.randint(15, 60))] for _ in range(200)]
+    for i in range(0, 200, 4):
+        texts[i][rng.randrange(len(texts[i]))] = rng.choice(("grobnak", "vilfurz"))
+    model = toxicity.fit([" ".join(t) for t in texts], [int(i % 4 == 0) for i in range(200)], rounds=2, steps=40)
+    return model, calm, rng
+
+
+def test_a_score_is_the_worst_of_every_window_by_a_plain_recurrence(some_model, monkeypatch):
+    model, calm, rng = some_model
+    net, size = model.net, toxicity.WINDOW
+    texts = [" ".join(rng.choices([*calm, "grobnak", "new", "x"], k=n)) for n in (1, 5, 11, 12, 13, 40, 90)] + [None, "", "?!"]
+    for at_a_time in (2048, 7):
+        monkeypatch.setattr(toxicity, "SLICE", at_a_time)
+        got, first = toxicity.Scorer(model).score(texts)
+        for text, s, k in zip(texts, got, first, strict=True):
+            words = toxicity.tokens(text)
+            if not words:
+                assert (s, k) == (0, -1)
+                continue
+            buckets, sizes = toxicity.char_grams(words)
+            cuts = np.split(net["char"][buckets], np.cumsum(sizes)[:-1])
+            x = [np.r_[net["word"][model.vocabulary.get(w, 0)], c.mean(axis=0)] for w, c in zip(words, cuts, strict=True)]
+            logits = [plain_window(net, x[i : i + size]) for i in range(max(1, len(x) - size + 1))]
+            assert abs(logits[k] - max(logits)) < 1e-4
+            margin = model.slope * (max(logits) - model.cut) + np.log(0.7 / 0.3)
+            assert abs(s - 1 / (1 + np.exp(-margin))) < 1e-3
+
+
+def test_words_around_a_passage_never_lower_its_score(some_model):
+    model, calm, rng = some_model
+    scorer = toxicity.Scorer(model)
+    for _ in range(30):
+        words = rng.choices([*calm, "grobnak"], k=rng.randint(12, 30))
+        alone = scorer.score([" ".join(words)])[0][0]
+        around = [" ".join([*rng.choices(calm, k=k), *words, *rng.choices(calm, k=k % 3)]) for k in range(7)]
+        assert (scorer.score(around)[0] >= alone - 1e-6).all()
+
+
 def test_toxicity_learns_words_and_stands_odd_texts(corpus, odd, empty, spark):
     rng = random.Random(4)
     calm = [f"{a}{b}" for a in ("lo", "ma", "ti", "re", "sun") for b in ("ra", "nel", "dor", "ka", "vis", "pol")]
