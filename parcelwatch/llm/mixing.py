@@ -2,12 +2,13 @@
 
 The words of a source are one long sequence, cut into blocks of `BLOCK` words. Targets follow
 from weights and from how often a word may be repeated. Each output shard draws its number of
-slots per source from a multinomial over what is left of the quotas, so the shares of a shard are
-random and those of the whole are exact. A slot's number becomes a block number through a
+slots per source from a multinomial; what all draws together miss of the targets is made up by
+moving a few slots, so the shares of a shard are random and those of the whole are exact. A slot's number becomes a block number through a
 pseudorandom permutation of the source (swap-or-not, new for every pass over the source), and
 slots meet blocks in a join on (source, block). The last slot of a source may be a partial one.
 
-Nothing but sums per source and counts per shard reaches the driver. Positions in a source come
+Nothing but sums per source and counts per shard reaches the driver: more than `MAX_DRAWS` sources
+are refused, and there are no more shards than keep the counts below that. Positions in a source come
 from prefix sums in two levels, so a source with a third of all rows is not one task.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own,
@@ -35,7 +36,8 @@ MAX_DRAWS = 1_000_000  # rows (shard, source) of the drawn counts
 BROADCAST_SOURCES = 10_000  # beyond that the table of sources is joined by a shuffle
 SEED = 17
 ROUNDS = 12
-_STEP = 100_000  # slots made by one row
+_STEP = 10_000  # slots made by one row
+TASK_SLOTS = 50_000  # made by a task, about
 
 
 @dataclass(frozen=True)
@@ -67,21 +69,26 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def draw_shards(quotas: list[int], n_shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each shard (row) and source: multinomial over what is left of the quotas."""
-    left = np.array(quotas, np.int64)
-    total, rng = int(left.sum()), np.random.default_rng(seed)
+    """Slots of each shard (row) and source: a multinomial draw each, then made to meet the quotas.
+
+    The draws of all shards together miss a source's quota by about the root of it. Sources that got
+    too much give back slots drawn evenly from theirs, in whatever shards they are, and sources that
+    got too little take those slots in random order. So shards keep their sizes.
+    """
+    wanted = np.array(quotas, np.int64)
+    total, rng = int(wanted.sum()), np.random.default_rng(seed)
+    if not total:
+        return np.zeros((n_shards, len(wanted)), np.int64)
     sizes = [total * (s + 1) // n_shards - total * s // n_shards for s in range(n_shards)]
-    out = np.zeros((n_shards, len(quotas)), np.int64)
-    for s, size in enumerate(sizes):
-        if s == n_shards - 1:
-            out[s] = left
-            break
-        missing = size
-        while missing:  # a source that is used up leaves its draws to the others
-            drawn = np.minimum(rng.multinomial(missing, left / left.sum()), left)
-            out[s] += drawn
-            left -= drawn
-            missing -= int(drawn.sum())
+    out = np.array([rng.multinomial(size, wanted / total) for size in sizes], np.int64)
+    over = out.sum(axis=0) - wanted
+    freed = np.zeros(n_shards, np.int64)
+    for k in np.flatnonzero(over > 0):
+        back = rng.multivariate_hypergeometric(out[:, k], over[k], method="marginals")
+        out[:, k] -= back
+        freed += back
+    takers = rng.permutation(np.repeat(np.arange(len(wanted)), np.maximum(-over, 0)))
+    np.add.at(out, (np.repeat(np.arange(n_shards), freed), takers), 1)
     return out
 
 
@@ -106,7 +113,10 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def sources_of(sized: DataFrame, **how) -> list[Source]:
     """Sources by code point, null last, with their sums and targets."""
-    found = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
+    sums = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
+    found = sums.limit(MAX_DRAWS + 1).collect()
+    if len(found) > MAX_DRAWS:
+        raise ValueError(f"more than {MAX_DRAWS} sources")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r["size"] for r in found], **how)
     return [Source(i, r.source, r.rows, r["size"], t) for i, (r, t) in enumerate(zip(found, wanted, strict=True))]
@@ -180,7 +190,8 @@ def slots_of(spark, sources: list[Source], block: int = BLOCK) -> DataFrame:
     draws = spark.createDataFrame(rows, "shard int, number int, first long, slots long")
     last = F.col("first") + F.col("slots") - 1
     pieces = draws.select("shard", "number", last.alias("last"), F.explode(F.sequence("first", last, F.lit(_STEP).cast("long"))).alias("from"))
-    pieces = pieces.repartition("number", "from")
+    # A number of partitions that follows the slots: few rows are dealt, but many come out of them.
+    pieces = pieces.repartition(-(-total // TASK_SLOTS) or 1, "shard", "number", "from")
     upto = F.least("last", F.col("from") + _STEP - 1)
     slots = pieces.select("shard", "number", F.explode(F.sequence("from", upto)).alias("slot"))
     epoch, j = F.expr("slot div n"), F.col("slot") % F.col("n")

@@ -339,6 +339,29 @@ def test_draws_meet_the_quotas():
     assert len(set(drawn[:, 0].tolist())) > 3
 
 
+def test_every_shard_is_drawn():
+    """Shares of the shards spread as a multinomial's do, also after the quotas are met."""
+    quotas = [6000, 3000, 900, 100]
+    seen = np.concatenate([mixing.draw_shards(quotas, 10, seed=s) for s in range(200)])
+    assert (seen >= 0).all() and set(seen.sum(axis=1).tolist()) == {1000}
+    share = np.array(quotas) / 10_000
+    assert np.allclose(seen.mean(axis=0), 1000 * share, rtol=1e-9)
+    spread = seen.std(axis=0) / np.sqrt(1000 * share * (1 - share))
+    assert (0.8 < spread).all() and (spread < 1.1).all()
+    assert mixing.draw_shards([5, 3], 1).tolist() == [[5, 3]]
+    assert mixing.draw_shards([0, 0], 2).tolist() == [[0, 0], [0, 0]]
+
+
+def test_slots_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 1000)
+    monkeypatch.setattr(mixing, "_STEP", 100)
+    sources = [mixing.Source(0, "a", 10, 128 * 20_000, 128 * 20_000.0), mixing.Source(1, "b", 10, 128 * 100, 128 * 150.0)]
+    slots = mixing.slots_of(spark, sources)
+    sizes = [r[1] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_150 and len(sizes) >= 15 and max(sizes) < 4000
+    assert slots.select("number", "slot").distinct().count() == 20_150
+
+
 def test_mix_takes_what_it_says(corpus, odd, empty):
     rng = random.Random(11)
     rows = [(i % 190, " ".join(f"d{i}w{k}" for k in range(rng.randint(0, 700))), "en", rng.choice("abbbbb")) for i in range(200)]
