@@ -2,17 +2,18 @@
 
 The standard library's parser streams a page's events. Every block element ends a line; a line
 knows its text, how many tags it took, how much of it is link text and where in the page it is.
-Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments are dropped
-by the names of their containers. The text-to-tag ratios of the others are smoothed by a
-Gaussian; the two clusters of the smoothed values give the threshold, and lines above it are the
-content. What a page calls its article is checked against them: if it holds at least half of the
-text that is in it or above the threshold, its lines are the content, short ones too; if not, it
-is a teaser beside the main text and the lines above the threshold stand.
+What is inside menus, headers, footers, sidebars, notices, adverts, forms, buttons and comments is
+dropped by the names of its containers, inside a paragraph too. The text-to-tag ratios of the other
+lines are smoothed by a Gaussian; the two clusters of the smoothed values give the threshold, and
+lines above it are the content. What a page calls its article is an input of that: its lines share
+one ratio, the mean of theirs and the more the larger their share of the text is, so the clusters
+take or leave it as a whole. A short teaser in an article beside a main text without a name is left.
 
 Defined cases: null, empty and text-free pages give an empty text; unclosed and misnested tags
 are closed as browsers do, roughly; an unclosed comment or script runs to the end of the page, any
 other element without text of its own (svg, object, title, head) hides its content only if it has
-its end tag; elements hidden by attributes give no text; character references are decoded, white space inside a block
+its end tag; a menu or the like without an end, in which an article begins, hides nothing;
+elements hidden by attributes give no text; character references are decoded, white space inside a block
 becomes one space, blocks are joined by one space in page order; whole pages are read; repeated
 rows are extracted each; other columns are carried along.
 """
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from parcelwatch.llm.common import prepare
 
 SIGMA = 1.0
+# Added to the ratio of the article, in logarithms, times the cube of its share of the text: an
+# article with most of the text outweighs any other line, one with little of it weighs nothing.
+ARTICLE_WEIGHT = 20.0
 MIN_SPREAD = 0.7  # between the cluster centres, in logarithms; nearer ones are one cluster
 MAX_LINKS = 0.5  # share of link text beyond which a line is a menu
 
@@ -85,39 +89,39 @@ WALLS = frozenset("table td th article main aside nav footer header form body".s
 
 @dataclass
 class Line:
-    text: str
+    text: str  # all that is visible
+    own: str  # without what stands aside: buttons, adverts and the like inside a paragraph
     tags: int
-    link_chars: int
+    link_chars: int  # of all that is visible
+    own_links: int
     aside: bool
     article: bool
     heading: bool
 
     @property
     def ratio(self) -> float:
-        return len(self.text) / (1 + self.tags)
+        return len(self.own) / (1 + self.tags)
 
     @property
     def links(self) -> float:
-        return self.link_chars / max(1, len(self.text))
+        return self.own_links / max(1, len(self.own))
 
 
 @dataclass
 class Element:
     tag: str
     hidden: bool
-    aside: bool
     article: bool
     heading: bool
     cover: Element | None = None  # the innermost element whose name hides its content
-    outer: Element | None = None  # of a cover: the next cover outside
+    side: Element | None = None  # the innermost element that puts its content aside
+    outer_cover: Element | None = None  # of a cover: the next cover outside
+    outer_side: Element | None = None
     closed: bool = False  # by its own end tag
-
-    def covered(self) -> bool:
-        """Whether a cover that was closed is around the content."""
-        cover = self.cover
-        while cover is not None and not cover.closed:
-            cover = cover.outer
-        return cover is not None
+    ended: bool = False  # by its own end tag, or with an element around it
+    holds_article: bool = False  # an article began inside
+    covers: bool = False  # known at the end: it, or a cover outside, hides its content
+    sides: bool = False  # known at the end: it, or one outside, puts its content aside
 
 
 def _marks(given: dict[str, str | None], tag: str) -> tuple[bool, bool, bool]:
@@ -143,14 +147,25 @@ def _marks(given: dict[str, str | None], tag: str) -> tuple[bool, bool, bool]:
 
 
 class LineReader(HTMLParser):
-    """Collects the lines of a page from the parser's events."""
+    """Collects the lines of a page from the parser's events, in time linear in the page.
+
+    Which open element an end tag closes, and what keeps it from that, is looked up among the
+    places of open elements by name, of open blocks and of open walls, never by walking.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[list[tuple[str, Element, bool]], int, Element]] = []
-        self.open: list[Element] = [Element("", False, False, False, False)]
+        self.found: list[tuple[list[tuple[str, Element, bool]], int]] = []
+        self.open: list[Element] = [Element("", False, False, False)]
         self.pieces: list[tuple[str, Element, bool]] = []  # text, where, whether in a link
         self.tags = self.links = 0
+        self.looked = self.last_end = -1
+        self.places: dict[str, list[int]] = {}  # of the open elements of each name
+        self.blocks: list[int] = []
+        self.walls: list[int] = []
+        self.stops: list[int] = []  # of walls and of blocks but paragraphs
+        self.covers: list[Element] = []
+        self.sides: list[Element] = []
 
     def updatepos(self, i: int, j: int) -> int:
         """Line and column numbers are not needed."""
@@ -161,28 +176,79 @@ class LineReader(HTMLParser):
         end = super().parse_comment(i, report)
         return len(self.rawdata) if end < 0 else end
 
+    def _endless(self, i: int) -> bool:
+        """Whether no tag can end from here on. Looked up once, as the rest of a page can be all openings."""
+        if self.looked != len(self.rawdata):
+            self.looked, self.last_end = len(self.rawdata), self.rawdata.rfind(">")
+        return self.last_end < i
+
+    def parse_starttag(self, i: int) -> int:
+        return -1 if self._endless(i) else super().parse_starttag(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section is no section in a page: it is skipped like a comment, to the next end."""
+        if self._endless(i) and not self.rawdata.startswith("<!--", i):
+            return -1
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def _flush(self) -> None:
         if self.pieces:
-            self.found.append((self.pieces, self.tags, self.open[-1]))
+            self.found.append((self.pieces, self.tags))
         self.pieces, self.tags = [], 0
 
     def lines(self) -> list[Line]:
-        """The lines of visible text; only at the end is known which covers were closed."""
+        """The lines of visible text; only at the end is known which elements were closed.
+
+        Elements that put content aside do so unless they were never ended and an article began in
+        them: then it is their end tag that is missing.
+        """
         self._flush()
+        for e in self.covers:  # outer ones first
+            e.covers = e.closed or (e.outer_cover is not None and e.outer_cover.covers)
+        for e in self.sides:
+            own = e.ended or not e.holds_article
+            e.sides = own or (e.outer_side is not None and e.outer_side.sides)
         out = []
-        for pieces, tags, here in self.found:
-            seen = [p for p in pieces if p[1].cover is None or not p[1].covered()]
+        for pieces, tags in self.found:
+            seen = [p for p in pieces if p[1].cover is None or not p[1].cover.covers]
             text = " ".join("".join([p[0] for p in seen]).split())
-            if text:
-                links = sum(len(p[0].strip()) for p in seen if p[2])
-                out.append(Line(text, tags, links, here.aside, here.article, here.heading))
+            if not text:
+                continue
+            kept = [p for p in seen if p[1].side is None or not p[1].side.sides]
+            own = " ".join("".join([p[0] for p in kept]).split())
+            links = [sum(len(p[0].strip()) for p in some if p[2]) for some in (seen, kept)]
+            article = any(p[1].article for p in kept)
+            heading = any(p[1].heading for p in kept)
+            out.append(Line(text, own, tags, *links, not own, article and bool(own), heading))
         return out
 
-    def _pop(self, upto: int) -> None:
+    def _push(self, e: Element) -> None:
+        at = len(self.open)
+        self.open.append(e)
+        self.places.setdefault(e.tag, []).append(at)
+        wall = e.tag in WALLS
+        if e.tag in BLOCK:
+            self.blocks.append(at)
+        if wall:
+            self.walls.append(at)
+        if wall or (e.tag in BLOCK and e.tag != "p"):
+            self.stops.append(at)
+
+    def _pop(self, upto: int, ended: bool) -> None:
         for e in self.open[upto:]:
             self.links -= e.tag == "a"
+            self.places[e.tag].pop()
+            e.ended = ended
+        for places in (self.blocks, self.walls, self.stops):
+            while places and places[-1] >= upto:
+                places.pop()
         del self.open[upto:]
 
+    def _last(self, tag: str) -> int:
+        """Where the innermost open element of a name is; -1: nowhere."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag in BLOCK:
             self._flush()
@@ -199,24 +265,27 @@ class LineReader(HTMLParser):
         here = Element(
             tag,
             parent.hidden or hidden,
-            parent.aside or aside,
-            (parent.article or article) and not aside,
+            parent.article or article,
             parent.heading or tag in HEADINGS,
             parent.cover,
+            parent.side,
         )
+        if article and here.side is not None:
+            here.side.holds_article = True
         if tag in HIDDEN:
-            here.cover, here.outer = here, parent.cover
-        self.open.append(here)
+            here.cover, here.outer_cover = here, parent.cover
+            self.covers.append(here)
+        if aside:
+            here.side, here.outer_side = here, parent.side
+            self.sides.append(here)
+        self._push(here)
         self.links += tag == "a"
 
     def _close_implied(self, tag: str) -> None:
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in closes:
-                self._pop(i)
-                return
-            if self.open[i].tag in WALLS or (self.open[i].tag in BLOCK and self.open[i].tag != "p"):
-                return
+        at = max(map(self._last, closes), default=-1)
+        if at > 0 and (not self.stops or self.stops[-1] <= at):
+            self._pop(at, True)
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -227,15 +296,15 @@ class LineReader(HTMLParser):
         if tag in BLOCK:
             self._flush()
         self.tags += 1
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self.open[i].closed = True
-                self._pop(i)
-                return
-            if tag not in BLOCK and self.open[i].tag in BLOCK:
-                return  # an inline end tag does not close blocks
-            if tag not in WALLS and tag not in ("html", "div", "section") and self.open[i].tag in WALLS:
-                return
+        at = self._last(tag)
+        if at < 0:
+            return
+        if tag not in BLOCK and self.blocks and self.blocks[-1] > at:
+            return  # an inline end tag does not close blocks
+        if tag not in WALLS and tag not in ("html", "div", "section") and self.walls and self.walls[-1] > at:
+            return
+        self.open[at].closed = True
+        self._pop(at, tag not in ("html", "body"))
 
     def handle_data(self, data) -> None:
         here = self.open[-1]
@@ -279,10 +348,21 @@ def threshold(values: np.ndarray) -> float:
 
 
 def by_ratios(kept: list[Line]) -> list[bool]:
-    """Which lines are above the threshold of the smoothed text-to-tag ratios."""
+    """Which lines are above the threshold of the smoothed text-to-tag ratios.
+
+    Lines of what the page calls its article are one region: they share the mean of their smoothed
+    ratios, weighted by their text, so short lines of it stand or fall with the others.
+    """
     ratios = smooth(np.log1p([line.ratio * (1 - line.links) for line in kept]))
-    above = ratios >= threshold(ratios)
-    chosen = [bool(a) and line.links <= MAX_LINKS for a, line in zip(above, kept, strict=True)]
+    plain = np.array([line.links <= MAX_LINKS for line in kept])
+    article = np.array([line.article for line in kept])
+    if article.any():
+        text = np.array([len(line.own) - line.own_links for line in kept], float) + 1e-9
+        own = text[article]
+        mean = (ratios[article] * own).sum() / own.sum()
+        ratios[article] = mean + ARTICLE_WEIGHT * (own.sum() / text.sum()) ** 3
+        plain |= article
+    chosen = ((ratios >= threshold(ratios)) & plain).tolist()
     for i in range(len(kept) - 2, -1, -1):  # a heading belongs to the region below it
         chosen[i] = chosen[i] or (kept[i].heading and chosen[i + 1])
     return chosen
@@ -293,16 +373,11 @@ def content(lines: list[Line]) -> list[Line]:
     kept = [line for line in lines if not line.aside]
     if not kept:
         return []
-    chosen = by_ratios(kept)
-    marked = sum(len(line.text) - line.link_chars for line in kept if line.article)
-    beside = sum(len(line.text) - line.link_chars for line, c in zip(kept, chosen, strict=True) if c and not line.article)
-    if any(line.article for line in kept) and marked >= beside:
-        return [line for line in kept if line.article]
-    return [line for line, c in zip(kept, chosen, strict=True) if c]
+    return [line for line, c in zip(kept, by_ratios(kept), strict=True) if c]
 
 
 def main_text(html: str | None) -> str:
-    return " ".join(line.text for line in content(lines_of(html)))
+    return " ".join(line.own for line in content(lines_of(html)))
 
 
 def visible_text(html: str | None) -> str:

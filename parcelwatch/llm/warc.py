@@ -57,11 +57,11 @@ def responses(pages: DataFrame, date: str = DATE, id_col: str = "page_id", url_c
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length,
         F.lit(CRLF + CRLF),
     )
-    identity = F.col(f"`{id_col}`").cast("long")
+    identity = F.col(f"`{id_col}`")
     payload = digest(html)
     record_id = _uuid(F.lit("response"), F.coalesce(identity.cast("string"), F.lit("")), url, payload)
     base = pages.select(
-        identity.alias("page_id"),
+        identity.try_cast("long").alias("page_id"),  # a text that is no number: none
         F.lit("response").alias("type"),
         record_id.alias("record_id"),
         url.alias("target_uri"),

@@ -104,6 +104,60 @@ def test_ratios_check_what_pages_call_their_article():
     assert html_text.main_text(f"<body>{links}{article}<div>{long}</div></body>") == f"Title a b {want}"
 
 
+def test_what_stands_aside_inside_a_paragraph_goes():
+    inner = "<span class='advert'>BUY</span> <button>SHARE</button><a class='share'>TWEET</a><span class='breadcrumb'>HOME</span><textarea>TA</textarea><label>L</label>"
+    page = f"<article><p>The article says one thing.</p><p>And {inner} another.</p><p>{inner}</p></article>"
+    assert html_text.main_text(page) == "The article says one thing. And another."
+    assert "BUY" in html_text.visible_text(page)
+
+
+def test_an_unclosed_menu_does_not_hide_the_article():
+    page = "<div><nav><a>menu</a><article><p>The text of the article, long enough.</p>{}</article>{}"
+    assert html_text.main_text(page.format("<aside><p>side</p></aside>", "")) == "The text of the article, long enough."
+    closed = page.format("", "</nav></div><p>And text outside of the menu.</p>")
+    assert html_text.main_text(closed) == "And text outside of the menu."
+    assert html_text.main_text("<p>text</p><footer><p>cut off here") == "text"
+
+
+def test_clusters_take_or_leave_the_article_as_a_whole():
+    """Short lines stand with their article; without names only ratios speak."""
+    lines = html_text.lines_of("<article><h1>T</h1><p>" + "word " * 60 + "</p><p>x</p></article><div><i>a</i><b>b</b></div>")
+    assert html_text.by_ratios(lines) == [True, True, True, False]
+    plain = html_text.lines_of("<div>" + "word " * 60 + "</div><div>" + "<i>a</i>" * 9 + "</div><div><i>a</i><b>b</b></div>" * 3)
+    assert html_text.by_ratios(plain)[0] and not any(html_text.by_ratios(plain)[2:])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a>" * 30_000 + "</i>" * 30_000,
+        "<i><table>" + "<a>" * 30_000 + "</i>" * 30_000,
+        "<div>" + "<a>" * 30_000 + "<hr>" * 30_000,
+        "<svg>x" * 30_000,
+        "<nav><article>x" * 20_000,
+        "<div>" * 100_000 + "x" + "</div>" * 100_000,
+        "<![CDATA[" * 30_000,
+        "<a href='" * 30_000,
+        "<!--" * 60_000,
+        "<" * 200_000,
+    ],
+    ids=lambda p: p[:12],
+)
+def test_time_is_linear_in_the_page(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 8  # seconds; quadratic ones took minutes
+
+
+def test_long_pages_and_empty_tables(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i} of the text</p>" for i in range(30_000)) + "</article>"
+    pages = spark.createDataFrame([(1, long)], "page_id long, html string")
+    assert len(html_text.extract_pages(pages).first().text) == sum(len(f"paragraph {i} of the text ") for i in range(30_000)) - 1
+    assert html_text.extract_pages(pages.filter("false")).count() == 0
+
+
 def test_smoothing_is_a_weighted_mean():
     assert np.allclose(html_text.smooth(np.ones(5)), 1)
     assert html_text.smooth(np.array([0.0, 0, 9, 0, 0])).argmax() == 2
