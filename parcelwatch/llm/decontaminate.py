@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds join documents to items, Smith-Waterman decides.
 
 A document is contaminated by an item if their best alignment (match +1, mismatch and gap -1,
 so changed, added and dropped words are tolerated) scores at least `MIN_SHARE` of the item's
@@ -7,22 +7,25 @@ errors the matches stand in at most e + 1 unbroken runs, so an alignment of scor
 pairs of neighbouring words of the item at the least (`needed`), and as e is at most
 `1 - MIN_SHARE` of the item's length, these lie on diagonals no further apart than that (`drift`).
 
-One pass over the corpus counts in how many documents each pair of the benchmark occurs and puts
-the documents aside that hold enough pairs of an item near one diagonal. Of an item's pairs all
-but `needed - 1` are its seeds, the rarest first: whatever holds enough pairs holds a seed, so
-common phrases alone start nothing. Documents put aside are aligned to the items whose seeds they
-hold, around the diagonals with enough pairs.
+Words are hashes, and so are pairs of neighbouring words. The pairs of all documents meet those of
+the benchmark in a join; what meets is written, and counted by pair over the corpus. An item of n
+pairs of which an alignment holds `needed` takes as seeds its n - needed + `seeds_wanted` rarest
+pairs: whatever holds `needed` of n holds `seeds_wanted` of those. Documents and items join on
+seeds, the commonest pairs start nothing, and those that share enough seeds are candidates. Each
+candidate document gets the words of its items, and is aligned to them around the diagonals that
+hold enough pairs.
 
-The benchmark is the stated query set. It is cut into blocks of at most `BLOCK_CHARS`
-characters; each block is sent to the tasks and meets all documents, so what is broadcast has a
-fixed bound and a larger benchmark costs more passes.
+The benchmark's pairs are counted before they are sent to all tasks: more than `BROADCAST_ROWS` are
+joined by a shuffle instead, and so are the documents that are candidates. A larger benchmark costs
+no more passes. A pair that many documents hold is counted on the map side, and its join is split if
+it is hot.
 
 Defined cases: words are what white space separates, without case and without signs at their
-ends; items of fewer than `MIN_WORDS`
-words, empty or null ones are too short to be recognised and match nothing; items of three and
-four words need two pairs, where one would give the score; null and empty documents match nothing; documents are read whole; a passage common to a third of the documents
-is found in each; repeated rows are matched each; ties between places go to the first one;
-other columns are carried along by `remove`.
+ends; items of fewer than `MIN_WORDS` words, empty or null ones are too short to be recognised and
+match nothing; items of three and four words need two pairs, where one would give the score; null
+and empty documents match nothing; documents are read whole; a passage common to a third of the
+documents is found in each; repeated documents and items are matched each; ties between places go
+to the first one; ids are of any type; other columns are carried along by `remove`.
 """
 
 from __future__ import annotations
@@ -31,13 +34,13 @@ import re
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwatch.llm.common import prepare, row_keys, written
@@ -46,7 +49,9 @@ NGRAM = 2
 MIN_WORDS = 3  # of an item that can be recognised
 MIN_SHARE = 0.5
 MIN_PAIRS = 2  # that start an alignment, also of the shortest items
-BLOCK_CHARS = 8 << 20
+SEED_SHARE = 0.5  # of the needed pairs: so many have to be seeds
+CACHE = 200_000  # words whose hashes a task remembers
+BROADCAST_ROWS = 1 << 22  # numbers that are sent to all tasks at most; more are joined by a shuffle
 
 # Signs that do not belong to a word at whose ends they stand.
 SIGNS = string.punctuation + "«»‹›„“”‚‘’…–—·•¿¡、。，！？「」『』"
@@ -59,16 +64,33 @@ def tokens(text: str | None) -> list[str]:
     return [w for w in plain if w]
 
 
+class Words:
+    """Hashes of words, as positive numbers; those met before are remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The hashes of the words of a text."""
+        known, found = self.known, tokens(text)
+        if len(known) > CACHE:
+            known.clear()
+        for w in found:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w) >> 1
+        return np.array([known[w] for w in found], np.int64)
+
+
 def grams(ids: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams of word numbers."""
+    """Hashes of the n-grams of words."""
     n = len(ids) - NGRAM + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     key = np.zeros(n, np.uint64)
     for i in range(NGRAM):
         key = (key ^ ids[i : i + n].astype(np.uint64)) * _PRIME
         key ^= key >> np.uint64(29)
-    return key
+    return key.view(np.int64)
 
 
 def needed(length: int) -> int:
@@ -81,78 +103,6 @@ def drift(length: int) -> int:
     return int((1 - MIN_SHARE) * length)
 
 
-@dataclass(frozen=True)
-class Items:
-    """A block of the benchmark: words as numbers (0: any other word)."""
-
-    numbers: dict[str, int]  # "": -1, no word
-    item_ids: list[int]
-    words: list[np.ndarray]
-    keys: np.ndarray  # sorted hashes of n-grams
-    first: np.ndarray  # of each key: its places are those from first[key] to first[key + 1]
-    item: np.ndarray  # of each place
-    position: np.ndarray
-    seed: np.ndarray
-    needed: np.ndarray  # of each item
-
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int64)
-        get = self.numbers.get
-        found = np.array([get(w.strip(SIGNS), 0) for w in text.lower().split()], np.int64)
-        return found[found >= 0]
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of a document's n-grams that are keys, and which keys."""
-        if len(ids) < NGRAM or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = ids > 0
-        whole = known[: len(ids) - NGRAM + 1].copy()
-        for i in range(1, NGRAM):
-            whole &= known[i : len(ids) - NGRAM + 1 + i]
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return at, at
-        found = grams(ids)[at]
-        k = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-        same = self.keys[k] == found
-        return at[same], k[same]
-
-
-def items_of(rows: list[tuple[int, str]]) -> Items:
-    """A block from (item_id, text); every n-gram is a key and a seed."""
-    numbers: dict[str, int] = {}
-    item_ids, words = [], []
-    for item_id, text in rows:
-        found = tokens(text)
-        if len(found) >= MIN_WORDS:
-            item_ids.append(item_id)
-            words.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in found], np.int64))
-    hashes = [grams(w) for w in words]
-    keys, key = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
-    order = np.argsort(key, kind="stable")
-    sizes = [len(h) for h in hashes]
-    item = np.repeat(np.arange(len(words)), sizes)[order]
-    position = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])[order]
-    first = np.searchsorted(key[order], np.arange(len(keys) + 1))
-    wanted = np.array([needed(len(w)) for w in words], np.int64)
-    return Items(numbers | {"": -1}, item_ids, words, keys, first, item, position, np.ones(len(item), bool), wanted)
-
-
-def seeds_of(items: Items, frequency: np.ndarray) -> Items:
-    """The same items with their rarest n-grams as seeds, given the document frequency of each key.
-
-    All but `needed - 1` n-grams of an item are seeds, so none can hold `needed` without a seed.
-    """
-    count = np.repeat(frequency, np.diff(items.first))
-    order = np.lexsort((items.position, count, items.item))
-    sizes = np.bincount(items.item, minlength=len(items.words))
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    seed = np.zeros(len(order), bool)
-    seed[order] = rank < np.repeat(sizes - items.needed + 1, sizes)
-    return replace(items, seed=seed)
-
-
 # --- alignment ------------------------------------------------------------------------------
 
 
@@ -200,35 +150,27 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def regions(items: Items, at: np.ndarray, key: np.ndarray, n_words: int) -> list[tuple[int, int, int]]:
-    """(item, first word, end word) of the parts of a document to align, from its n-gram hits."""
-    distinct = np.unique(key)
-    places = _ranges(items.first[distinct], items.first[distinct + 1] - items.first[distinct])
-    item = items.item[places]
-    enough = np.bincount(item, minlength=len(items.words)) >= items.needed
-    enough &= np.bincount(item[items.seed[places]], minlength=len(items.words)) > 0
-    places = places[enough[item]]
-    if not len(places):
+def regions(item: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, end word) of the parts of a document to align to an item, from common pairs."""
+    own, length = grams(item), len(item)
+    keys, places = np.unique(own, return_inverse=True)
+    order = np.argsort(places, kind="stable")  # positions of each key
+    first = np.searchsorted(places[order], np.arange(len(keys) + 1))
+    found = grams(ids)
+    key = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    at = np.flatnonzero(keys[key] == found)
+    key = key[at]
+    size = first[key + 1] - first[key]
+    position = order[_ranges(first[key], size)]
+    if len(np.unique(position)) < needed(length):
         return []
-    order = np.argsort(key, kind="stable")
-    at, key = at[order], key[order]
-    places = places[np.argsort(items.item[places], kind="stable")]
-    cuts = np.flatnonzero(np.diff(items.item[places])) + 1
-    out = []
-    for some in np.split(places, cuts):
-        i = int(items.item[some[0]])
-        length = len(items.words[i])
-        whose = np.searchsorted(items.first, some, "right") - 1
-        start, end = np.searchsorted(key, whose), np.searchsorted(key, whose, "right")
-        position = np.repeat(items.position[some], end - start)
-        diagonal = at[_ranges(start, end - start)] - position
-        beside = drift(length)
-        for low, high in _bands(diagonal, position, int(items.needed[i]), beside):
-            first, last = max(0, low - beside), min(n_words, high + length + beside)
-            # a long run of diagonals (repeats) is read in overlapping parts
-            reach = 2 * length + 4 * beside
-            for a in range(first, max(first + 1, last - reach // 2), reach // 2):
-                out.append((i, a, min(last, a + reach)))
+    diagonal, beside, out = np.repeat(at, size) - position, drift(length), []
+    reach = 2 * length + 4 * beside
+    for low, high in _bands(diagonal, position, needed(length), beside):
+        start, last = max(0, low - beside), min(len(ids), high + length + beside)
+        # a long run of diagonals (repeats) is read in overlapping parts
+        for a in range(start, max(start + 1, last - reach // 2), reach // 2):
+            out.append((a, min(last, a + reach)))
     return out
 
 
@@ -263,37 +205,39 @@ def _bands(diagonal: np.ndarray, position: np.ndarray, wanted: int, width: int)
     return out
 
 
-def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
-    """(text number, item_id, score, item words, start, end) of contaminated texts.
+def matches(rows: list[tuple[str | None, list[tuple[int, list[int]]]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, item, score, item words, start, end) for documents and the items that they may hold.
 
-    Start and end are code points of the stretch that aligns best; one row a text and item.
+    `rows` are texts, each with its items as (number, word hashes). Start and end are code points
+    of the stretch that aligns best; one row a text and item. Parts of several texts are aligned to
+    an item side by side.
     """
-    by_item = defaultdict(list)
-    found_ids = {}
-    for t, text in enumerate(texts):
-        ids = items.ids(text)
-        at, key = items.hits(ids)
-        if len(at):
-            for item, a, b in regions(items, at, key, len(ids)):
-                by_item[item].append((t, a, b))
-                found_ids[t] = ids
+    read = Words()
+    ids = [read(text) for text, _ in rows]
+    by_item, words = defaultdict(list), {}
+    for t, (_, items) in enumerate(rows):
+        for item, own in items:
+            if item not in words:
+                words[item] = np.array(own, np.int64)
+            by_item[item] += [(t, a, b) for a, b in regions(words[item], ids[t])]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for item, parts in by_item.items():
-        words = items.words[item]
-        width = max(b - a for _, a, b in parts)
+        own = words[item]
+        parts.sort(key=lambda part: part[2] - part[1])  # alike widths side by side; the first place wins
         for i in range(0, len(parts), 256):
             some = parts[i : i + 256]
-            grid = np.full((len(some), width), -1, np.int64)
+            grid = np.full((len(some), max(b - a for _, a, b in some)), -1, np.int64)
             for r, (t, a, b) in enumerate(some):
-                grid[r, : b - a] = found_ids[t][a:b]
-            for (t, a, _), s, x, y in zip(some, *align(words, grid), strict=True):
-                if s >= MIN_SHARE * len(words) and s > best.get((t, item), (0, 0, 0))[0]:
-                    best[t, item] = (int(s), int(a + x), int(a + y))
+                grid[r, : b - a] = ids[t][a:b]
+            for (t, a, _), s, x, y in zip(some, *align(own, grid), strict=True):
+                place = (-int(s), int(a + x), int(a + y))
+                if s >= MIN_SHARE * len(own) and place < best.get((t, item), (0, 0, 0)):
+                    best[t, item] = place
     out, spans = [], {}
     for (t, item), (s, a, b) in sorted(best.items()):
         if t not in spans:
-            spans[t] = _spans(texts[t])
-        out.append((t, items.item_ids[item], s, len(items.words[item]), spans[t][a][0], spans[t][b - 1][1]))
+            spans[t] = _spans(rows[t][0])
+        out.append((t, item, -s, len(words[item]), spans[t][a][0], spans[t][b - 1][1]))
     return out
 
 
@@ -311,63 +255,80 @@ def _spans(text: str) -> list[tuple[int, int]]:
 # --- over tables ----------------------------------------------------------------------------
 
 
-def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
-    """The benchmark in blocks of a bounded size."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), text.alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // (BLOCK_CHARS // 2)) or 1  # by hash: blocks of about half the bound
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for i in range(n):
-        found = rows.filter(part == i).collect()
-        yield items_of(sorted(((r.item_id, r.text) for r in found), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-
-
-def _scan(texts: DataFrame, items: Items, id_type: str) -> DataFrame:
-    """One pass: rows (key, n) of document frequencies, and the documents that may match."""
-
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros(len(items.keys), np.int64)
-        for part in parts:
-            maybe = []
-            for text in part["text"]:
-                ids = items.ids(text)
-                at, key = items.hits(ids)
-                found[np.unique(key)] += 1
-                maybe.append(bool(len(at)) and bool(regions(items, at, key, len(ids))))
-            rows = part[np.array(maybe, bool)].astype("object").to_numpy()
-            yield pd.DataFrame([(*r, None, None) for r in rows], columns=_SCANNED, dtype="object")
-        counts = [(None, None, None, None, k, found[k]) for k in np.flatnonzero(found)]
-        yield pd.DataFrame(counts, columns=_SCANNED, dtype="object")
-
-    schema = f"doc_id {id_type}, row_key long, row_check int, text string, key long, n long"
-    return texts.mapInPandas(scan, schema)
-
-
-_SCANNED = ["doc_id", "row_key", "row_check", "text", "key", "n"]
-_FOUND = ["doc_id", "row_key", "row_check", "item_id", "matched", "item_words", "start", "end"]
-
-
-def _block_matches(texts: DataFrame, items: Items) -> DataFrame:
-    id_type = dict(texts.dtypes)["doc_id"]
-    scanned = written(_scan(texts, items, id_type), "benchmark")
-    frequency = np.zeros(len(items.keys), np.int64)
-    counts = scanned.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
-    for key, n in counts.collect():  # at most a row an n-gram of the block
-        frequency[key] = n
-    seeds = seeds_of(items, frequency)
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = part[_FOUND[:3]].astype("object").to_numpy()
-            found = matches(seeds, part["text"].tolist())
-            yield pd.DataFrame([(*rows[t], *rest) for t, *rest in found], columns=_FOUND, dtype="object")
-
-    schema = (
-        f"doc_id {id_type}, row_key long, row_check int, item_id long, matched long, item_words long, "
-        "start long, end long"
+def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The items that can be recognised: item (a number a row), item_id, words (hashes), grams."""
+
+    @F.pandas_udf("words array<long>, grams array<long>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        words = Words()
+        found = [words(t) for t in texts]
+        return pd.DataFrame({"words": found, "grams": [grams(w) for w in found]})
+
+    named = F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").alias("text")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), *named)
+    items = items.withColumn("read", read("text")).select("item", "item_id", "read.*")
+    return items.filter(F.size("words") >= MIN_WORDS)
+
+
+def document_grams(text: Column) -> Column:
+    """The distinct pairs of a document, as hashes."""
+
+    @F.pandas_udf("array<long>")
+    def read(texts: pd.Series) -> pd.Series:
+        words = Words()
+        return pd.Series([np.unique(grams(words(t))) for t in texts])
+
+    return read(text)
+
+
+def _sent(df: DataFrame, label: str) -> DataFrame:
+    """A written table that is sent to all tasks if it is small, as counted."""
+    df = written(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def seeds_of(items: DataFrame, met: DataFrame) -> DataFrame:
+    """(gram, item, places, wanted): the rarest pairs of each item, at how many places they stand.
+
+    `met` has a row for each document and pair of the benchmark in it. Pairs that no document holds
+    are the rarest, and seeds too: an edited copy does not hold them, and need not.
+    """
+    counts = met.groupBy("gram").agg(F.count("*").alias("n"))
+    places = items.select("item", F.size("words").alias("length"), F.posexplode("grams").alias("place", "gram"))
+    counted = places.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "place"))  # as many rows as an item has words
+    wanted = F.greatest(F.ceil(MIN_SHARE * F.col("length")) - 1, F.lit(MIN_PAIRS))
+    enough = F.ceil(SEED_SHARE * wanted)
+    kept = counted.withColumns({"rank": rank, "wanted": enough}).filter(
+        F.col("rank") <= F.col("length") - NGRAM + 1 - wanted + enough
     )
-    return scanned.filter("key is null").drop("key", "n").mapInPandas(search, schema)
+    return kept.groupBy("gram", "item", "wanted").agg(F.count("*").alias("places"))
+
+
+def candidates_of(met: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(row_key, row_check, item) of documents and items that share enough seeds."""
+    shared = met.join(seeds, "gram").groupBy("row_key", "row_check", "item", "wanted")
+    return shared.agg(F.sum("places").alias("n")).filter("n >= wanted").drop("n", "wanted")
+
+
+_FOUND = ["doc_id", "row_key", "row_check", "item", "matched", "item_words", "start", "end"]
+
+
+def _search(rows: DataFrame) -> DataFrame:
+    """Alignments of candidate documents (doc_id, row_key, row_check, text, items)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, items = (batch.column(i).to_pylist() for i in (3, 4))
+            found = matches([(t, [(c["item"], c["words"]) for c in some]) for t, some in zip(texts, items, strict=True)])
+            if found:
+                row, *rest = zip(*found, strict=True)
+                own = [batch.column(i).take(pa.array(row)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.int64()) for c in rest)], _FOUND)
+
+    kinds = dict(rows.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in _FOUND[:3])
+    return rows.mapInArrow(search, named + "".join(f", `{c}` long" for c in _FOUND[3:]))
 
 
 def find(
@@ -385,13 +346,24 @@ def find(
     """
     prepare(docs.sparkSession)
     identity, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    items = written(items_of(benchmark, item_id_col, item_text_col), "items")
+    known = _sent(items.select(F.explode("grams").alias("gram")).distinct(), "grams")
+    keyed = docs.select(*row_keys(identity, text), F.explode(document_grams(text)).alias("gram"))
+    met = written(keyed.join(known, "gram").distinct(), "met")
+    candidates = written(candidates_of(met, written(seeds_of(items, met), "seeds")), "candidates")
+    holders = _sent(candidates.select("row_key", "row_check").distinct(), "holders")
+    item = F.struct("item", "words")
+    own = candidates.join(items.select("item", "words"), "item").groupBy("row_key", "row_check")
+    own = own.agg(F.sort_array(F.collect_list(item)).alias("items"))
     texts = docs.select(identity.alias("doc_id"), *row_keys(identity, text), text.alias("text"))
-    parts = [_block_matches(texts, items) for items in blocks_of(benchmark, item_id_col, item_text_col)]
-    return reduce(DataFrame.unionAll, parts).withColumn("score", F.col("matched") / F.col("item_words"))
+    some = texts.join(holders, ["row_key", "row_check"], "left_semi").join(own, ["row_key", "row_check"])
+    found = _search(some.select("doc_id", "row_key", "row_check", "text", "items"))
+    named = found.join(items.select("item", "item_id"), "item").drop("item")
+    return named.withColumn("score", F.col("matched") / F.col("item_words"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no benchmark item contaminates, with the columns they came with."""
-    found = find(docs, benchmark, id_col, text_col).select("row_key", "row_check").distinct()
+    found = _sent(find(docs, benchmark, id_col, text_col).select("row_key", "row_check").distinct(), "contaminated")
     key, check = row_keys(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return docs.join(found, (key == found["row_key"]) & (check == found["row_check"]), "left_anti")

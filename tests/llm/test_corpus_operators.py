@@ -284,15 +284,43 @@ def test_copies_are_found_and_clean_documents_left(corpus, odd, empty, spark):
     assert decontaminate.remove(empty, bench).count() == 0
 
 
-def test_benchmark_blocks_agree(corpus, spark, monkeypatch):
-    words = [f"w{i * i % 97}" for i in range(900)]
-    items = [(k, " ".join(words[k * 30 : k * 30 + 25])) for k in range(20)]
-    docs = corpus([(k, " ".join(words[k * 25 : k * 25 + 70])) for k in range(30)])
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    plain = lambda: sorted((r.doc_id, r.item_id, r.matched) for r in decontaminate.find(docs, bench).collect())
-    whole = plain()
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 400)
-    assert {r[:2] for r in plain()} == {r[:2] for r in whole} and whole
+def test_seeds_change_the_rows_joined_but_no_result(corpus, spark, monkeypatch):
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(6)]  # phrases that documents and items share
+    items = [[rng.choice(common if rng.random() < 0.5 else [f"i{k}w{n}" for n in range(20)]) for _ in range(30)] for k in range(25)]
+    rows = []
+    for i in range(200):
+        words = rng.choices(common, k=60)
+        if i % 4 == 0:
+            words[20:20] = [w if rng.random() > 0.15 else "x" for w in items[i // 8]]
+        rows.append((i, " ".join(words)))
+    docs = corpus(rows)
+    bench = spark.createDataFrame([(f"item {k}", " ".join(w)) for k, w in enumerate(items)], "item_id string, text string")
+    joined, found = {}, {}
+    for share, rows_sent in ((0.05, 1 << 22), (0.5, 1 << 22), (1.0, 1 << 22), (0.5, 0)):
+        monkeypatch.setattr(decontaminate, "SEED_SHARE", share)
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows_sent)
+        known = decontaminate.items_of(bench, "item_id", "text")
+        grams = known.select(F.explode("grams").alias("gram")).distinct()
+        key = docs.select(F.xxhash64("doc_id").alias("row_key"), F.hash("doc_id").alias("row_check"), F.explode(decontaminate.document_grams(F.col("text"))).alias("gram"))
+        met = key.join(grams, "gram")
+        seeds = decontaminate.seeds_of(known, met)
+        joined[share, rows_sent] = (seeds.count(), met.join(seeds, "gram").count())
+        found[share, rows_sent] = sorted((r.doc_id, r.item_id, r.matched, r.start, r.end) for r in decontaminate.find(docs, bench).collect())
+    assert len({str(f) for f in found.values()}) == 1
+    assert joined[0.05, 1 << 22][1] < joined[0.5, 1 << 22][1] < joined[1.0, 1 << 22][1]
+    plain = {(i, k) for i, t in rows for k, w in enumerate(items) if 2 * plain_alignment(w, t.split()) >= len(w)}
+    assert {(r[0], int(r[1].split()[1])) for r in found[0.5, 0]} == plain and len(plain) >= 25
+
+
+def test_documents_meet_items_in_a_join_on_seeds(corpus, spark):
+    docs = corpus([(1, "one two three four five six")])
+    bench = spark.createDataFrame([(1, "two three four five")], "item_id long, text string")
+    known = decontaminate.items_of(bench, "item_id", "text")
+    met = docs.select(F.lit(1).alias("row_key"), F.lit(2).alias("row_check"), F.explode(decontaminate.document_grams(F.col("text"))).alias("gram"))
+    found = decontaminate.candidates_of(met, decontaminate.seeds_of(known, met))
+    assert re.search(r"Join \[gram", found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 1
 
 
 def test_edited_copies_are_found_as_plain_alignment_finds_them(corpus, spark):
