@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from checks.cases import CURATED_NAMES, FAN_SUMS, RAW_NAMES, Inputs, case, inputs, published
 from checks.oracle import LATE_SEEN, ORDERS_SEEN, big
-from checks.report_sql import DELAY_VS_SCORE, LATE_BY_STATE, ONE_STAR_CAUSES, ROUTE
+from checks.report_sql import DELAY_VS_SCORE, LATE_BY_STATE, ONE_STAR_CAUSES, REPORT_SQL, ROUTE
 from parcelwatch.operators.distinct import count_orders
 from parcelwatch.operators.grains import GRAINS
 from parcelwatch.params import Params
@@ -24,6 +24,7 @@ from parcelwatch.plans.calendar import months
 from parcelwatch.plans.curated import Warehouse, lake_tables, manifest, refresh
 from parcelwatch.plans.delta import refresh_changed
 from parcelwatch.plans.ingest import ingest
+from parcelwatch.plans.sql_reports import register_functions
 from parcelwatch.schemas import SORT_KEYS, TABLES
 from parcelwatch.session import shared_dir
 from parcelwatch.sources import storage
@@ -351,3 +352,42 @@ def _(t: Inputs) -> DataFrame:
 )
 def _(t: Inputs) -> DataFrame:
     return reports.one_star_causes(Warehouse.computed(t.raw, Params(whole_words=True)))
+
+
+# --- reports by name ------------------------------------------------------------------------
+
+
+def _by_name(t: Inputs, query: str) -> DataFrame:
+    register_functions(t.spark, published(t), "market_")
+    return t.spark.sql(query)
+
+
+@case(
+    "op_report_by_name_scores",
+    REPORT_SQL["score_distribution"].replace(
+        "FROM c_reviews", "FROM c_reviews WHERE order_month >= '1994-01' AND order_month <= '1995-06'"
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    return _by_name(t, "SELECT * FROM market_score_distribution('1994-01', last_month => '1995-06')")
+
+
+@case("op_report_by_name_sellers", REPORT_SQL["problem_sellers"].replace(">= 50)", ">= 5)").replace("LIMIT 50", "LIMIT 7"))
+def _(t: Inputs) -> DataFrame:
+    return _by_name(
+        t,
+        """SELECT * FROM market_problem_sellers(min_orders => 5)
+           ORDER BY contribution_national_late_pct DESC, seller_id, seller_state, seller_city LIMIT 7""",
+    )
+
+
+@case(
+    "op_report_by_name_priority",
+    REPORT_SQL["intervention_priority"].replace(">= 50", ">= 5").replace("> 20 AND", "> 1 AND").replace("> 2\n", "> 0\n"),
+)
+def _(t: Inputs) -> DataFrame:
+    return _by_name(
+        t,
+        """SELECT * FROM market_intervention_priority(min_orders => 5, slow_days => 0, late_pct => 1)
+           ORDER BY freight_paid_on_late_orders DESC, seller_id, seller_state LIMIT 20""",
+    )
