@@ -64,21 +64,21 @@ def tokens(text: str | None) -> list[str]:
     return [w for w in plain if w]
 
 
-class Words:
-    """Hashes of words, as positive numbers; those met before are remembered."""
+class Words(dict):
+    """Hashes of words, as positive numbers, by the word as it stands in a text; -1: only signs."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        plain = word.strip(SIGNS)
+        self[word] = found = xxhash.xxh3_64_intdigest(plain) >> 1 if plain else -1
+        return found
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """The hashes of the words of a text."""
-        known, found = self.known, tokens(text)
-        if len(known) > CACHE:
-            known.clear()
-        for w in found:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w) >> 1
-        return np.array([known[w] for w in found], np.int64)
+        """The hashes of the words of a text: those of its `tokens`."""
+        if len(self) > CACHE:
+            self.clear()
+        words = (text or "").lower().split()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return ids[ids >= 0]
 
 
 def grams(ids: np.ndarray) -> np.ndarray:
