@@ -1,12 +1,15 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field beside them.
 
 The patterns find the base spans, which always stay. The field reads the neighbourhoods of
-digits and at-signs as sequences of atoms (letters, digits, single signs) and scores whole
-candidate segments: their shape, length, digits, separators, checks and surroundings. Entities
-are bounded to `MAX_ATOMS` atoms; a dynamic programme chooses boundaries and kinds together, and
-its spans that touch no base span are added. It is trained by maximum likelihood (forward and
-backward sums over all segmentations) on a bounded sample of neighbourhoods labelled by the
-patterns, and on variants of them that the patterns miss.
+digits, at-signs and bracketed "at" as sequences of atoms (letters, digits, single signs) and
+scores whole candidate segments: their shape, length, digits, separators, checks and
+surroundings. Entities are bounded to `MAX_ATOMS` atoms and `MAX_CHARS` characters; a dynamic
+programme chooses boundaries and kinds together, and its spans that touch no base span are added.
+It is trained by maximum likelihood (forward and backward sums over all segmentations) on a
+bounded sample of neighbourhoods labelled by the patterns, on variants of them that the patterns
+miss (addresses with a spelt-out or spaced at-sign, bracketed dots in ip addresses, cards with
+other separators, phones without a plus) and on decoys that look alike and are no entity (cards
+whose check digit is wrong, ip parts beyond 255).
 
 Defined cases: a null text has no spans; texts are read whole and every step is linear in their
 length; overlapping base spans of different kinds all stay and are redacted as one; repeated
@@ -36,7 +39,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_AT_MARK = re.compile(r"@|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+_DOT_MARK = re.compile(r"[(\[{] ?(?:\.|dot) ?[)\]}]", re.IGNORECASE)
+_SPELT_AT = re.compile(rf"\s?(?:{_AT_MARK.pattern})\s?", re.IGNORECASE)
+_SPELT_DOT = re.compile(rf"\s?{_DOT_MARK.pattern}\s?", re.IGNORECASE)
+_MORE = re.compile(rf"[A-Za-z0-9-]|\.[A-Za-z0-9]|{_SPELT_DOT.pattern}", re.IGNORECASE)  # an address goes on
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,12}")
+_TRIGGER = re.compile(r"[0-9]|" + _AT_MARK.pattern, re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -91,17 +100,33 @@ def joined(spans: list[Span]) -> str:
 # --- neighbourhoods and segments ------------------------------------------------------------
 
 MAX_ATOMS = 16
-REACH = 24  # characters around a digit or at-sign
+MAX_CHARS = 320  # the longest address there is
+REACH = 24  # characters around a digit or at-sign (after one: twice as many), then to the end of the word
 FEATURES = 1 << 12
-_ATOM = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.DOTALL)
+# A spelt-out or bracketed sign is one atom with the blanks beside it.
+_ATOM = re.compile(r"\s?[(\[{] ?(?:at|dot|\.) ?[)\]}]\s?|[A-Za-z]+|[0-9]+|\s+|.", re.DOTALL | re.IGNORECASE)
 
 
 def neighbourhoods(text: str) -> list[tuple[int, int]]:
-    """Where digits and at-signs are, with some characters around; near ones are one."""
+    """Where digits and at-signs are, with some words around; near ones are one.
+
+    A word is followed for `MAX_CHARS` characters at most, and no character twice to the same side.
+    """
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
+        beyond = REACH if m[0].isdigit() else 2 * REACH  # hosts may be spelt out
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + beyond)
+        before = out[-1][1] if out else 0
+        if b <= before:
+            continue
+        far = max(before, m.start() - MAX_CHARS)
+        while a > far and not text[a - 1].isspace():
+            a -= 1
+        b = max(b, before)
+        far = min(len(text), m.end() + MAX_CHARS)
+        while b < far and not text[b].isspace():
+            b += 1
+        if out and a <= before:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
@@ -121,28 +146,35 @@ def _shape(piece: str) -> str:
 def segment_features(text: str, a: int, b: int) -> list[int]:
     """Buckets of the features of the segment text[a:b], whatever its kind."""
     piece = text[a:b]
-    digits = _digits(piece)
-    parts = piece.split(".")
+    plain = _SPELT_AT.sub("@", _SPELT_DOT.sub(".", piece))  # as it would be written plainly
+    plain = re.sub("^00(?=[1-9])", "+", plain)
+    digits, parts, ats = _digits(plain), plain.split("."), plain.count("@")
     before, after = text[max(0, a - 1) : a], text[b : b + 1]
+    address = bool(_ADDRESS.fullmatch(plain))
+    whole = not (before and before in _LOCAL) and not _MORE.match(text, b)
 
     def side(c: str) -> str:
         if not c:
             return "edge"
         return "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c
 
-    shape = _shape(piece)
+    # Any address is like any other, whatever its letters and digits.
+    shape = "address" if address else _shape(plain)
+    signs = "".join(sorted(set(re.sub("[A-Za-z0-9]", "", "@" if address else plain))))
     found = {
         "bias",
         f"shape {shape[:24]}",
         f"first {shape[:2]}",
         f"last {shape[-2:]}",
-        f"digits {min(len(digits), 20)}",
+        f"digits {'address' if address else min(len(digits), 20)}",
         f"enough {8 <= len(digits) <= 15} {16 <= len(digits) <= 19}",
         f"luhn {len(digits) >= 16 and luhn(digits)} {16 <= len(digits) <= 19}",
         f"ip {len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)}",
-        f"at {piece.count('@')} {'.' in piece.partition('@')[2]}",
-        f"plus {piece.startswith('+')}",
-        f"signs {''.join(sorted(set(re.sub('[A-Za-z0-9]', '', piece))))[:8]}",
+        f"at {ats} {'.' in plain.partition('@')[2]}",
+        f"address {address} {whole}",
+        f"marks {len(plain) < len(piece)} {ats} {len(parts) == 4}",
+        f"plus {plain.startswith('+')}",
+        f"signs {signs[:8]}",
         f"letters {any(c.isalpha() for c in piece)}",
         f"before {side(before)}",
         f"after {side(after)}",
@@ -156,7 +188,7 @@ def _candidate(piece: str) -> bool:
     first, last = piece[0], piece[-1]
     if not (first.isalnum() or first in "+(") or not last.isalnum():
         return False
-    return "@" in piece or sum("0" <= c <= "9" for c in piece) >= 4
+    return sum("0" <= c <= "9" for c in piece) >= 4 or bool(_AT_MARK.search(piece))
 
 
 @dataclass(frozen=True)
@@ -174,7 +206,7 @@ def lattice(text: str, start: int, end: int) -> Lattice:
         (i, j)
         for i in range(len(found))
         for j in range(i + 1, min(len(found), i + MAX_ATOMS) + 1)
-        if _candidate(text[found[i][0] : found[j - 1][1]])
+        if found[j - 1][1] - found[i][0] <= MAX_CHARS and _candidate(text[found[i][0] : found[j - 1][1]])
     ]
     return Lattice(found, segments, [segment_features(text, found[i][0], found[j - 1][1]) for i, j in segments])
 
@@ -198,7 +230,7 @@ def decode(text: str, start: int, end: int, weights: np.ndarray) -> list[Span]:
         best[j] = best[j - 1]
         for i in range(max(0, j - MAX_ATOMS), j):
             a, b = found[i][0], found[j - 1][1]
-            if not _candidate(text[a:b]):
+            if b - a > MAX_CHARS or not _candidate(text[a:b]):
                 continue
             scores = weights[segment_features(text, a, b)].sum(axis=0)
             k = int(scores.argmax())
@@ -219,6 +251,7 @@ def decode(text: str, start: int, end: int, weights: np.ndarray) -> list[Span]:
 # --- learning -------------------------------------------------------------------------------
 
 SAMPLE = 1500  # neighbourhoods, at most about so many
+REWRITTEN = 1500  # variants of them
 SAMPLE_ATOMS = 200  # longer neighbourhoods are not learnt from
 EPOCHS, RATE, L2 = 6, 0.5, 1e-3
 
@@ -256,34 +289,67 @@ def marginals(lat: Lattice, scores: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(scores + outside[:, None], -700, 0))
 
 
+def rewritings(kind: str, piece: str) -> list[str]:
+    """Ways to write an entity that its pattern misses."""
+    if kind == "email":
+        local, _, host = piece.partition("@")
+        spelt = host.replace(".", " (dot) ")
+        return [
+            f"{local} @ {host}", f"{local} (at) {host}", f"{local}[at]{host}",
+            f"{local} (at) {spelt}", f"{local} [at] {host.replace('.', '[.]')}",
+        ]
+    if kind == "ip":
+        return [piece.replace(".", "[.]"), piece.replace(".", "(.)"), piece.replace(".", "[dot]")]
+    digits = _digits(piece)
+    if kind == "card":
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [sign.join(fours) for sign in (".", "/", "_", " - ")]
+    national = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", piece)
+    out = ["00" + piece[1:]] if len(digits) >= 10 else []
+    if len(digits) >= 10 and not piece[1:].isdigit() and len(_digits(national)) == 10 and national[0] != " ":
+        out.append(national)
+    return out
+
+
+def _decoys(kind: str, piece: str) -> list[str]:
+    """Things written like the rewritings that are no entity."""
+    if kind == "ip":
+        parts = piece.split(".")
+        return [mark.join([*parts[:3], f"{300 + int(parts[3]) % 600}"]) for mark in ("[.]", "(.)")]
+    if kind == "card":
+        digits = _digits(piece)
+        wrong = digits[:-1] + str((int(digits[-1]) + 1 + int(digits[0]) % 9) % 10)
+        return rewritings(kind, wrong)
+    return []
+
+
 def variants(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
-    """The text with one entity written in a way the patterns miss."""
+    """The text with one entity rewritten, or a decoy in the place of it; each with its spans.
+
+    All rewritings of an entity, and one decoy, chosen by its hash.
+    """
     out = []
     for kind, a, b in spans:
         piece = text[a:b]
-        if kind == "phone" and len(_digits(piece)) >= 10 and not piece[1:].isdigit():
-            national = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", piece)
-            if len(_digits(national)) == 10 and national[0] != " ":
-                other = national
-            else:
-                continue
-        elif kind == "email":
-            other = piece.replace("@", " @ ")
-        else:
-            continue
-        out.append((text[:a] + other + text[b:], [(kind, a, a + len(other))]))
+        decoys = _decoys(kind, piece)
+        some = [decoys[xxhash.xxh32_intdigest(piece) % len(decoys)]] if decoys else []
+        for other, real in [(o, True) for o in rewritings(kind, piece)] + [(o, False) for o in some]:
+            made, end = text[:a] + other + text[b:], a + len(other)
+            rest = [s for s in base_spans(made) if s[2] <= a or end <= s[1]]
+            out.append((made, [*rest, (kind, a, end)] if real else rest))
     return out
 
 
 def fit(pieces: list[str]) -> np.ndarray:
     """Weights (features x kinds) learnt from neighbourhoods, labelled by the patterns."""
+    found = [(text, base_spans(text)) for text in pieces]
+    made = {v[0]: v for text, spans in found for v in variants(text, spans)}
+    chosen = sorted(made, key=lambda t: (xxhash.xxh64_intdigest(t), t))[:REWRITTEN]
     examples = []
-    for text in pieces:
-        spans = base_spans(text)
-        for t, wanted in [(text, spans), *variants(text, spans)]:
-            lat = lattice(t, 0, len(t))
-            if lat.segments:
-                examples.append((lat, _gold(lat, wanted)))
+    for text, wanted in found + [made[t] for t in chosen]:
+        lat = lattice(text, 0, len(text))
+        if lat.segments:
+            examples.append((lat, _gold(lat, wanted)))
     weights = np.zeros((FEATURES, len(KINDS)))
     weights[xxhash.xxh32_intdigest("bias") % FEATURES] = -2.0
     grown = np.full_like(weights, 1e-6)

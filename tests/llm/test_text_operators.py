@@ -422,6 +422,55 @@ def test_spans_are_found_and_redacted(corpus, odd, empty):
     assert pii.detect_documents(empty, pii.train(empty)).count() == 0
 
 
+def _card(rng):
+    digits = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+    return next(digits + str(c) for c in range(10) if pii.luhn(digits + str(c)))
+
+
+def _entity(kind, rng):
+    return {
+        "email": f"{rng.choice(['ana.lima', 'bob_77', 'kv'])}@{rng.choice(['shop.example.org', 'my-site.co'])}",
+        "ip": ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": _card(rng),
+        "phone": f"+{rng.choice((1, 49))} ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}",
+    }[kind]
+
+
+def test_rewritten_entities_are_found_and_decoys_are_not(corpus):
+    """Learnt from plain entities of other names and hosts; base spans find none of these."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        plain = f"user{i}@mail{i}.com", _entity("ip", rng), _entity("card", rng), _entity("phone", rng)
+        rows += [(4 * i + k, f"zelo miran {p} tavu {i} korel", "en", "s", 0) for k, p in enumerate(plain)]
+    weights = pii.train(corpus(rows))
+    frames = ("write to {} before noon", "{} tela", "mir: {}", "from ({}) and on")
+    for kind in pii.KINDS:
+        wanted = right = 0
+        for _ in range(20):
+            piece = _entity(kind, rng)
+            for other in pii.rewritings(kind, piece):
+                frame = rng.choice(frames)
+                at = frame.index("{}")
+                wanted += 1
+                right += (kind, at, at + len(other)) in sum(pii.find(frame.format(other), weights), [])
+            for decoy in pii._decoys(kind, piece):
+                assert pii.find(f"vel {decoy} mik", weights)[1] == [], decoy
+        assert right >= 0.9 * wanted, (kind, right, wanted)
+    for clean in ("version 4.1 of 2024, page 12", "at (12) noon 3 x 4", "look at [3] dot", "x" * 2000 + "@", "1,234,567.89"):
+        assert pii.find(clean, weights) == ([], []), clean
+
+
+def test_neighbourhoods_hold_whole_words():
+    local = "first.middle.last-and-more.names_9"
+    text = f"say {local}@host.example.org now " + "z" * 400 + " 12345"
+    (a, b), *_ = pii.neighbourhoods(text)
+    assert a <= text.index(local) and b >= text.index(" now")
+    for long in ("1" * 100_000, "a" * 100_000 + "@" + "b" * 100_000, "a@" * 50_000, "(at) " * 20_000):
+        found = pii.neighbourhoods(long)
+        assert all(x < y for x, y in found) and all(p[1] <= q[0] for p, q in zip(found, found[1:], strict=False))
+
+
 # --- quality classifier ---------------------------------------------------------------------
 
 
