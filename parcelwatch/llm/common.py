@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwatch.session import configure, shared_dir
+from parcelwatch.sources import storage
 
 # A word is a run of anything but ASCII white space. `bytes.split()` splits at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,10 +37,33 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables written inside each `settled` that is under way.
+_open: list[list[str]] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The rows of `make()`, written; the tables that were written to make them are deleted.
+
+    Also when it fails: what a job leaves behind then are the results of earlier ones alone.
+    """
+    made: list[str] = []
+    _open.append(made)
+    try:
+        df = written(make(), label)
+        made.pop()  # the result stays
+    finally:
+        _open.remove(made)
+        for path in made:
+            storage.delete(spark, path)
+    return df
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -451,6 +452,52 @@ def test_stages_keep_their_promises(spark):
             assert docs.count() > 0.7 * before.count()
 
 
+def folders(spark):
+    from parcelwatch.session import shared_dir
+    from parcelwatch.sources import storage
+
+    return {n for n in storage.names(spark, shared_dir(spark)) if n.startswith("llm-")}
+
+
+def test_what_a_job_writes_on_the_way_goes(spark):
+    before = folders(spark)
+
+    def make():
+        inner = common.settled(spark, lambda: common.written(spark.range(5), "deep").filter("id > 0"), "inner")
+        return common.written(inner, "middle").filter("id > 1")
+
+    assert sorted(r.id for r in common.settled(spark, make, "whole").collect()) == [2, 3, 4]
+    (left,) = folders(spark) - before
+    assert left.startswith("llm-whole-")
+
+    def fail():
+        common.written(spark.range(3), "lost")
+        raise ValueError("no result")
+
+    with pytest.raises(ValueError, match="no result"):
+        common.settled(spark, fail, "never")
+    assert folders(spark) - before == {left} and common._open == []
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Null ids, texts of all kinds and columns named like the code's own pass all stages."""
+    names = ("fp", "row", "row_key", "pii", "score", "number", "language", "component_id", "text_hash")
+    clashing = odd.select("*", *(F.lit(f"x{i}").alias(n) for i, n in enumerate(names)))
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "")], "item_id long, text string")
+    for name, docs in (("odd", clashing), ("empty", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        before = folders(spark)
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {"shard", "source", "text", "n_words"} <= set(got.columns)
+        stages = [n.removeprefix("llm-").rpartition("-")[0] for n in folders(spark) - before]
+        assert {n for n, _ in corpus_pipeline.STAGES[:-1]} <= set(stages)
+        if name == "empty":
+            assert got.count() == 0
+        else:
+            got.write.format("noop").mode("overwrite").save()
+
+
 def test_no_machine_local_state():
     """What the corpus operators may not use, as executors can be lost at any time."""
     import ast
