@@ -1,8 +1,8 @@
 """A training corpus out of `documents`: language, near-copies, benchmark, personal data, mix.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps; `run` writes every stage's
-rows to the shared folder and hands the table to the next one. All but the last return the
-columns of `documents`; the last returns the mixed blocks.
+rows to the shared folder, hands the table to the next one and deletes what the stage wrote on
+the way. All but the last return the columns of `documents`; the last returns the mixed blocks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelwatch.llm import decontaminate, langid, mixing, pii, simhash
-from parcelwatch.llm.common import prepare, table, written
+from parcelwatch.llm.common import prepare, settled, table
 
 #: Below this probability a document counts as being in no known language.
 MIN_LANGUAGE_SCORE = 0.5
@@ -57,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
