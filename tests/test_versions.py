@@ -140,6 +140,16 @@ def test_neighbours_share_buckets(wh):
     assert groups.agg(F.avg("n")).first()[0] < 2
 
 
+def test_bitmaps_of_small_groups_are_small(spark, wh):
+    """A group of one order costs a few bytes to gather, not two buffers of 4 KiB, and no sort."""
+    pairs = spark.range(3000).selectExpr("'o' || id AS order_id", "id AS g", "id AS number", "0 AS late")
+    bitmaps = order_bitmaps(pairs, ("g",))
+    assert dict(bitmaps.dtypes)["orders"] == dict(bitmaps.dtypes)["late_orders"] == "bigint"
+    assert "SortAggregate" not in planned(bitmaps) and "SortAggregate" not in planned(count_orders(bitmaps, ("g",)))
+    assert rows(count_orders(bitmaps)) == [(3000, 0)]
+    assert "SortAggregate" not in planned(count_orders(wh.bitmaps(), ("order_month",)))
+
+
 def test_means_do_not_depend_on_the_order_of_rows(spark, wh):
     values = spark.range(5000).selectExpr("id", "sin(id) / 3 AS x")
     found = set()
