@@ -150,6 +150,11 @@ def test_bitmaps_of_small_groups_are_small(spark, wh):
     assert "SortAggregate" not in planned(count_orders(wh.bitmaps(), ("order_month",)))
 
 
+def test_copies_of_facts_are_made_without_arrays_of_keys(wh):
+    copied = planned(grains.all_grains(wh.facts(), Params()))
+    assert "Generate explode" in copied and "lambdafunction" not in copied and "named_struct" not in copied
+
+
 def test_means_do_not_depend_on_the_order_of_rows(spark, wh):
     values = spark.range(5000).selectExpr("id", "sin(id) / 3 AS x")
     found = set()
