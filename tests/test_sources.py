@@ -7,8 +7,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from helpers import final_plan, item, order, raw_table, raw_tables, review, rows
+from helpers import final_plan, item, order, planned, raw_table, raw_tables, review, rows
 
 from parcelwatch import job
 from parcelwatch.operators.fanout import ITEM_KEYS
@@ -17,7 +18,7 @@ from parcelwatch.plans.curated import LakeTables, Warehouse, clean_lake, lake_ta
 from parcelwatch.plans.ingest import ingest, loaded_share
 from parcelwatch.plans.reports import PER_ORDER, REPORTS
 from parcelwatch.schemas import RAW, SORT_KEYS, TABLES, curated_columns
-from parcelwatch.sources import storage
+from parcelwatch.sources import records, storage
 from parcelwatch.sources.csv_files import read_csv
 from parcelwatch.sources.tables import (
     expire,
@@ -108,6 +109,19 @@ def test_long_files_are_split_inside_records(spark, long_reviews, conf, block):
     assert block == "128MB" or lines.rdd.getNumPartitions() > 2
 
 
+def test_patterns_are_tried_on_lines_that_hold_their_sign_only(spark, tmp_path):
+    """Lines without quotes and CRs cost two searches for a sign; the answers are those of the patterns."""
+    texts = ["", "a,b", 'a,"b', 'a,"b"', 'b",c', 'b","c', '""', '"', "a\r", "a\r\r", "\ra", 'a,"b\r', "a\r\u2028"]
+    lines = spark.createDataFrame([(x,) for x in texts], "value string")
+    line, plain = records._unended("value"), F.regexp_replace("value", r"\r$", "")
+    want = lines.select(plain, plain.rlike(records._OPENS), plain.rlike(records._STAYS) | plain.rlike(records._REOPENS))
+    assert rows(lines.select(line, records._opens(line), records._stays(line))) == rows(want)
+    path = tmp_path / "a.csv"
+    path.write_text("a,b\n1,2\n")
+    plan = planned(records.read_lines(spark, [str(path)], "a,b", Observation()))
+    assert "Contains(value" in plan and "Contains(text" in plan
+
+
 def test_a_quoted_value_without_end_is_refused(spark, tmp_path):
     path = write(tmp_path / "r.csv", header("order_reviews") + 'r1,a,5,t,"no end,d,t\n')
     with pytest.raises(Exception, match="no end"):
