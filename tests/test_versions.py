@@ -9,14 +9,14 @@ from helpers import final_plan, item, order, planned, raw_tables, review, rows
 from pyspark.sql import functions as F
 
 from checks.cases import FAN_SUMS
-from parcelwatch.operators import grains
+from parcelwatch.operators import enrich, grains
 from parcelwatch.operators.distinct import count_orders, number_orders, order_bitmaps
 from parcelwatch.operators.fanout import ITEM_KEYS
 from parcelwatch.operators.shares import Totals
 from parcelwatch.params import Params
-from parcelwatch.plans import delta, reports
+from parcelwatch.plans import curated, delta, reports
 from parcelwatch.plans.calendar import months
-from parcelwatch.plans.curated import Warehouse, lake_tables, manifest, refresh, versions_read
+from parcelwatch.plans.curated import Warehouse, curate, lake_tables, manifest, refresh, versions_read
 from parcelwatch.plans.ingest import ingest, load_files
 from parcelwatch.schemas import TABLES
 from parcelwatch.sources import lake as lakes
@@ -280,6 +280,36 @@ def test_repeated_lookup_keys_are_reported_or_refused(spark, tmp_path):
     assert current(spark, where) == before
 
 
+def test_repeated_keys_multiply_items_after_their_shuffles(spark, tmp_path, monkeypatch):
+    """Six rows of an item travel as one; the rows are those of the plain joins."""
+    raw = raw_tables(
+        spark,
+        orders=[order("a"), order("b", customer="nobody")],
+        order_items=[item("a"), item("a", seller="gone", product="gone"), item("b"), item("b", seller=None)],
+        sellers=[{"seller_id": "s1", "seller_state": s} for s in ("SP", "RJ", None)] + [{"seller_id": None}],
+        customers=[{"customer_id": "c1", "customer_state": s} for s in ("SP", "SP")],
+        products=[{"product_id": "p1", "product_category_name": n} for n in ("x", "y", None)],
+        category_translation=[{"product_category_name": "x", "product_category_name_english": e} for e in ("X", "Z")],
+    )
+    want = sorted(map(repr, curate(raw, "order_items").collect()))
+    assert len(want) == 4 * 2 * 3 + 2 + 4 * 3 + 4
+    monkeypatch.setattr(enrich, "IN_ARRAY", 2)  # keys of more rows than an array holds
+    sent = []
+    plain = curated.write_files
+
+    def watched(df, path, *args):
+        if path.endswith("/order_items"):
+            sent.append(df.count())
+        plain(df, path, *args)
+
+    monkeypatch.setattr(curated, "write_files", watched)
+    refresh(spark, raw, str(tmp_path / "w"), facts=False)
+    wh = Warehouse.published(spark, str(tmp_path / "w"))
+    assert sorted(map(repr, wh.table("order_items").collect())) == want
+    assert sent and sent[0] < len(want)
+    assert manifest(spark, str(tmp_path / "w"), current(spark, str(tmp_path / "w")))["rows"]["order_items"] == len(want)
+
+
 # --- refresh by difference ------------------------------------------------------------------
 
 
