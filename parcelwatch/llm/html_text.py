@@ -83,11 +83,16 @@ CLOSES = {
     "th": {"td", "th"}, "option": {"option"},
 }
 ENDS_P = BLOCK - {"body", "html", "head", "title", "li", "tr", "td", "th", "tbody", "thead", "tfoot", "option", "dt", "dd"}
+CLOSED_BY = {tag: frozenset(CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())) for tag in BLOCK | set(CLOSES)}
+# Tags without attributes, which need none of the parser's patterns, and elements that it reads otherwise.
+PLAIN_START = re.compile("<([a-zA-Z][a-zA-Z0-9]*)>")
+PLAIN_END = re.compile("</([a-zA-Z][a-zA-Z0-9]*)>")
+RAW_TEXT = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
 # Elements that an end tag of something outside does not reach across.
 WALLS = frozenset("table td th article main aside nav footer header form body".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     text: str  # all that is visible
     own: str  # without what stands aside: buttons, adverts and the like inside a paragraph
@@ -107,7 +112,7 @@ class Line:
         return self.own_links / max(1, len(self.own))
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     hidden: bool
@@ -183,8 +188,20 @@ class LineReader(HTMLParser):
         return self.last_end < i
 
     def parse_starttag(self, i: int) -> int:
+        plain = PLAIN_START.match(self.rawdata, i)
+        if plain and (tag := plain[1].lower()) not in RAW_TEXT:
+            self.lasttag = tag
+            self.handle_starttag(tag, ())
+            return plain.end()
         return -1 if self._endless(i) else super().parse_starttag(i)
 
+    def parse_endtag(self, i: int) -> int:
+        plain = PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if plain is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
     def parse_html_declaration(self, i: int) -> int:
         """A marked section is no section in a page: it is skipped like a comment, to the next end."""
         if self._endless(i) and not self.rawdata.startswith("<!--", i):
@@ -215,11 +232,13 @@ class LineReader(HTMLParser):
             if not text:
                 continue
             kept = [p for p in seen if p[1].side is None or not p[1].side.sides]
-            own = " ".join("".join([p[0] for p in kept]).split())
-            links = [sum(len(p[0].strip()) for p in some if p[2]) for some in (seen, kept)]
+            links = own_links = _link_chars(seen)
+            own = text
+            if len(kept) < len(seen):
+                own, own_links = " ".join("".join([p[0] for p in kept]).split()), _link_chars(kept)
             article = any(p[1].article for p in kept)
             heading = any(p[1].heading for p in kept)
-            out.append(Line(text, own, tags, *links, not own, article and bool(own), heading))
+            out.append(Line(text, own, tags, links, own_links, not own, article and bool(own), heading))
         return out
 
     def _push(self, e: Element) -> None:
@@ -239,10 +258,10 @@ class LineReader(HTMLParser):
             self.links -= e.tag == "a"
             self.places[e.tag].pop()
             e.ended = ended
+        del self.open[upto:]
         for places in (self.blocks, self.walls, self.stops):
             while places and places[-1] >= upto:
                 places.pop()
-        del self.open[upto:]
 
     def _last(self, tag: str) -> int:
         """Where the innermost open element of a name is; -1: nowhere."""
@@ -282,8 +301,7 @@ class LineReader(HTMLParser):
         self.links += tag == "a"
 
     def _close_implied(self, tag: str) -> None:
-        closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        at = max(map(self._last, closes), default=-1)
+        at = max(map(self._last, CLOSED_BY[tag]), default=-1)
         if at > 0 and (not self.stops or self.stops[-1] <= at):
             self._pop(at, True)
 
@@ -313,6 +331,10 @@ class LineReader(HTMLParser):
         self.pieces.append((data, here, self.links > 0))
 
 
+def _link_chars(pieces: list[tuple[str, Element, bool]]) -> int:
+    return sum([len(p[0].strip()) for p in pieces if p[2]])
+
+
 def lines_of(html: str | None) -> list[Line]:
     """The lines of a page that are text at all: no scripts, styles or hidden elements."""
     reader = LineReader()

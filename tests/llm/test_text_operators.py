@@ -518,3 +518,36 @@ def test_quality_of_odd_tables(odd, empty, spark):
     assert got.count() == odd.count()
     assert all(0 <= r.score <= 1 for r in got.collect())
     assert quality_model.classify(empty, sites, None).count() == 0
+
+
+def test_plain_tags_are_read_without_the_patterns_of_the_parser(monkeypatch):
+    """Tags without attributes take a short way, with the lines of the long one."""
+    import random
+    from html.parser import HTMLParser
+
+    from parcelwatch.llm import html_text
+
+    class LongWay(html_text.LineReader):
+        def parse_starttag(self, i):
+            return -1 if self._endless(i) else HTMLParser.parse_starttag(self, i)
+
+        parse_endtag = HTMLParser.parse_endtag
+
+    def lines(reader, page):
+        reader.feed(page)
+        reader.close()
+        return reader.lines()
+
+    looked, plain = [], HTMLParser.check_for_whole_start_tag
+    monkeypatch.setattr(HTMLParser, "check_for_whole_start_tag", lambda self, i: looked.append(i) or plain(self, i))
+    page = "<html><body><nav><a>menu</a></nav><article><P>one<p>two <b>three</b></article></body></html>"
+    short = lines(html_text.LineReader(), page)
+    assert not looked
+    assert short == lines(LongWay(), page) and len(looked) == 8
+    bits = [f"<{t}>" for t in "p P a b nav article script STYLE title textarea br img li td button svg noscript x1 x-y".split()]
+    bits += [b.replace("<", "</") for b in bits] + ["<p class=ad>", "<a href='x>y'>", "<p/>", "<br />", "</p x>", "</ p>", "<p", "</p", "<", ">", "</>", "<!--", "-->"]
+    bits += ["word ", "&amp;", "&lt;p> ", "\n"] * 8
+    rng = random.Random(4)
+    for _ in range(3000):
+        page = "".join(rng.choices(bits, k=rng.randrange(1, 30)))
+        assert lines(html_text.LineReader(), page) == lines(LongWay(), page), page
