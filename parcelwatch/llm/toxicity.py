@@ -23,8 +23,9 @@ several labels counts as toxic if one says so; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ MIN_DOCUMENTS = 4  # a word must occur in so many sampled documents to be in the
 PER_CLASS = 1500
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.7
-SLICE = 2048  # windows at a time
+SLICE = 4096  # windows at a time
 SLICE_WORDS = 1 << 18  # of texts laid out at a time; a longer text is a slice of its own
 CACHE = 200_000  # words whose input projections a worker remembers
 
@@ -156,19 +157,50 @@ def recur(net, side: str, gates, mask: np.ndarray, trace: dict | None = None) ->
     return states
 
 
+def run_through(net, side: str, gates, mask: np.ndarray, states: np.ndarray) -> None:
+    """The states of `recur`, by the same arithmetic, into `states`: nothing is allocated a step."""
+    h, u = HIDDEN, net[f"u{side}"]
+    n = mask.shape[1]
+    state, past, new = (np.zeros((rows, n), np.float32) for rows in (h, 3 * h, h))
+    reset, update, open_ = past[:h], past[h : 2 * h], past[: 2 * h]
+    whole = mask.all(axis=1)
+    for t in _steps(side):
+        now, mixed = gates(t), states[t]
+        np.matmul(u, state, out=past)
+        open_ += now[: 2 * h]
+        open_ *= np.float32(0.5)
+        np.tanh(open_, out=open_)
+        open_ *= np.float32(0.5)
+        open_ += np.float32(0.5)
+        np.multiply(reset, past[2 * h :], out=new)
+        new += now[2 * h :]
+        np.tanh(new, out=new)
+        np.subtract(state, new, out=mixed)
+        mixed *= update
+        mixed += new
+        if not whole[t]:
+            np.copyto(mixed, state, where=~mask[t])
+        state = mixed
+
+
 def attend(net, states: np.ndarray, mask: np.ndarray):
-    scored = np.tanh(net["wa"] @ states + net["ba"][:, None])
+    scored = net["wa"] @ states
+    scored += net["ba"][:, None]
+    np.tanh(scored, out=scored)
     e = np.where(mask, np.einsum("a,tan->tn", net["va"], scored), np.float32(-1e9))
-    e = np.exp(e - e.max(axis=0))
-    share = e / e.sum(axis=0)
+    e -= e.max(axis=0)
+    share = np.exp(e, out=e)
+    share /= share.sum(axis=0)
     pooled = np.einsum("tn,thn->hn", share, states)
     return net["wo"] @ pooled + net["bo"][0], (scored, share, pooled)
 
 
 def logits_of(net, forward, backward, mask: np.ndarray) -> np.ndarray:
     """Window logits from the two directions' projected inputs."""
-    both = [recur(net, s, g, mask) for s, g in (("f", forward), ("b", backward))]
-    return attend(net, np.concatenate(both, axis=1), mask)[0]
+    states = np.empty((WINDOW, 2 * HIDDEN, mask.shape[1]), np.float32)
+    run_through(net, "f", forward, mask, states[:, :HIDDEN])
+    run_through(net, "b", backward, mask, states[:, HIDDEN:])
+    return attend(net, states, mask)[0]
 
 
 def projected_logits(net, f: np.ndarray, b: np.ndarray, wins: np.ndarray) -> np.ndarray:
@@ -414,28 +446,25 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count(1).__next__)
         zero = np.zeros((1, 3 * HIDDEN), np.float32)  # row 0: no word
         self.projected = {"f": zero, "b": zero}
 
     def _ids(self, words: list[list[str]]) -> list[np.ndarray]:
         if len(self.number) > CACHE:
             self._forget()
-        number, fresh = self.number, []
-        for ws in words:
-            for w in ws:
-                if w not in number:
-                    number[w] = len(number) + 1
-                    fresh.append(w)
+        known = len(self.number)
+        ids = [np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws)) for ws in words]
+        fresh = list(islice(self.number, known, None))  # words are numbered as they are met
         if fresh:
             net, (buckets, sizes) = self.model.net, char_grams(fresh)
             mean = np.add.reduceat(net["char"][buckets], np.cumsum(sizes) - sizes) / sizes[:, None]
             word = net["word"][[self.model.vocabulary.get(w, 0) for w in fresh]]
             x = np.concatenate([word, mean], axis=1).astype(np.float32)
-            for side, known in self.projected.items():
+            for side, rows in self.projected.items():
                 new = x @ net[f"w{side}"].T + net[f"b{side}"]
-                self.projected[side] = np.concatenate([known, new])
-        return [np.array([number[w] for w in ws], np.int64) for ws in words]
+                self.projected[side] = np.concatenate([rows, new])
+        return ids
 
     def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the score and the first word of its worst window (-1: no words)."""

@@ -551,3 +551,21 @@ def test_plain_tags_are_read_without_the_patterns_of_the_parser(monkeypatch):
     for _ in range(3000):
         page = "".join(rng.choices(bits, k=rng.randrange(1, 30)))
         assert lines(html_text.LineReader(), page) == lines(LongWay(), page), page
+
+
+def test_windows_are_scored_without_arrays_for_each_step(monkeypatch):
+    """The states of learning and of scoring are the same; scoring one slice allocates a few arrays, not some a step."""
+    rng = np.random.default_rng(0)
+    net = toxicity.new_network(*(rng.normal(0, 1, n).astype(np.float32) for n in (5, 7)))
+    n, h = 300, toxicity.HIDDEN
+    mask = rng.random((toxicity.WINDOW, n)) < 0.8
+    mask[3] = True
+    projected = rng.normal(0, 1, (toxicity.WINDOW, 3 * h, n)).astype(np.float32)
+    for side in "fb":
+        states = np.empty((toxicity.WINDOW, h, n), np.float32)
+        toxicity.run_through(net, side, projected.__getitem__, mask, states)
+        assert (states == toxicity.recur(net, side, projected.__getitem__, mask)).all()
+    used = []
+    monkeypatch.setattr(toxicity, "_sigmoid", lambda x: used.append(x.shape))  # makes three arrays a step
+    assert len(toxicity.logits_of(net, projected.__getitem__, projected.__getitem__, mask)) == n
+    assert not used
