@@ -140,6 +140,14 @@ def test_small_lookups_are_broadcast_and_large_ones_shuffled(inputs, conf):
     assert "SortMergeJoin" in plan
 
 
+def test_products_are_joined_before_the_columns_of_orders_are_there(inputs, large):
+    """Large products are shuffled with the items alone."""
+    names = ("order_items", "orders", "customers", "sellers", "products", "category_translation")
+    plan = final_plan(enrich_items(*[inputs.raw[n] for n in names]))
+    joins = re.findall(r"SortMergeJoin\(?.*?\[(\w+)#", plan)  # outer ones first
+    assert joins.index("order_id") < joins.index("product_id")
+
+
 # --- skew ---
 
 
