@@ -148,6 +148,14 @@ def test_products_are_joined_before_the_columns_of_orders_are_there(inputs, larg
     assert joins.index("order_id") < joins.index("product_id")
 
 
+def test_items_are_not_shuffled_by_the_names_of_categories(inputs, large):
+    """Products take their labels before items see them."""
+    names = ("order_items", "orders", "customers", "sellers", "products", "category_translation")
+    plan = final_plan(enrich_items(*[inputs.raw[n] for n in names]))
+    joins = re.findall(r"SortMergeJoin\(?.*?\[(\w+)#", plan)  # outer ones first
+    assert joins.index("product_id") < joins.index("product_category_name")
+
+
 # --- skew ---
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from helpers import final_plan, item, order, planned, raw_tables, review, rows
@@ -19,6 +20,7 @@ from parcelwatch.plans.calendar import months
 from parcelwatch.plans.curated import Warehouse, curate, lake_tables, manifest, refresh, versions_read
 from parcelwatch.plans.ingest import ingest, load_files
 from parcelwatch.schemas import TABLES
+from parcelwatch.session import DROP_SHUFFLES
 from parcelwatch.sources import lake as lakes
 from parcelwatch.sources import storage
 from parcelwatch.sources.buckets import forget, read_bucketed, write_bucketed
@@ -388,6 +390,59 @@ def test_a_difference_writes_only_changed_orders(spark, tmp_path):
     assert versions_read(spark, root) == [current(spark, root)]
 
 
+def test_orders_of_facts_are_told_apart_where_they_are_dealt(spark, wh, large):
+    """Facts have an order: it is compared as it is, not as null-safe keys that no bucket has."""
+    changed = spark.range(5).selectExpr("CAST(id AS string) AS order_id")
+    for how in ("left_semi", "left_anti"):
+        plan = final_plan(curated.facts_of_orders(wh.facts(), changed, how))
+        assert "Bucketed: true" in plan
+        assert len(shuffled_by(plan)) == 1  # the changed orders
+
+
+# --- disk -----------------------------------------------------------------------------------
+
+
+def shuffle_files(spark):
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+    return [f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f]
+
+
+def wait_for(condition):
+    """Files are deleted in the background."""
+    end = time.time() + 30
+    while not condition() and time.time() < end:
+        time.sleep(0.2)
+    return condition()
+
+
+def test_a_write_leaves_no_files_of_its_shuffles(spark, tmp_path, large):
+    setting, before = spark.conf.get(DROP_SHUFFLES, None), set(shuffle_files(spark))
+    df = spark.range(1000).selectExpr("id", "CAST(id % 7 AS string) AS k")
+    joined = df.join(df.selectExpr("k", "id AS other").filter("other < 20"), "k")
+    write_files(joined, str(tmp_path / "a"), ("k", "id", "other"))
+    write_bucketed(df, str(tmp_path / "b"), "k", 4)
+    forget(spark, str(tmp_path / "b"))
+    assert wait_for(lambda: set(shuffle_files(spark)) <= before)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        write_files(df, str(tmp_path / "a"))
+    assert spark.conf.get(DROP_SHUFFLES, None) == setting  # also after a failure
+    assert read_files(spark, str(tmp_path / "a")).count() == joined.count()
+    assert set(shuffle_files(spark)) - before  # what is not written can be collected again
+
+
+@pytest.mark.parametrize("change", [{}, {"customers": [{"customer_id": "c1", "customer_state": "RJ"}] * 2}], ids=["plain", "repeated"])
+def test_a_refresh_leaves_its_tables_and_nothing_else(spark, tmp_path, large, change):
+    root, raw = str(tmp_path / "wh"), raw_tables(spark, **(MARKET | change))
+    refresh(spark, raw, root, summaries=True)
+    path = f"{root}/{current(spark, root)}"
+    assert set(storage.names(spark, path)) == {
+        *TABLES, curated.FACTS, curated.GRAINS, curated.BITMAPS, curated.SKETCHES, curated.MANIFEST,
+    }
+    wanted = curate(raw, "order_items")
+    written = read_files(spark, f"{path}/order_items").select(*wanted.columns)
+    assert sorted(rows(written), key=str) == sorted(rows(wanted), key=str)
+
+
 # --- loading by file ------------------------------------------------------------------------
 
 
