@@ -371,6 +371,21 @@ def test_a_refresh_by_difference_equals_a_full_one(spark, tmp_path, change):
     assert expire(spark, root, keep=versions_read(spark, root), spare=0) == []
 
 
+def test_facts_of_a_difference_come_from_its_written_tables(spark, tmp_path, monkeypatch):
+    """The rows of changed orders are looked for in the lake once."""
+    lake, root = str(tmp_path / "lake"), str(tmp_path / "wh")
+    for table, df in raw_tables(spark, **MARKET).items():
+        write_table(df, lake, table)
+    refresh(spark, lake_tables(spark, lake), root)
+    write_table(raw_tables(spark, orders=[*MARKET["orders"], order("g")])["orders"], lake, "orders")
+    plans = []
+    monkeypatch.setattr(delta, "write_facts", lambda df, *more: (plans.append(planned(df)), curated.write_facts(df, *more)))
+    delta.refresh_changed(spark, lake_tables(spark, lake), root)
+    (plan,) = plans
+    assert f"{root}/{current(spark, root)}/order_items" in plan
+    assert f"{lake}/" not in plan
+
+
 def test_a_difference_writes_only_changed_orders(spark, tmp_path):
     lake, root = str(tmp_path / "lake"), str(tmp_path / "wh")
     for table, df in raw_tables(spark, **MARKET).items():
